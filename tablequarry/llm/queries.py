@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, secrets, sharding
 from .common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -16,9 +20,39 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.rendezvous_shards(table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op8_sharding)}
+
+
+
+def _secrets_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = [(secrets.ASSIGN, 2), (secrets.ACCESS, 0), (secrets.HEX, 0), (secrets.RARE_ONLY, 4)]
+    each = " UNION ALL ".join(
+        f"""SELECT r, source, lang, '{kind}' AS kind, {k} AS k, i, length(p[i]) AS gap, length(m[i]) AS long, v[i] AS val
+        FROM (SELECT *, regexp_split_to_array(t, {quote(pattern)}) AS p, regexp_extract_all(t, {quote(pattern)}) AS m,
+        regexp_extract_all(t, {quote(pattern)}, {group}) AS v FROM d), unnest(range(1, len(m) + 1)) AS u(i)"""
+        for k, (kind, (pattern, group)) in enumerate(zip(secrets.KINDS, kinds, strict=True))
+    )
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+        e AS ({each}),
+        s AS (SELECT *, coalesce(sum(gap + long) OVER (PARTITION BY r, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + gap AS start FROM e),
+        g AS (SELECT *, kind || ':' || start || ':' || (start + long) AS label FROM s WHERE CASE kind WHEN 'assign' THEN length(val) >= 6
+            WHEN 'rare' THEN length(regexp_replace(val, '[^0-9]', '', 'g')) >= 3 AND regexp_matches(val, '[A-Za-z]')
+                AND NOT regexp_matches(val, {quote(secrets.HEX)}) AND NOT regexp_matches(val, {quote(secrets.ACCESS)}) ELSE true END),
+        h AS (SELECT val, count(DISTINCT coalesce(source, '<null>')) AS owners FROM g GROUP BY val),
+        o AS (SELECT r, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,
+            string_agg(label, ',' ORDER BY start, k) FILTER (kind <> 'rare') AS base, string_agg(label, ',' ORDER BY start, k) AS spans,
+            count_if(kind = 'rare') AS n_rare, count_if(owners <= 1) AS n_live, count_if(owners > 1) AS n_copied
+            FROM g JOIN h USING (val) WHERE kind <> 'rare' OR owners <= 1 GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_rare, 0)::BIGINT AS n_rare,
+            coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+        FROM d LEFT JOIN o USING (r)"""
+
 
 SQL = {
+    "op1_secret_scan": _secrets_sql(),
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
