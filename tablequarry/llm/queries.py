@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, secrets, sharding
+from . import exact_dedup, packing, secrets, sharding
 from .common import table
 
 
@@ -20,7 +20,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.rendezvous_shards(table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op8_sharding)}
+def gpt_encoding() -> dict:
+    """Where the public vocabulary files are; ranks and pattern give the faster reader."""
+    import public_tokenizers as public
+
+    return {"path": str(public.path("byte_bpe_50k.json")), "ranks_path": str(public.path("byte_bpe_50k.tiktoken")), "pattern": public.PATTERN}
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), gpt_encoding())
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op8_sharding, op9_packing)}
 
 
 
