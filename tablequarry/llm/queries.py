@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, packing, secrets, sharding
+from . import exact_dedup, jaccard, packing, quality, secrets, sharding
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.rendezvous_shards(table(spark, sf_dir, "documents"), [1.0] * 24)
 
@@ -35,7 +39,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op8_sharding, op9_packing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op5_quality, op8_sharding, op9_packing, op10_jaccard_join)}
 
 
 
