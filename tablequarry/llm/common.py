@@ -97,13 +97,13 @@ def bitmap(hashes: DataFrame, column: str, bits: int) -> DataFrame:
     return hashes.select(F.bitmap_bucket_number(at + 1).alias("_word"), F.bitmap_bit_position(at + 1).alias("_bit")).groupBy("_word").agg(F.bitmap_construct_agg("_bit").alias("_map"))
 
 
-def maybe_in(df: DataFrame, column: str, filter_: DataFrame, bits: int) -> DataFrame:
-    """Rows whose hash may be in the filter: all that are, and a few that are not."""
+def maybe_in(df: DataFrame, column: str, filter_: DataFrame, bits: int, how: str = "left_semi") -> DataFrame:
+    """Rows whose hash may be in the filter: all that are, and a few that are not. left_anti: the others."""
     at = F.col(column).bitwiseAND(F.lit(2**bits - 1))
     bit = F.bitmap_bit_position(at + 1)
     byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return df.join(F.broadcast(filter_), (F.bitmap_bucket_number(at + 1) == F.col("_word")) & hit, "left_semi")
+    return df.join(F.broadcast(filter_), (F.bitmap_bucket_number(at + 1) == F.col("_word")) & hit, how)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

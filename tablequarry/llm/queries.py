@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, packing, quality, secrets, sharding, warc
+from . import embed_dedup, exact_dedup, jaccard, line_dedup, packing, quality, secrets, sharding, warc
 from .common import cut, scratch_path, table
 
 
@@ -16,6 +16,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +53,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op5_quality, op6_warc, op8_sharding, op9_packing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_line_dedup, op4_embedding_dedup, op5_quality, op6_warc, op8_sharding, op9_packing, op10_jaccard_join)}
 
 
 
@@ -82,6 +90,27 @@ SQL = {
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (t)""",
+    "op3_line_dedup": r"""
+        WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+        x AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM t)),
+        c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) - w AS c, sum(w) OVER (PARTITION BY doc_id) AS total FROM x WHERE w > 0),
+        e AS (SELECT *, count(*) OVER (PARTITION BY doc_id ORDER BY c RANGE BETWEEN UNBOUNDED PRECEDING AND 49 FOLLOWING) AS j FROM c),
+        a AS (SELECT doc_id, list(line ORDER BY pos) AS ls, list(pos ORDER BY pos) AS ps FROM c GROUP BY doc_id),
+        v AS (SELECT doc_id, pos AS first, ps[j] AS last, array_to_string(ls[i:j], chr(10)) AS content FROM e JOIN a USING (doc_id) WHERE total - c >= 50),
+        o AS (SELECT *, min((doc_id, first)) OVER (PARTITION BY content) AS origin FROM v),
+        g AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM o WHERE (doc_id, first) > origin),
+        n AS (SELECT doc_id, list(pos) AS ps FROM g GROUP BY doc_id)
+        SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_deleted,
+            CASE WHEN ps IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(len(l)), lambda p: NOT list_contains(ps, p)), lambda p: l[p + 1]), chr(10)) END AS text
+        FROM t LEFT JOIN n USING (doc_id)""",
+    "op4_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        r AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+        c AS (SELECT u, min(v) AS component_id FROM r GROUP BY u)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.u = vec_id) AS n_links, component_id, component_id = vec_id AS kept
+        FROM embeddings JOIN c ON c.u = vec_id""",
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h),
