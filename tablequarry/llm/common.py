@@ -57,15 +57,16 @@ def spread(order_hash: Column, buckets: int) -> Column:
     return F.floor(top * F.lit(buckets) / F.lit(2.0**32)).cast("long")
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], total: int, number: str, sums: dict[str, str] | None = None) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], largest: int, number: str, sums: dict[str, str] | None = None) -> DataFrame:
     """Adds `number`: 0, 1, ... within each group, by order[0] (a 64-bit hash), then the rest of order.
 
     sums: for each new column, the column whose sum over the preceding rows of the group it
-    gets. A group is split by its hash into buckets of about BUCKET_ROWS rows, each sorted by
-    itself; the buckets' totals give the offsets. So no task sorts a whole group, however large.
+    gets. largest: the rows of the largest group. Groups are split by the hash into buckets of
+    about BUCKET_ROWS rows at most, each sorted by itself; the buckets' totals give the offsets.
+    So no task sorts a whole group, however large.
     """
     sums = sums or {}
-    df = df.withColumn("_bucket", spread(F.col(order[0]), max(1, math.ceil(total / BUCKET_ROWS))))
+    df = df.withColumn("_bucket", spread(F.col(order[0]), max(1, math.ceil(largest / BUCKET_ROWS))))
     within = Window.partitionBy(*group, "_bucket").orderBy(*order)
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())))
@@ -88,6 +89,10 @@ def numbered(df: DataFrame, group: list[str], order: list[str], total: int, numb
     )
 
 
+def largest_group(df: DataFrame, group: list[str]) -> int:
+    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+
+
 def bitmap(hashes: DataFrame, column: str, bits: int) -> DataFrame:
     """A filter of 2**bits bits over a 64-bit hash column: rows (_word, _map) of 4 KB each.
 

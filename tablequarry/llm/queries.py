@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, exact_dedup, jaccard, line_dedup, packing, quality, secrets, sharding, warc
+from . import embed_dedup, exact_dedup, jaccard, line_dedup, mixing, packing, quality, secrets, sharding, warc
 from .common import cut, scratch_path, table
 
 
@@ -34,6 +34,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(warc.read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = mixing.mix(table(spark, sf_dir, "documents"), max_repeat=2.0)
+    return used.select("doc_id", "source", *(used[f"_{c}"].alias(c) for c in ("pass", "tokens", "block", "slot")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.rendezvous_shards(table(spark, sf_dir, "documents"), [1.0] * 24)
 
@@ -53,7 +58,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_line_dedup, op4_embedding_dedup, op5_quality, op6_warc, op8_sharding, op9_packing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_line_dedup, op4_embedding_dedup, op5_quality, op6_warc, op7_mixing, op8_sharding, op9_packing, op10_jaccard_join)}
 
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, numbered
+from .common import bytes_of, cut, largest_group, numbered
 
 
 def shard_of(key: Column, weights: list[float]) -> Column:
@@ -45,5 +45,5 @@ def rendezvous_shards(docs: DataFrame, weights: list[float], *, grown: list[floa
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )
     placed = cut(rows.select("*", shard_of(F.col("key"), weights).alias("shard"), shard_of(F.col("key"), grown).alias("grown_shard"), F.xxhash64("key", "text_crc32", "size").alias("_h")))
-    slots = numbered(placed, ["shard"], ["_h", "key", "size", "text_crc32"], placed.count(), "slot")
+    slots = numbered(placed, ["shard"], ["_h", "key", "size", "text_crc32"], largest_group(placed, ["shard"]), "slot")
     return slots.select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
