@@ -7,15 +7,25 @@ import math
 import numpy as np
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function for x > 0: Stirling's series from 10 on, the recurrence below."""
+    x = np.asarray(x, dtype=float)
+    shift = np.zeros_like(x)
+    for _ in range(10):
+        small = x < 10
+        shift -= np.where(small, np.log(np.where(small, x, 1)), 0)
+        x = np.where(small, x + 1, x)
+    return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+
+
 def hypergeometric_cdf(t: int, population: int, marked: int, drawn: int) -> float:
     """P(X <= t) for X marked ones among `drawn` of `population`."""
     low = max(0, drawn - (population - marked))
     if t < low:
         return 0.0
-    log_c = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    k = np.arange(low, min(t, marked, drawn) + 1)
-    logs = [log_c(marked, int(x)) + log_c(population - marked, drawn - int(x)) - log_c(population, drawn) for x in k]
-    return min(1.0, math.fsum(map(math.exp, logs)))
+    choose = lambda n, k: log_gamma(np.asarray(n + 1.0)) - log_gamma(np.asarray(k + 1.0)) - log_gamma(np.asarray(n - k + 1.0))
+    k = np.arange(low, min(t, marked, drawn) + 1, dtype=float)
+    return min(1.0, float(np.exp(choose(marked, k) + choose(population - marked, drawn - k) - choose(population, drawn)).sum()))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -162,3 +172,19 @@ def size_partitions(sizes: dict[int, int], parts: int) -> list[tuple[int, int]]:
         out.append((keys[i], keys[j]))
         j, p = i - 1, max(0, p - 1)
     return out[::-1]
+
+
+def hotelling_from_moments(a: dict, b: dict, d: int) -> float:
+    """hotelling_score from counts, sums and sums of products."""
+    n, m = a["n"], b["n"]
+    if n + m - 2 <= d or min(n, m) < 2:
+        return -1.0
+    means = [np.array(x["sums"]) / x["n"] for x in (a, b)]
+    spread = [np.array(x["products"]).reshape(d, d) - x["n"] * np.outer(u, u) for x, u in zip((a, b), means, strict=True)]
+    pooled, gap = (spread[0] + spread[1]) / (n + m - 2), means[0] - means[1]
+    try:
+        t2 = n * m / (n + m) * float(gap @ np.linalg.solve(pooled, gap))
+    except np.linalg.LinAlgError:
+        return -1.0
+    dfd = n + m - d - 1
+    return 1 - f_cdf(t2 * dfd / (d * (n + m - 2)), d, dfd)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import hashing, text
 from ..functions.stats import best_bands
-from ..operators import sets, sketches
+from ..operators import evaluation, graph, sets, similarity, sketches, tables, vectors
 from . import catalog
 from .catalog import OVERLAPS_SQL, TEXT, top_sql, values, values_sql
 
@@ -173,3 +175,495 @@ def _ensemble_sql() -> str:
 @query(_ensemble_sql())
 def lsh_ensemble_topk(spark, root):
     return sketches.ensemble_search(values(spark, root), threshold=0.8, k=10, bounds=BOUNDS)
+
+
+# Similarity of names, formats and tokens.
+
+NAME_SQL = r"""nf0 AS (SELECT DISTINCT table_name, column_name, regexp_replace(lower(column_name), '^[a-z]+_', '') AS nm FROM cv),
+    nf AS (SELECT DISTINCT table_name, column_name, unnest(CASE WHEN length(nm) <= 3 THEN [nm] ELSE list_transform(range(1, length(nm) - 1), lambda i: substr(nm, i, 3)) END) AS item FROM nf0)"""
+
+
+def _format_sql(c: str) -> str:
+    low, high = chr(0xE000), chr(0xE0FF)
+    for k, (_, pattern) in enumerate(text.FORMAT_CLASSES):
+        guarded = pattern.replace(r"[^@\s]", rf"[^@\s{low}-{high}]").replace(r"[^\w\s", rf"[^\w\s{low}-{high}").replace(r"\S", rf"[^\s{low}-{high}]")
+        c = f"regexp_replace({c}, '{guarded}', '{chr(0xE000 + k)}', 'g')"
+    c = f"translate({c}, '{''.join(chr(0xE000 + k) for k in range(len(text.FORMAT_CLASSES)))}', '{''.join(x for x, _ in text.FORMAT_CLASSES)}')"
+    for letter, _ in text.FORMAT_CLASSES:
+        c = f"regexp_replace({c}, '{letter}{letter}+', '{letter}', 'g')"
+    return c
+
+
+FORMAT_SQL = f"ff AS (SELECT DISTINCT table_name, column_name, {_format_sql('value')} AS item FROM cv)"
+TOKEN_SQL = """tk0 AS (SELECT table_name, column_name, value, generate_subscripts(t, 1) AS pos, unnest(t) AS token FROM (SELECT *, regexp_extract_all(lower(value), '[a-z0-9]+') AS t FROM cv)),
+    td AS (SELECT table_name, column_name, token, count(DISTINCT value) AS df FROM tk0 GROUP BY ALL),
+    tf AS (SELECT DISTINCT table_name, column_name, item FROM (SELECT table_name, column_name, value, arg_min(token, (df, pos)) AS item FROM tk0 JOIN td USING (table_name, column_name, token) GROUP BY ALL))"""
+
+
+def jaccard_sql(name: str, features: str) -> str:
+    return f"""{name}n AS (SELECT table_name, column_name, count(*) AS n FROM {features} GROUP BY ALL),
+        {name} AS (SELECT q_table, q_column, c_table, c_column, round(shared / (x.n + y.n - shared), 6) AS score FROM (SELECT {PAIR_SQL}, count(*) AS shared FROM {features} a JOIN {features} b ON a.item = b.item AND {DIFFERENT} GROUP BY ALL)
+        JOIN {name}n x ON x.table_name = q_table AND x.column_name = q_column JOIN {name}n y ON y.table_name = c_table AND y.column_name = c_column)"""
+
+
+@query(f"WITH {values_sql()}, {NAME_SQL}, {jaccard_sql('s', 'nf')} SELECT * FROM s")
+def qgram_name_sim(spark, root):
+    return similarity.feature_jaccard(similarity.name_features(values(spark, root)))
+
+
+@query(f"WITH {values_sql()}, {FORMAT_SQL} SELECT * FROM ff")
+def format_descriptors(spark, root):
+    return similarity.format_features(values(spark, root))
+
+
+@query(f"WITH {values_sql(TEXT)}, {FORMAT_SQL}, {jaccard_sql('s', 'ff')} SELECT * FROM s")
+def format_sim(spark, root):
+    return similarity.feature_jaccard(similarity.format_features(values(spark, root, TEXT)))
+
+
+@query(f"WITH {values_sql(TEXT)}, {TOKEN_SQL}, {jaccard_sql('s', 'tf')} SELECT * FROM s")
+def token_value_sim(spark, root):
+    return similarity.feature_jaccard(similarity.token_features(values(spark, root, TEXT)))
+
+
+@query(r"""SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS alnum, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS spaced,
+    regexp_replace(regexp_replace(lower(p_name), '\(.*?\)', '', 'g'), '\s+', '', 'g') AS attribute, lower(p_name) IN ('nan', '-', 'unknown', 'other (unknown)', 'null', 'na', '', ' ') AS missing FROM part""")
+def normalised_names(spark, root):
+    c = F.col("p_name")
+    return read(spark, root, "part").select("p_partkey", text.alnum(c).alias("alnum"), text.alnum_spaced(c).alias("spaced"), text.attribute_name(c).alias("attribute"), text.is_null_string(c).alias("missing"))
+
+
+@query(f"""WITH {values_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY freq DESC, value) AS r FROM cv)
+    SELECT table_name, column_name, column_name || ' contains ' || count(*) || ' values (' || max(length(value)) || ', ' || min(length(value)) || ', ' || printf('%.2f', round(avg(length(value)), 2)) || '): ' || string_agg(value, ', ' ORDER BY r) FILTER (r <= 20) AS sentence
+    FROM r GROUP BY table_name, column_name""")
+def column_sentence(spark, root):
+    return similarity.column_sentences(values(spark, root))
+
+
+NUMBERS = {"customer": ["c_acctbal"], "supplier": ["s_acctbal"], "part": ["p_retailprice", "p_size"], "orders": ["o_totalprice"], "lineitem": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "events": ["value"]}
+NUMBERS_SQL = "x AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {c}::DOUBLE AS x FROM {t}" for t, cs in NUMBERS.items() for c in cs) + "), "
+HISTOGRAM_SQL = """f AS (SELECT * FROM x WHERE isfinite(x)), e AS (SELECT table_name, column_name, min(x) AS lo, max(x) AS hi, count(*) AS n, (max(x) - min(x)) / 30 AS width FROM f GROUP BY ALL),
+    b AS (SELECT table_name, column_name, CASE WHEN width > 0 THEN least(floor((x - lo) / width), 29) ELSE 0 END::INT AS bin, n, width FROM f JOIN e USING (table_name, column_name))"""
+
+
+def numbers(spark: SparkSession, root: str) -> DataFrame:
+    flat = lambda t: read(spark, root, t).select(F.lit(t).alias("table_name"), F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in NUMBERS[t]))).alias("p")).select("table_name", "p.*")
+    return reduce(DataFrame.unionByName, map(flat, NUMBERS))
+
+
+@query(f"WITH {NUMBERS_SQL} {HISTOGRAM_SQL} SELECT table_name, column_name, bin, round(count(*) / (n * CASE WHEN width > 0 THEN width ELSE 1.0 END), 6) AS density FROM b GROUP BY table_name, column_name, bin, n, width")
+def histogram_density(spark, root):
+    return similarity.histograms(numbers(spark, root), 30)
+
+
+@query(f"WITH {NUMBERS_SQL} {HISTOGRAM_SQL}, m AS (SELECT table_name, column_name, bin, count(*) / n AS mass FROM b GROUP BY table_name, column_name, bin, n) SELECT {PAIR_SQL}, round(sum(least(a.mass, b.mass)), 6) AS score FROM m a JOIN m b ON a.bin = b.bin AND {DIFFERENT} GROUP BY ALL")
+def distribution_sim(spark, root):
+    return similarity.histogram_overlap(numbers(spark, root), 30)
+
+
+BUCKET_SCORES_SQL = f"{SIG_SQL}, {OVERLAPS_SQL}, lc AS (SELECT {PAIR_SQL} FROM g a JOIN g b ON {DIFFERENT} AND ({BAND_HIT})), sc AS (SELECT round(coalesce(overlap, 0) / greatest(q_size + c_size - overlap, 1), 6) AS score FROM p JOIN lc USING (q_table, q_column, c_table, c_column))"
+
+
+@query(f"WITH {values_sql()}, {BUCKET_SCORES_SQL}, t AS (SELECT least(floor(score * 50), 49)::INT AS bin, count(*) AS n FROM sc GROUP BY 1), gr AS (SELECT unnest(range(50))::INT AS bin) SELECT bin, round(coalesce(n, 0) / (SELECT sum(n) FROM t), 6) AS mass, round(sum(coalesce(n, 0)) OVER (ORDER BY bin) / (SELECT sum(n) FROM t), 6) AS cumulative FROM gr LEFT JOIN t USING (bin)")
+def score_ecdf(spark, root):
+    v = values(spark, root)
+    sig = sketches.signatures(v, 32)
+    pairs = sketches.band_collisions(sig, BANDS, ROWS)
+    return similarity.score_ecdf(sets.overlaps(v).join(pairs, ["q_table", "q_column", "c_table", "c_column"]).select(sets.MEASURES["jaccard"]().alias("score")))
+
+
+EVIDENCE = ["name", "format", "value", "distribution"]
+EVIDENCE_SQL = f"""WITH {values_sql()}, {NUMBERS_SQL} {HISTOGRAM_SQL}, {NAME_SQL}, {FORMAT_SQL}, {TOKEN_SQL}, {jaccard_sql('sn', 'nf')}, {jaccard_sql('sf', 'ff')}, {jaccard_sql('sv', 'tf')},
+    m AS (SELECT table_name, column_name, bin, count(*) / n AS mass FROM b GROUP BY table_name, column_name, bin, n),
+    sd AS (SELECT {PAIR_SQL}, round(sum(least(a.mass, b.mass)), 6) AS score FROM m a JOIN m b ON a.bin = b.bin AND {DIFFERENT} GROUP BY ALL),
+    al AS (SELECT *, 'name' AS kind FROM sn UNION ALL SELECT *, 'format' FROM sf UNION ALL SELECT *, 'value' FROM sv UNION ALL SELECT *, 'distribution' FROM sd),
+    ev AS (SELECT q_table, q_column, c_table, c_column, {', '.join(f"coalesce(max(score) FILTER (kind = '{k}'), 0.0) AS {k}" for k in EVIDENCE)} FROM al GROUP BY ALL)"""
+
+
+def evidence(spark: SparkSession, root: str) -> DataFrame:
+    v = values(spark, root)
+    j = similarity.feature_jaccard
+    return similarity.evidence({"name": j(similarity.name_features(v)), "format": j(similarity.format_features(v)), "value": j(similarity.token_features(v)), "distribution": similarity.histogram_overlap(numbers(spark, root), 30)})
+
+
+@query(f"{EVIDENCE_SQL} {top_sql('round(((name + format) + value + distribution) / 4, 8)', 10, 'ev', 'q_table <> c_table')}")
+def d3l_column_query(spark, root):
+    return similarity.column_query(evidence(spark, root), EVIDENCE, 10)
+
+
+@query(f"""{EVIDENCE_SQL}, be AS (SELECT q_table, q_column, c_table, {', '.join(f'max({k}) AS {k}' for k in EVIDENCE)} FROM ev WHERE q_table <> c_table GROUP BY ALL),
+    sh AS (SELECT *, {', '.join(f'cume_dist() OVER (PARTITION BY q_table, q_column ORDER BY {k}) AS w_{k}' for k in EVIDENCE)} FROM be),
+    pe AS (SELECT q_table, c_table, round(({' + '.join(f'sum({k} * w_{k}) / sum(w_{k})' for k in EVIDENCE)}) / 4, 6) AS score FROM sh GROUP BY ALL)
+    SELECT q_table, c_table, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_table ORDER BY score DESC, c_table)::INT AS rank FROM pe) WHERE rank <= 5""")
+def d3l_table_query(spark, root):
+    return similarity.table_query(evidence(spark, root), EVIDENCE, 5)
+
+
+@query(f"""{EVIDENCE_SQL}, sh AS (SELECT q_table, q_column, c_table, c_column, {', '.join(f'round(cume_dist() OVER (PARTITION BY q_table, q_column ORDER BY {k}), 6) AS {k}' for k in EVIDENCE)} FROM ev WHERE q_table <> c_table)
+    {top_sql(f"greatest({', '.join(EVIDENCE)})", 10, 'sh')}""")
+def unionability_ensemble(spark, root):
+    return tables.ensemble(evidence(spark, root), EVIDENCE, 10)
+
+
+KEYWORDS = ["nation", "standard", "brass", "building", "high"]
+
+
+@query(f"""WITH {values_sql(TEXT)}, w AS (SELECT table_name, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS token FROM cv), tf AS (SELECT table_name, token, count(*) AS tf FROM w GROUP BY ALL),
+    ln AS (SELECT table_name, sum(tf) AS len FROM tf GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY ALL), f AS (SELECT count(*) AS n, avg(len) AS mean FROM ln),
+    s AS (SELECT table_name, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 6) AS score FROM tf JOIN df USING (token) JOIN ln USING (table_name), f WHERE token IN ({', '.join(repr(k) for k in KEYWORDS)}) GROUP BY table_name)
+    SELECT table_name, score, row_number() OVER (ORDER BY score DESC, table_name)::INT AS rank FROM s QUALIFY rank <= 5""")
+def keyword_search(spark, root):
+    return similarity.keyword_search(values(spark, root, TEXT), KEYWORDS, 5)
+
+
+# Vectors. Query vectors are those whose id is divisible by 20, against all.
+
+ASKED = "vec_id % 20 = 0"
+COSINE = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
+KNN_SQL = f"kn AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, c_id)::INT AS rank FROM (SELECT a.vec_id AS q_id, b.vec_id AS c_id, {COSINE} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0))"
+
+
+@query(f"WITH {KNN_SQL} SELECT * FROM kn WHERE rank <= 10")
+def vector_knn(spark, root):
+    e = read(spark, root, "embeddings")
+    return vectors.knn(e, e.where(ASKED), 10)
+
+
+EPS_SQL = "ep AS (SELECT a.vec_id AS q_id, b.vec_id AS c_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0)"
+
+
+def eps_pairs(spark: SparkSession, root: str, eps: float, pivots: int) -> DataFrame:
+    e = read(spark, root, "embeddings")
+    return vectors.pivot_eps_join(e.where(ASKED), e, eps, vectors.pivot_sample(e, pivots))
+
+
+@query(f"WITH {EPS_SQL} SELECT q_id, c_id, round(d, 6) AS dist FROM ep WHERE d <= 1.05")
+def vector_eps_join(spark, root):
+    return eps_pairs(spark, root, 1.05, 2).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"WITH {EPS_SQL} SELECT q_id, c_id, round(d, 6) AS dist FROM ep WHERE d <= 1.1")
+def pivot_filtered_eps_join(spark, root):
+    return eps_pairs(spark, root, 1.1, 5).withColumn("dist", F.round("dist", 6))
+
+
+@query("""WITH i AS (SELECT vec_id, 'col' || (vec_id % 7) AS col FROM embeddings), mt AS (SELECT a.vec_id AS q_id, b.vec_id AS c_id FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.0),
+    hi AS (SELECT q.col AS q_col, c.col AS c_col, count(DISTINCT q_id) AS n FROM mt JOIN i q ON q.vec_id = q_id JOIN i c ON c.vec_id = c_id WHERE q.col <> c.col GROUP BY ALL), z AS (SELECT col AS q_col, count(*) AS size FROM i GROUP BY ALL),
+    s AS (SELECT q_col, c_col, round(n / size, 6) AS score FROM hi JOIN z USING (q_col)) SELECT *, row_number() OVER (PARTITION BY q_col ORDER BY score DESC, c_col)::INT AS rank FROM s WHERE score >= 0.01 QUALIFY rank <= 5""")
+def pexeso_topk(spark, root):
+    e = read(spark, root, "embeddings")
+    items = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("col"), F.col("vec_id") % 7).alias("col"))
+    return vectors.vector_joinable(vectors.pivot_eps_join(e, e, 1.0, vectors.pivot_sample(e, 3)), items, 0.01, 5)
+
+
+@query(f"SELECT label, count(*) AS n, array_to_string([{', '.join(f'round(round(avg(embedding[{i}]::DOUBLE), 6) * 1000000)::BIGINT' for i in range(1, 65))}], ',') AS mean FROM embeddings GROUP BY label")
+def mean_vectors(spark, root):
+    found = vectors.mean_vectors(read(spark, root, "embeddings"), "label", 64)
+    return found.select("label", "n", F.array_join(F.transform("mean", lambda x: F.round(x * 1_000_000).cast("long")), ",").alias("mean"))
+
+
+@query("SELECT vec_id AS id, " + " || ".join("CASE WHEN list_dot_product(embedding::DOUBLE[], [" + ", ".join(map(str, p)) + "]::DOUBLE[]) >= 0 THEN '1' ELSE '0' END" for p in hashing.planes(16, 64)) + " AS bits FROM embeddings")
+def rp_lsh_bits(spark, root):
+    return vectors.projection_bits(read(spark, root, "embeddings"), 16, 64)
+
+
+SIMHASH_SQL = f"""wd AS (SELECT doc_id AS id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents)),
+    sh AS (SELECT id, ({' + '.join(f'CASE WHEN sum(((h >> {b}) & 1) * 2 - 1) > 0 THEN {2**b} ELSE 0 END' for b in range(32))})::BIGINT AS simhash FROM wd GROUP BY id)"""
+
+
+@query(f"WITH {SIMHASH_SQL} SELECT * FROM sh")
+def simhash_documents(spark, root):
+    return vectors.simhash(read(spark, root, "documents"))
+
+
+@query(f"""WITH {SIMHASH_SQL}, o AS (SELECT simhash, min(id) AS rep FROM sh GROUP BY 1)
+    SELECT a.rep AS a, b.rep AS b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM o a JOIN o b ON a.rep < b.rep AND bit_count(xor(a.simhash, b.simhash)) <= 2
+    UNION ALL SELECT rep, id, 0 FROM sh JOIN o USING (simhash) WHERE id <> rep""")
+def simhash_neardup(spark, root):
+    return vectors.hamming_pairs(vectors.simhash(read(spark, root, "documents")), 2)
+
+
+@query()
+def embedding_table_topk(spark, root):
+    e = read(spark, root, "embeddings")
+    items = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("t"), (F.col("vec_id") / 10).cast("long")).alias("table_name"), (F.col("vec_id") % 10).cast("string").alias("column_name"))
+    near = vectors.knn(e, e, 10)
+    return vectors.embedding_table_search(items, near, near.where("score > 0.7"), 60)
+
+
+@query()
+def signature_vector_search(spark, root):
+    sig = sketches.signatures(values(spark, root), 32)
+    v = sig.select(F.xxhash64("table_name", "column_name").alias("vec_id"), F.col("signature").cast("array<double>").alias("embedding"), "table_name", "column_name")
+    found = vectors.knn(v, v, 10)
+    name = lambda p: v.select(F.col("vec_id").alias(f"{p}_id"), F.col("table_name").alias(f"{p}_table"), F.col("column_name").alias(f"{p}_column"))
+    return found.join(name("q"), "q_id").join(name("c"), "c_id").select("q_table", "q_column", "c_table", "c_column", "score", "rank")
+
+
+@query()
+def bipartite_match_topk(spark, root):
+    w = sets.overlaps(values(spark, root)).where("q_table != c_table").withColumn("score", sets.MEASURES["min_overlap"]())
+    return sets.ranked(vectors.best_matching(w), F.col("score"), 10, by=["q_table"], then=["c_table"]).select("q_table", "c_table", "score", "n_pairs", "rank")
+
+
+@query()
+def c_alignment_greedy(spark, root):
+    return tables.c_alignment(sets.overlaps(values(spark, root)).where("q_table != c_table").withColumn("score", sets.MEASURES["containment"]()), 10)
+
+
+# Tables: complements, unionability, synthesised semantics.
+
+SCHEMA = [(t, c.split("_", 1)[-1]) for t, cs in catalog.COLUMNS.items() for c in cs]
+SCHEMA_SQL = f"sc AS (SELECT DISTINCT * FROM (VALUES {', '.join(map(str, SCHEMA))}) v(table_name, attr))"
+ATTR_SQL = """atf AS (SELECT attr, count(*) AS freq FROM sc GROUP BY 1), ap AS (SELECT x.attr AS a, y.attr AS b, count(*) AS freq FROM sc x JOIN sc y ON x.table_name = y.table_name AND x.attr <> y.attr GROUP BY ALL)"""
+BENEFIT_SQL = """qn AS (SELECT table_name, count(*) AS n FROM sc GROUP BY 1), pr AS (SELECT q.table_name AS q_table, ap.a AS attr, round(sum(ap.freq / atf.freq) / any_value(qn.n), 6) AS benefit FROM sc q JOIN ap ON ap.b = q.attr JOIN atf ON atf.attr = q.attr JOIN qn ON qn.table_name = q.table_name
+    WHERE NOT EXISTS (SELECT 1 FROM sc z WHERE z.table_name = q.table_name AND z.attr = ap.a) GROUP BY ALL),
+    bn AS (SELECT q_table, c.table_name AS c_table, attr AS added, benefit FROM pr JOIN sc c USING (attr) WHERE q_table <> c.table_name QUALIFY row_number() OVER (PARTITION BY q_table, c.table_name ORDER BY benefit DESC, attr) = 1)"""
+
+
+def schema(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SCHEMA, "table_name string, attr string")
+
+
+@query(f"WITH {SCHEMA_SQL}, {ATTR_SQL} SELECT a, b, ap.freq, x.freq AS freq_a, y.freq AS freq_b FROM ap JOIN atf x ON x.attr = a JOIN atf y ON y.attr = b WHERE a < b")
+def attr_freq_pairs(spark, root):
+    return tables.attribute_pairs(schema(spark))
+
+
+@query(f"WITH {SCHEMA_SQL}, {ATTR_SQL}, {BENEFIT_SQL} SELECT * FROM bn")
+def schema_benefit(spark, root):
+    return tables.schema_benefit(schema(spark))
+
+
+ENTITY = [(t, cs[0]) for t, cs in catalog.COLUMNS.items()] + [("orders", "o_custkey"), ("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("lineitem", "l_partkey")]
+
+
+@query(f"""WITH {values_sql()}, {SCHEMA_SQL}, {ATTR_SQL}, {BENEFIT_SQL}, en AS (SELECT * FROM (VALUES {', '.join(map(str, ENTITY))}) v(table_name, column_name)), ev AS (SELECT cv.* FROM cv JOIN en USING (table_name, column_name)),
+    sz AS (SELECT table_name, column_name, count(*) AS size FROM ev GROUP BY ALL), co AS (SELECT q_table, c_table, max(o / size) AS cover FROM (SELECT {PAIR_SQL}, count(*) AS o FROM ev a JOIN ev b ON a.value = b.value AND {DIFFERENT} GROUP BY ALL) JOIN sz ON sz.table_name = q_table AND sz.column_name = q_column GROUP BY ALL)
+    SELECT q_table, c_table, round(cover * benefit, 6) AS score, row_number() OVER (PARTITION BY q_table ORDER BY round(cover * benefit, 6) DESC, c_table)::INT AS rank FROM co JOIN bn USING (q_table, c_table) QUALIFY rank <= 5""")
+def schema_complement_topk(spark, root):
+    return tables.schema_complement(values(spark, root), spark.createDataFrame(ENTITY, "table_name string, column_name string"), schema(spark), 5)
+
+
+LABELS_SQL = "lb AS (SELECT table_name, lower(value) AS label, row_number() OVER (PARTITION BY table_name, column_name ORDER BY freq DESC, value) AS rank FROM cv), lv AS (SELECT table_name, label, sum(1.0::DOUBLE / rank) AS v FROM lb GROUP BY ALL), lw AS (SELECT table_name, label, pow(v, 2) / pow(count(*) OVER (PARTITION BY label), 2) AS weight FROM lv)"
+
+
+def labels(spark: SparkSession, root: str) -> DataFrame:
+    w = Window.partitionBy("table_name", "column_name").orderBy(F.desc("freq"), "value")
+    return values(spark, root).select("table_name", F.lower("value").alias("label"), F.row_number().over(w).alias("rank"))
+
+
+@query(f"WITH {values_sql()}, {LABELS_SQL} SELECT a.table_name AS q_table, b.table_name AS c_table, round(sum(a.weight * b.weight), 6) AS score FROM lw a JOIN lw b ON a.label = b.label AND a.table_name <> b.table_name GROUP BY ALL")
+def entity_complement_labels(spark, root):
+    return tables.entity_complement(labels(spark, root))
+
+
+@query()
+def entity_complement_topk(spark, root):
+    return tables.entity_complement_search(labels(spark, root), qgram_name_sim(spark, root), 5)
+
+
+@query(f"""WITH {values_sql()}, {OVERLAPS_SQL}, lf AS (SELECT i, sum(CASE WHEN i = 0 THEN 0 ELSE ln(greatest(i, 1)) END) OVER (ORDER BY i) AS f FROM range(0, (SELECT 2 * max(size) + 1 FROM sz)) r(i)), la AS (SELECT list(f ORDER BY i) AS f FROM lf)
+    SELECT q_table, q_column, c_table, c_column, least(1.0, round(list_sum(list_transform(range(0, overlap + 1), lambda k: exp(f[q_size + 1] - f[k + 1] - f[q_size - k + 1] + f[c_size + 1] - f[c_size - k + 1] - f[k + 1] - f[q_size + c_size + 1] + f[c_size + 1] + f[q_size + 1]))), 6)) AS score FROM p, la""")
+def hypergeom_unionability(spark, root):
+    return tables.set_unionability(sets.overlaps(values(spark, root)))
+
+
+@query()
+def nl_unionability(spark, root):
+    return tables.language_unionability(read(spark, root, "embeddings"), "label", 8)
+
+
+@query(f"""WITH {values_sql()}, {OVERLAPS_SQL}, v AS (SELECT a.table_name AS q_table, a.column_name AS q_column, a.value, arg_min((b.table_name, b.column_name), (-overlap / q_size, b.table_name, b.column_name)) AS label FROM cv a JOIN cv b ON a.value = b.value AND a.table_name <> b.table_name
+    JOIN p ON p.q_table = a.table_name AND p.q_column = a.column_name AND p.c_table = b.table_name AND p.c_column = b.column_name GROUP BY ALL)
+    SELECT q_table AS table_name, q_column AS column_name, label[1] AS label_table, label[2] AS label_column, round(count(*) / any_value(size), 6) AS share FROM v JOIN sz ON sz.table_name = q_table AND sz.column_name = q_column GROUP BY ALL""")
+def synth_column_semantics(spark, root):
+    return tables.synthesised_columns(values(spark, root))
+
+
+RELATIONS = {"nation": ["n_nationkey", "n_regionkey"], "region": ["r_regionkey", "r_name"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "documents": ["doc_id", "lang", "source"], "labels": ["doc_id", "quality", "toxic"], "embeddings": ["vec_id", "label"], "conversations": ["conv_id", "turn", "role"]}
+RELATIONS_SQL = "rp AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{a}|{b}' AS column_name, {a}::VARCHAR || chr(31) || {b}::VARCHAR AS value FROM {t}" for t, cs in RELATIONS.items() for i, a in enumerate(cs) for b in cs[i + 1 :]) + ") WHERE value IS NOT NULL)"
+REL_OVERLAP = f"rz AS (SELECT table_name, column_name, count(*) AS size FROM rp GROUP BY ALL), ro AS (SELECT o.*, o.overlap / rz.size AS rel FROM (SELECT {PAIR_SQL}, count(*) AS overlap FROM rp a JOIN rp b ON a.value = b.value AND a.table_name <> b.table_name GROUP BY ALL) o JOIN rz ON rz.table_name = q_table AND rz.column_name = q_column)"
+
+
+def relation_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return tables.pair_values({t: read(spark, root, t) for t in RELATIONS}, RELATIONS)
+
+
+@query(f"WITH {RELATIONS_SQL}, {REL_OVERLAP} SELECT q_table, q_column, c_table, c_column, round(rel, 6) AS score FROM ro")
+def synth_relation_semantics(spark, root):
+    return sets.overlaps(relation_pairs(spark, root)).where("q_table != c_table").select("q_table", "q_column", "c_table", "c_column", sets.MEASURES["containment"]().alias("score"))
+
+
+@query(f"""WITH {values_sql()}, {OVERLAPS_SQL}, {RELATIONS_SQL}, {REL_OVERLAP}, rs AS (SELECT *, split_part(q_column, '|', 1) AS q1, split_part(q_column, '|', 2) AS q2, split_part(c_column, '|', 1) AS c1, split_part(c_column, '|', 2) AS c2 FROM ro),
+    b AS (SELECT rs.q_table, rs.c_table, rs.q_column, max(rel * (x.overlap / x.q_size) * (y.overlap / y.q_size)) AS s FROM rs JOIN p x ON x.q_table = rs.q_table AND x.c_table = rs.c_table AND x.q_column = q1 AND x.c_column = c1 JOIN p y ON y.q_table = rs.q_table AND y.c_table = rs.c_table AND y.q_column = q2 AND y.c_column = c2 GROUP BY ALL)
+    SELECT q_table, c_table, score, row_number() OVER (PARTITION BY q_table ORDER BY score DESC, c_table)::INT AS rank FROM (SELECT q_table, c_table, round(sum(s), 6) AS score FROM b GROUP BY q_table, c_table) QUALIFY rank <= 5""")
+def santos_synth_topk(spark, root):
+    return tables.synthesised_search(values(spark, root), relation_pairs(spark, root), 5)
+
+
+# Graphs and knowledge.
+
+GRAPH_SQL = f"""{OVERLAPS_SQL}, {NAME_SQL}, {jaccard_sql('sn', 'nf')}, vs AS (SELECT q_table, q_column, c_table, c_column, round(overlap / (q_size + c_size - overlap), 6) AS v FROM p),
+    wi AS (SELECT table_name, column_name, avg(length(value)) AS w FROM cv GROUP BY ALL),
+    ed AS (SELECT q_table || '.' || q_column AS src, c_table || '.' || c_column AS dst, round((coalesce(v, 0) + coalesce(sn.score, 0) + least(x.w, y.w) / greatest(x.w, y.w)) / 3, 6) AS weight FROM vs FULL JOIN sn USING (q_table, q_column, c_table, c_column) JOIN wi x ON x.table_name = q_table AND x.column_name = q_column JOIN wi y ON y.table_name = c_table AND y.column_name = c_column),
+    ge AS (SELECT * FROM ed WHERE weight >= 0.4)"""
+
+
+def graph_of(spark: SparkSession, root: str) -> DataFrame:
+    v = values(spark, root)
+    value = sets.overlaps(v).withColumn("score", sets.MEASURES["jaccard"]())
+    widths = v.groupBy("table_name", "column_name").agg(F.avg(F.length("value")).alias("width"))
+    return graph.column_graph(value, similarity.feature_jaccard(similarity.name_features(v)), widths, 0.4)
+
+
+@query(f"WITH {values_sql()}, {GRAPH_SQL} SELECT * FROM ge")
+def column_graph(spark, root):
+    return graph_of(spark, root)
+
+
+PPR_SQL = "st AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM ge), so AS (SELECT DISTINCT src AS source FROM ge), i0 AS (SELECT source, source AS node, 1.0::DOUBLE AS score FROM so), " + ", ".join(
+    f"i{k} AS (SELECT source, node, sum(score) AS score FROM (SELECT i.source, st.dst AS node, i.score * st.p * 0.7 AS score FROM i{k - 1} i JOIN st ON st.src = i.node UNION ALL SELECT source, source, 0.3 FROM so) GROUP BY ALL)" for k in range(1, 7)
+)
+
+
+def page_ranks(edges: DataFrame) -> DataFrame:
+    return graph.pagerank(edges, edges.select(F.col("src").alias("source")).distinct())
+
+
+@query(f"WITH {values_sql()}, {GRAPH_SQL}, {PPR_SQL} SELECT source, node, round(score, 6) AS score FROM i6")
+def ppr_fixed_iter(spark, root):
+    return page_ranks(graph_of(spark, root)).withColumn("score", F.round("score", 6))
+
+
+DIRECT_SQL = f"di AS (SELECT q_table || '.' || q_column AS source, c_table || '.' || c_column AS via, round(overlap / least(q_size, c_size), 6) AS weight FROM p WHERE q_table <> c_table AND {BARE.format('q_column')} = {BARE.format('c_column')})"
+HOLISTIC_SQL = "ho AS (SELECT di.source, i6.node, round(sum(di.weight * i6.score), 6) AS score FROM di JOIN i6 ON i6.source = di.via WHERE di.source <> i6.node GROUP BY ALL)"
+
+
+def direct_matches(spark: SparkSession, root: str) -> DataFrame:
+    m = sets.name_and_value_match(values(spark, root), 1_000)
+    return m.select(F.concat_ws(".", "q_table", "q_column").alias("source"), F.concat_ws(".", "c_table", "c_column").alias("node"), F.col("score").alias("weight"))
+
+
+@query(f"WITH {values_sql()}, {GRAPH_SQL}, {PPR_SQL}, {DIRECT_SQL}, {HOLISTIC_SQL} SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, node)::INT AS rank FROM ho QUALIFY rank <= 10")
+def infogather_join_topk(spark, root):
+    return graph.holistic(direct_matches(spark, root), page_ranks(graph_of(spark, root)), 10)
+
+
+@query()
+def infogather_union_topk(spark, root):
+    found = graph.holistic(direct_matches(spark, root), page_ranks(graph_of(spark, root)), 60)
+    part = lambda c, k: F.element_at(F.split(c, r"\.", 2), k)
+    w = found.select(part("source", 1).alias("q_table"), part("source", 2).alias("q_column"), part("node", 1).alias("c_table"), part("node", 2).alias("c_column"), "score").where("q_table != c_table")
+    return sets.ranked(vectors.best_matching(w), F.col("score"), 10, by=["q_table"], then=["c_table"]).select("q_table", "c_table", "score", "n_pairs", "rank")
+
+
+PARENTS_SQL = r"""pt AS (SELECT DISTINCT lower(p_type) AS t FROM part), e1 AS (SELECT t AS class, regexp_replace(t, '\s+\S+$', '') AS parent FROM pt), e2 AS (SELECT parent AS class, regexp_replace(parent, '\s+\S+$', '') AS parent FROM e1),
+    pe AS (SELECT * FROM (SELECT * FROM e1 UNION SELECT * FROM e2 UNION SELECT parent, 'product' FROM e2) WHERE class <> parent)"""
+
+
+def parents(spark: SparkSession, root: str) -> DataFrame:
+    up = lambda c: F.regexp_replace(c, r"\s+\S+$", "")
+    e1 = read(spark, root, "part").select(F.lower("p_type").alias("class")).distinct().select("class", up("class").alias("parent"))
+    e2 = e1.select(F.col("parent").alias("class"), up("parent").alias("parent"))
+    return e1.union(e2).union(e2.select(F.col("parent").alias("class"), F.lit("product").alias("parent"))).where("class != parent").distinct()
+
+
+@query(f"WITH RECURSIVE {PARENTS_SQL}, cl AS (SELECT class, parent AS ancestor, 1 AS level FROM pe UNION SELECT cl.class, pe.parent, level + 1 FROM cl JOIN pe ON pe.class = cl.ancestor) SELECT class, ancestor, min(level)::INT AS level FROM cl WHERE class <> ancestor GROUP BY ALL")
+def class_closure(spark, root):
+    return graph.class_closure(parents(spark, root))
+
+
+@query(f"""WITH RECURSIVE {PARENTS_SQL}, cl AS (SELECT class, parent AS ancestor FROM pe UNION SELECT cl.class, pe.parent FROM cl JOIN pe ON pe.class = cl.ancestor),
+    n AS (SELECT lower(p_type) AS class, count(*) AS n FROM part GROUP BY 1), s AS (SELECT class, CASE WHEN n <= 10 THEN 1.0 ELSE 1 / log10(n) END AS s FROM n)
+    SELECT class, round(min(s), 6) AS score FROM (SELECT * FROM s UNION ALL SELECT ancestor, s FROM cl JOIN s USING (class) WHERE class <> ancestor) GROUP BY class""")
+def type_scores(spark, root):
+    counts = read(spark, root, "part").groupBy(F.lower("p_type").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return graph.type_scores(counts, graph.class_closure(parents(spark, root)))
+
+
+KB_SQL = """kl AS (SELECT lower(n_name) AS label, 'nation' || n_nationkey AS entity FROM nation UNION SELECT lower(r_name), 'region' || r_regionkey FROM region),
+    kt AS (SELECT 'nation' || n_nationkey AS entity, 'country' AS type FROM nation UNION SELECT 'region' || r_regionkey, 'continent' FROM region UNION SELECT entity, 'place' FROM kl),
+    kf AS (SELECT 'nation' || n_nationkey AS subject, 'located in' AS relation, 'region' || n_regionkey AS object FROM nation)"""
+
+
+def knowledge(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n, r = read(spark, root, "nation"), read(spark, root, "region")
+    of = lambda t, k: F.concat(F.lit(t), F.col(k))
+    kb = n.select(F.lower("n_name").alias("label"), of("nation", "n_nationkey").alias("entity")).union(r.select(F.lower("r_name"), of("region", "r_regionkey"))).distinct()
+    types = n.select(of("nation", "n_nationkey").alias("entity"), F.lit("country").alias("type")).union(r.select(of("region", "r_regionkey"), F.lit("continent"))).union(kb.select("entity", F.lit("place"))).distinct()
+    return kb, types, n.select(of("nation", "n_nationkey").alias("subject"), F.lit("located in").alias("relation"), of("region", "n_regionkey").alias("object"))
+
+
+@query(f"""WITH {values_sql()}, {KB_SQL}, h AS (SELECT table_name, column_name, type, count(DISTINCT lower(value)) AS hits FROM cv JOIN kl ON kl.label = lower(value) JOIN kt USING (entity) GROUP BY ALL), z AS (SELECT table_name, column_name, count(*) AS size FROM cv GROUP BY ALL)
+    SELECT table_name, column_name, type, round(hits / size, 6) AS score, row_number() OVER (PARTITION BY table_name, column_name ORDER BY round(hits / size, 6) DESC, type)::INT AS rank FROM h JOIN z USING (table_name, column_name)""")
+def kb_column_types(spark, root):
+    kb, types, _ = knowledge(spark, root)
+    return graph.annotate_columns(values(spark, root), kb, types)
+
+
+PLACES_SQL = "pl AS (SELECT DISTINCT table_name, a, b, x, y FROM (SELECT 'suppliers' AS table_name, 'nation' AS a, 'region' AS b, n_name AS x, r_name AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'customers', 'region', 'nation', r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey))"
+
+
+def places(spark: SparkSession, root: str) -> DataFrame:
+    where = read(spark, root, "nation").join(read(spark, root, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = read(spark, root, "supplier").join(where, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("suppliers").alias("table_name"), F.lit("nation").alias("a"), F.lit("region").alias("b"), F.col("n_name").alias("x"), F.col("r_name").alias("y"))
+    c = read(spark, root, "customer").join(where, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lit("customers"), F.lit("region"), F.lit("nation"), "r_name", "n_name")
+    return s.union(c).distinct()
+
+
+KB_REL_SQL = """wy AS (SELECT table_name, a, b, a AS sc, b AS oc, lower(x) AS sl, lower(y) AS ol FROM pl UNION ALL SELECT table_name, a, b, b, a, lower(y), lower(x) FROM pl), pn AS (SELECT table_name, a, b, count(*) AS n FROM pl GROUP BY ALL),
+    kr AS (SELECT table_name, sc AS subject_column, oc AS object_column, relation, round(count(DISTINCT (sl, ol)) / any_value(n), 6) AS score FROM wy JOIN kl s ON s.label = sl JOIN kl o ON o.label = ol JOIN kf ON subject = s.entity AND object = o.entity JOIN pn USING (table_name, a, b) GROUP BY table_name, a, b, sc, oc, relation)"""
+
+
+@query(f"WITH {KB_SQL}, {PLACES_SQL}, {KB_REL_SQL} SELECT * FROM kr")
+def kb_relations(spark, root):
+    kb, _, facts = knowledge(spark, root)
+    return graph.annotate_relations(places(spark, root), kb, facts)
+
+
+@query(f"""WITH {KB_SQL}, {PLACES_SQL}, {KB_REL_SQL}, t AS (SELECT table_name AS tn, subject_column || '|' || object_column AS pair, subject_column || '-' || relation || '-' || object_column AS triple, score FROM kr),
+    b AS (SELECT q.tn AS q_table, c.tn AS c_table, q.pair, max(q.score * c.score) AS s FROM t q JOIN t c ON q.triple = c.triple AND q.tn <> c.tn GROUP BY ALL) SELECT q_table, c_table, score, row_number() OVER (PARTITION BY q_table ORDER BY score DESC, c_table)::INT AS rank FROM (SELECT q_table, c_table, round(sum(s), 6) AS score FROM b GROUP BY q_table, c_table)""")
+def santos_kb_topk(spark, root):
+    rel = kb_relations(spark, root)
+    return graph.triple_search(rel.withColumn("triple", F.concat_ws("-", "subject_column", "relation", "object_column")), 10)
+
+
+FD = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "part": ["p_partkey", "p_name", "p_brand", "p_type"]}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{a}' AS lhs, '{b}' AS rhs FROM (SELECT {a}, count(DISTINCT {b}::VARCHAR) AS n FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1) HAVING max(n) = 1" for t, cs in FD.items() for a in cs for b in cs if a != b))
+def fd_pairs(spark, root):
+    each = [sets.functional_dependencies(read(spark, root, t), cs).select(F.lit(t).alias("table_name"), "lhs", "rhs") for t, cs in FD.items()]
+    return reduce(DataFrame.union, each)
+
+
+# Measures: nearest vectors against vectors of the same label.
+
+TRUTH_SQL = f"{KNN_SQL}, re AS (SELECT q_id AS query, c_id AS candidate, rank FROM kn WHERE rank <= 10), tr AS (SELECT a.vec_id AS query, b.vec_id AS candidate FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0)"
+AT_SQL = """ca AS (SELECT DISTINCT query, k FROM (SELECT query FROM re UNION SELECT query FROM tr), (SELECT unnest([1, 5, 10]) AS k)),
+    fo AS (SELECT query, k, count(*) AS found, count(tr.candidate) AS tp FROM re LEFT JOIN tr USING (query, candidate), (SELECT unnest([1, 5, 10]) AS k) WHERE rank <= k GROUP BY ALL), wa AS (SELECT query, count(*) AS wanted FROM tr GROUP BY 1),
+    ms AS (SELECT query, k, coalesce(tp, 0) AS tp, coalesce(found, 0) - coalesce(tp, 0) AS fp, CASE WHEN coalesce(found, 0) > 0 THEN tp / found WHEN coalesce(wanted, 0) = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN coalesce(wanted, 0) > 0 THEN coalesce(tp, 0) / wanted ELSE 1.0 END AS r FROM ca LEFT JOIN fo USING (query, k) LEFT JOIN wa USING (query)),
+    me AS (SELECT query, k, tp, fp, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM ms)"""
+
+
+def retrieval(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    e = read(spark, root, "embeddings")
+    found = vectors.knn(e, e.where(ASKED), 10).select(F.col("q_id").alias("query"), F.col("c_id").alias("candidate"), "rank")
+    q, c = e.where(ASKED).select(F.col("vec_id").alias("query"), "label"), e.select(F.col("vec_id").alias("candidate"), "label")
+    return found, q.join(c, "label").where("query != candidate").select("query", "candidate")
+
+
+@query(f"WITH {TRUTH_SQL}, {AT_SQL} SELECT * FROM me")
+def precision_recall_at_k(spark, root):
+    return evaluation.at_cutoffs(*retrieval(spark, root), [1, 5, 10])
+
+
+@query(f"WITH {TRUTH_SQL}, {AT_SQL} SELECT k, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, round(stddev_pop(precision), 6) AS precision_std FROM me GROUP BY k")
+def macro_measures(spark, root):
+    return evaluation.macro(evaluation.at_cutoffs(*retrieval(spark, root), [1, 5, 10]))
+
+
+@query(f"WITH {TRUTH_SQL}, h AS (SELECT query, rank, count(*) OVER (PARTITION BY query ORDER BY rank) AS seen FROM re JOIN tr USING (query, candidate)), s AS (SELECT query, sum(seen / rank) AS s FROM h GROUP BY 1) SELECT query, round(coalesce(s, 0) / count(*), 6) AS ap FROM tr LEFT JOIN s USING (query) GROUP BY query, s")
+def map_at_k(spark, root):
+    return evaluation.average_precision(*retrieval(spark, root))
