@@ -119,7 +119,8 @@ def write_warc(pages: DataFrame, out: str, *, least: int = 0, shard_bytes: int =
     low, high, total = sized.agg(F.min("id"), F.max("id"), F.sum("n")).first()
     low, high = low or 0, high or 0
     width = max(1, math.ceil((high - low + 1) / RANGES))
-    at = F.coalesce(F.floor((F.col("id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("long")
+    # Whole division never falls as ids rise, and neither overflows nor rounds.
+    at = F.coalesce(F.expr(f"id div {width}L"), F.lit(low // width if low >= 0 else -(-low // width)))
     share = max(1, math.ceil((total or 0) / max(1, math.ceil((total or 0) / shard_bytes))))
     shard, before = {}, 0
     for k, n in sorted(tuple(r) for r in sized.groupBy(at.alias("at")).agg(F.sum("n")).collect()):
