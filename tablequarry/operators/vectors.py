@@ -44,7 +44,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, id: str = "vec_id", e
         t = pa.Table.from_batches(list(batches)).combine_chunks()
         kind, ids = t["kind"].to_numpy(), t["id"].to_numpy()
         v = _matrix(t["v"].combine_chunks())
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
         q, c = kind == 0, kind == 1
         score = np.round(v[q] @ v[c].T, 6)
         score[ids[q][:, None] == ids[c][None, :]] = -2
