@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import planes, sign_bits
 from ..functions.stats import assignment
-from ..functions.vectors import distance
 
 #: Query vectors that one task holds against the blocks of all vectors.
 QUERY_BLOCK = 2_000
@@ -75,21 +74,51 @@ def pivot_sample(vectors: DataFrame, k: int, *, rows: int = 1_000, id: str = "ve
 
 
 def pivot_eps_join(queries: DataFrame, vectors: DataFrame, eps: float, pivots: list[list[float]], *, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(q_id, c_id, dist) of pairs within eps: an equi-join of grid cells over the distances to two pivots, then the triangle inequality over all pivots, then the distance itself."""
-    literal = [F.array(*map(F.lit, p)) for p in pivots]
-    coords = F.array(*(distance(F.col("v"), p) for p in literal))
-    grid = min(2, len(pivots))
-    cell = lambda i: F.floor(F.col("d")[i] / eps)
-    near = [F.explode(F.array(*(cell(i) + s for s in (-1, 0, 1)))).alias(f"g{i}") for i in range(grid)]
-    q = queries.select(F.col(id).alias("q_id"), F.col(embedding).alias("v")).withColumn("d", coords)
-    for e, i in zip(near, range(grid), strict=True):
-        q = q.select("*", e)
-    q = q.select("q_id", F.col("v").alias("qv"), F.col("d").alias("qd"), *(f"g{i}" for i in range(grid)))
-    c = vectors.select(F.col(id).alias("c_id"), F.col(embedding).alias("v")).withColumn("d", coords).select("c_id", "v", "d", *(cell(i).alias(f"g{i}") for i in range(grid)))
-    joined = q.join(c, [f"g{i}" for i in range(grid)]).where("q_id != c_id")
-    for i in range(len(pivots)):
-        joined = joined.where(F.abs(F.col("qd")[i] - F.col("d")[i]) <= eps + 1e-9)
-    return joined.select("q_id", "c_id", distance(F.col("qv"), F.col("v")).alias("dist")).where(F.col("dist") <= eps)
+    """(q_id, c_id, dist) of pairs within eps.
+
+    Vectors fall into grid cells by their distances to the first two pivots, cells being eps wide;
+    a query goes to its own and the neighbouring ones. In a cell the triangle inequality over all
+    pivots excludes pairs, and a matrix product gives the distances of the rest. The vectors are
+    dealt into parts, so that no task holds a whole dense cell; queries go to each part.
+    """
+    base = np.array(pivots)
+    grid = min(2, len(base))
+    parts = max(1, math.ceil(vectors.count() / VECTOR_PART))
+
+    def coordinates(side: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                d = np.sqrt(np.maximum(((_matrix(b.column("v"))[:, None, :] - base[None]) ** 2).sum(axis=2), 0))
+                cell = np.floor(d[:, :grid] / eps).astype(np.int64)
+                key = [str(list(map(int, c))) for c in cell]
+                near = [[str([int(x) + s for x, s in zip(c, shift, strict=True)]) for shift in np.array(np.meshgrid(*[[-1, 0, 1]] * grid)).T.reshape(-1, grid).tolist()] for c in cell] if side == 0 else [[k] for k in key]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(list(d), pa.list_(pa.float64())), pa.array(near, pa.list_(pa.string()))], ["id", "v", "d", "cells"])
+
+        return run
+
+    def placed(df: DataFrame, side: int) -> DataFrame:
+        rows = df.where(F.col(embedding).isNotNull()).select(F.col(id).alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+        part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if side == 0 else F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+        return rows.mapInArrow(coordinates(side), "id long, v array<double>, d array<double>, cells array<string>").select("id", "v", "d", F.explode("cells").alias("cell")).select("id", "v", "d", "cell", F.lit(side).alias("side"), part.alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        side, ids = t["side"].to_numpy(), t["id"].to_numpy()
+        v, d = _matrix(t["v"].combine_chunks()), _matrix(t["d"].combine_chunks())
+        q, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out: list[list[np.ndarray]] = [[], [], []]
+        for k in range(0, len(q) if len(c) else 0, 256):
+            a = q[k : k + 256]
+            near = (v[a] ** 2).sum(axis=1)[:, None] + (v[c] ** 2).sum(axis=1)[None] - 2 * v[a] @ v[c].T <= eps * eps + 1e-6
+            for p in range(len(base)):
+                near &= np.abs(d[a, p][:, None] - d[c, p][None]) <= eps + 1e-9
+            i, j = np.nonzero(near & (ids[a][:, None] != ids[c][None]))
+            dist = np.sqrt(((v[a[i]] - v[c[j]]) ** 2).sum(axis=1))
+            for x, y in zip(out, (ids[a[i]], ids[c[j]], dist), strict=True):
+                x.append(y[dist <= eps])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, dtype), *x])) for x, dtype in zip(out, (np.int64, np.int64, np.float64), strict=True)], ["q_id", "c_id", "dist"])
+
+    return placed(queries, 0).unionByName(placed(vectors, 1)).groupBy("cell", "part").applyInArrow(run, "q_id long, c_id long, dist double")
 
 
 def vector_joinable(matches: DataFrame, items: DataFrame, threshold: float, k: int) -> DataFrame:
