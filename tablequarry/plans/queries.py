@@ -60,7 +60,7 @@ def column_modes(spark, root):
     return sets.modes(values(spark, root))
 
 
-@query(f"WITH {values_sql()} SELECT value, {JSON} AS postings, count(*) AS frequency FROM cv GROUP BY value")
+@query(f"WITH {values_sql()} SELECT value, {JSON}::VARCHAR AS postings, count(*) AS frequency FROM cv GROUP BY value")
 def posting_lists(spark, root):
     return sets.posting_lists(values(spark, root)).withColumn("postings", F.to_json("postings"))
 
