@@ -31,7 +31,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), out)
-    return cut(warc.read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    found = cut(warc.read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    warc.remove(out)  # the query returns what it has read; write_warc itself leaves its files
+    return found
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,11 @@ def read_manifest(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema("file string, shard int, records long, bytes long, sha256 string").json(f"{out}/manifest")
 
 
+def remove(out: str) -> None:
+    system, root = fs.FileSystem.from_uri(out)
+    system.delete_dir(root)
+
+
 def _members(stream) -> Iterator[bytes]:
     """The gzip members of a stream, one at a time."""
     unpack, parts = zlib.decompressobj(31), []
