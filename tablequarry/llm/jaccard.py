@@ -124,20 +124,21 @@ def _regions(texts: DataFrame, classes: DataFrame, width: int, threshold: int) -
                 w = s[: window_sizes(len(s), threshold)[0]]
                 at = w & np.int64(2**bits - 1)
                 w = w[(mask.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-                rows.append((key, *_halves(digest), len(s), w))
+                rows.append((key, _halves(digest)[0], len(s), w))
         sizes = [len(r[-1]) for r in rows]
         each = lambda k: [r[k] for r, size in zip(rows, sizes, strict=True) for _ in range(size)]
-        return _batch({"id": each(0), "c": each(1), "c2": each(2), "n": each(3), "h": np.concatenate([np.empty(0, np.int64), *(r[-1] for r in rows)])}, {"id": long, "c": long, "c2": long, "n": long, "h": long})
+        return _batch({"id": each(0), "c": each(1), "n": each(2), "h": np.concatenate([np.empty(0, np.int64), *(r[-1] for r in rows)])}, {"id": long, "c": long, "n": long, "h": long})
 
-    rows = _sets(texts, width, probes, "id long, c long, c2 long, n long, h long").dropDuplicates(["id", "c", "c2", "h"])
-    rows = rows.join(classes.select(F.col("rep").alias("id"), "c", "c2"), ["id", "c", "c2"], "left_semi").join(shared, "h")
-    rank = Window.partitionBy("id", "c", "c2").orderBy("df", "h")
+    # Two shuffles: by hash, then by document, where one copy of each set, and of each row, remains.
+    rows = _sets(texts, width, probes, "id long, c long, n long, h long").join(shared, "h")
+    rows = rows.join(classes.select(F.col("rep").alias("id"), "c"), ["id", "c"], "left_semi").dropDuplicates(["id", "c", "h"])
+    rank = Window.partitionBy("id", "c").orderBy("df", "h")
     least = lambda n: F.ceil(F.lit(threshold) * n / 100).cast("long")
     slack = lambda n: F.least(least(n), F.greatest(F.ceil(n / 10).cast("long"), F.lit(SLACK)))
     n = F.col("n")
     window = n - least(n) + slack(n)
     # Shingles of the window that no other set has come first; the rest of the probes are the rarest shared ones.
-    left = window - slack(least(n)) + 1 - (window - F.count(F.lit(1)).over(Window.partitionBy("id", "c", "c2")))
+    left = window - slack(least(n)) + 1 - (window - F.count(F.lit(1)).over(Window.partitionBy("id", "c")))
     probing = cut(rows.select("id", "n", "h", F.row_number().over(rank).alias("r"), left.alias("left")).where("r <= left").select("id", "n", "h"))
     pivots = probing.groupBy("h").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot != other").select("h", "pivot")
     return probing.join(pivots, "h").select("id", "n", "pivot").distinct()
