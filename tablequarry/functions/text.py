@@ -69,3 +69,10 @@ def format_descriptor(c: Column) -> Column:
 def sentence(column: Column, n: Column, longest: Column, shortest: Column, mean: Column, values: Column) -> Column:
     """'{column} contains {n} values ({longest}, {shortest}, {mean}): v1, v2, ...'"""
     return F.concat(column, F.lit(" contains "), n.cast("string"), F.lit(" values ("), longest.cast("string"), F.lit(", "), shortest.cast("string"), F.lit(", "), mean.cast("string"), F.lit("): "), F.array_join(values, ", "))
+
+
+def shuffled(c: Column, seed: int) -> Column:
+    """The words of a text in an order that a hash of word, place and seed gives."""
+    words = F.split(c, " ")
+    keyed = F.transform(words, lambda w, i: F.struct(F.md5(F.concat_ws(":", w, (i + 1).cast("string"), F.lit(str(seed)))).alias("k"), w.alias("w")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["w"]), " ")

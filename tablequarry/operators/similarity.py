@@ -130,3 +130,15 @@ def keyword_search(values: DataFrame, keywords: list[str], k: int, *, k1: float
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scored = asked.join(df, "token").join(lengths, "table_name").join(F.broadcast(facts)).groupBy("table_name").agg(F.round(F.sum(part), 6).alias("score"))  # facts: one row
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "table_name"))).where(F.col("rank") <= k)
+
+
+def training_texts(sentences: DataFrame, *, augment: tuple[int, int] = (1, 5), train: tuple[int, int] = (8, 10), seed: int = 7) -> DataFrame:
+    """(table_name, column_name, sentence, augmented, part) for training an encoder elsewhere.
+
+    A hash of the column decides which share `augment` of the sentences gets its words shuffled,
+    and which share `train` is for training, the rest being for development.
+    """
+    from ..functions.hashing import hash32
+
+    h = lambda what: hash32(F.concat_ws(":", F.lit(what), *KEY))
+    return sentences.select(*KEY, "sentence", F.when(h("augment") % augment[1] < augment[0], text.shuffled(F.col("sentence"), seed)).otherwise(F.col("sentence")).alias("augmented"), F.when(h("part") % train[1] < train[0], "train").otherwise("dev").alias("part"))

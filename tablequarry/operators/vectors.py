@@ -138,6 +138,20 @@ def mean_vectors(vectors: DataFrame, group: str, dim: int, embedding: str = "emb
     return vectors.where(F.col(embedding).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.array(*(F.round(F.avg(F.col(embedding)[i].cast("double")), 6) for i in range(dim))).alias("mean"))
 
 
+def two_part_vectors(vectors: DataFrame, at: int, dim: int, *, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(id, embedding): vectors whose cosine is the mean of two: of the first `at` components about their mean, and of the rest.
+
+    For encodings of a column's own features followed by those of its context.
+    """
+    means = vectors.where(F.col(embedding).isNotNull()).agg(F.array(*(F.avg(F.col(embedding)[i].cast("double")) for i in range(at))).alias("m"))
+    both = vectors.where(F.col(embedding).isNotNull()).join(F.broadcast(means))  # one row
+    first = F.zip_with(F.slice(embedding, 1, at), "m", lambda x, m: x.cast("double") - m)
+    rest = F.transform(F.slice(embedding, at + 1, dim - at), lambda x: x.cast("double"))
+    unit = lambda a: F.transform(a, lambda x: x / F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, y: s + y * y)))
+    parts = both.select(F.col(id), first.alias("a"), rest.alias("b"))
+    return parts.select(id, F.concat(unit(F.col("a")), unit(F.col("b"))).alias(embedding))
+
+
 def projection_bits(vectors: DataFrame, bits: int, dim: int, *, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     return vectors.select(F.col(id).alias("id"), sign_bits(F.col(embedding), planes(bits, dim)).alias("bits"))
 

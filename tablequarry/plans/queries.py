@@ -667,3 +667,21 @@ def macro_measures(spark, root):
 @query(f"WITH {TRUTH_SQL}, h AS (SELECT query, rank, count(*) OVER (PARTITION BY query ORDER BY rank) AS seen FROM re JOIN tr USING (query, candidate)), s AS (SELECT query, sum(seen / rank) AS s FROM h GROUP BY 1) SELECT query, round(coalesce(s, 0) / count(*), 6) AS ap FROM tr LEFT JOIN s USING (query) GROUP BY query, s")
 def map_at_k(spark, root):
     return evaluation.average_precision(*retrieval(spark, root))
+
+
+H32 = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+
+
+@query(f"""SELECT table_name, column_name, sentence, CASE WHEN {H32.format("'augment:' || table_name || ':' || column_name")} % 5 < 1 THEN array_to_string(list_transform(list_sort(list_transform(range(1, len(string_split(sentence, ' ')) + 1),
+    lambda i: {{'k': md5(string_split(sentence, ' ')[i] || ':' || i || ':7'), 'w': string_split(sentence, ' ')[i]}})), lambda x: x.w), ' ') ELSE sentence END AS augmented,
+    CASE WHEN {H32.format("'part:' || table_name || ':' || column_name")} % 10 < 8 THEN 'train' ELSE 'dev' END AS part FROM ({SQL["column_sentence"]})""")
+def training_texts(spark, root):
+    return similarity.training_texts(column_sentence(spark, root))
+
+
+@query(f"""WITH mn AS (SELECT [{', '.join(f'avg(embedding[{i}]::DOUBLE)' for i in range(1, 49))}] AS m FROM embeddings), tv AS (SELECT vec_id, list_transform(range(1, 49), lambda i: embedding[i]::DOUBLE - m[i]) AS a, embedding[49:64]::DOUBLE[] AS b FROM embeddings, mn),
+    sc AS (SELECT x.vec_id AS q_id, y.vec_id AS c_id, round((list_cosine_similarity(x.a, y.a) + list_cosine_similarity(x.b, y.b)) / 2, 6) AS score FROM tv x JOIN tv y ON x.vec_id <> y.vec_id AND x.vec_id % 20 = 0)
+    SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, c_id)::INT AS rank FROM sc QUALIFY rank <= 10""")
+def two_part_knn(spark, root):
+    v = vectors.two_part_vectors(read(spark, root, "embeddings"), 48, 64)
+    return vectors.knn(v, v.where(ASKED), 10)
