@@ -44,7 +44,8 @@ def repeated_lines(texts: DataFrame, min_words: int) -> DataFrame:
     # A match extends both ways over the windows round its fingerprint: equal windows are equal runs.
     found = cut(prints.join(shared, "h").select("h", "id", "th", F.explode("windows").alias("v")).select("h", F.col("v.key").alias("key"), "id", "th", F.col("v.first").alias("first"), F.col("v.last").alias("last")))
     start = F.struct("id", "th", "first")
-    origin = found.groupBy("h", "key").agg(F.min(start).alias("a"), F.max(start).alias("b")).where("a != b").select("h", "key", "a")
+    # Cut, so that the join reads two plain shuffles and the side of a very common run can be split.
+    origin = cut(found.groupBy("h", "key").agg(F.min(start).alias("a"), F.max(start).alias("b")).where("a != b").select("h", "key", "a"))
     later = found.join(origin, ["h", "key"]).where(start > F.col("a"))
     # Overlapping and touching windows merge into whole runs.
     return later.select("id", "th", F.explode(F.sequence("first", "last")).alias("pos")).distinct()
