@@ -27,7 +27,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of 50 words or more go, and documents of which nothing else is left."""
     ship(spark)
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(docs, both_ways=True)
     found = found.where((F.col("n_deleted") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     return found.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -13,13 +13,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 FILTER_BITS = 22
 
 
-def _fingerprints(texts: DataFrame, min_words: int) -> DataFrame:
+def _fingerprints(texts: DataFrame, min_words: int, both_ways: bool) -> DataFrame:
     """(id, th, at, h, windows): the selected lines with the windows in which they are least.
 
     Blank lines do not count. A window is the shortest run of lines, from each line on, that has
     min_words words; so a run shared by two places with that many words shares a whole window,
     with it the window's least line hash (the last of equal ones), which both places select.
     windows: (first, last, key), the first and last line and a hash of all its lines.
+    both_ways: also the shortest run that ends at each line. A line of a shared run that no
+    window inside it from a line on reaches is the end of one: all before it hold enough words.
     """
     lines = texts.select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select("id", "th", "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("w")).where("w > 0")
@@ -27,18 +29,31 @@ def _fingerprints(texts: DataFrame, min_words: int) -> DataFrame:
     by = Window.partitionBy("id", "th")
     lines = lines.withColumn("c", F.sum("w").over(by.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"))
     lines = lines.select("*", F.count(F.lit(1)).over(by.orderBy("c").rangeBetween(Window.unboundedPreceding, min_words - 1)).alias("end"), F.sum("w").over(by).alias("all"))
-    per = lines.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "end", ((F.col("all") - F.col("c")) >= min_words).alias("full")))).alias("x"), F.max("all").alias("all")).where(F.col("all") >= min_words)
+    back = []
+    if both_ways:
+        # Line `begin` (from 0) is the last one from which there are enough words: as many lines end that far before.
+        lines = lines.withColumn("e", F.col("c") + F.col("w"))
+        lines = lines.select("*", F.count(F.lit(1)).over(by.orderBy("e").rangeBetween(Window.unboundedPreceding, -min_words)).alias("begin"))
+        back = ["begin", (F.col("e") >= min_words).alias("led")]
+    per = lines.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "end", ((F.col("all") - F.col("c")) >= min_words).alias("full"), *back))).alias("x"), F.max("all").alias("all")).where(F.col("all") >= min_words)
     # Window i (from 0) holds the lines i .. end - 1, numbered among those that are not blank.
     run = lambda x, i: F.slice("x", i + 1, (x["end"] - i).cast("int"))
-    least = lambda x, i: F.array_max(F.transform(run(x, i), lambda y: F.struct(F.bitwise_not(y["h"]).alias("neg"), y["pos"].alias("pos"))))
-    window = lambda x, i: F.when(x["full"], F.struct(least(x, i).alias("least"), x["pos"].alias("first"), F.element_at(F.col("x"), x["end"].cast("int"))["pos"].alias("last"), F.xxhash64(F.transform(run(x, i), lambda y: y["h"])).alias("key")))
-    windows = per.select("id", "th", F.explode(F.transform("x", window)).alias("v")).where("v is not null").select("id", "th", F.bitwise_not(F.col("v.least.neg")).alias("h"), F.col("v.least.pos").alias("at"), F.struct("v.first", "v.last", "v.key").alias("v"))
+    least = lambda r: F.array_max(F.transform(r, lambda y: F.struct(F.bitwise_not(y["h"]).alias("neg"), y["pos"].alias("pos"))))
+    made = lambda r, first, last: F.struct(least(r).alias("least"), first.alias("first"), last.alias("last"), F.xxhash64(F.transform(r, lambda y: y["h"])).alias("key"))
+    window = lambda x, i: F.when(x["full"], made(run(x, i), x["pos"], F.element_at(F.col("x"), x["end"].cast("int"))["pos"]))
+    found = F.transform("x", window)
+    if both_ways:
+        opening = lambda x: F.element_at(F.col("x"), (x["begin"] + 1).cast("int"))
+        led = lambda x, i: F.slice("x", (x["begin"] + 1).cast("int"), (i + 1 - x["begin"]).cast("int"))
+        # Not again those that are also the shortest from their first line on.
+        found = F.concat(found, F.transform("x", lambda x, i: F.when(x["led"] & (opening(x)["end"] != i + 1), made(led(x, i), opening(x)["pos"], x["pos"]))))
+    windows = per.select("id", "th", F.explode(found).alias("v")).where("v is not null").select("id", "th", F.bitwise_not(F.col("v.least.neg")).alias("h"), F.col("v.least.pos").alias("at"), F.struct("v.first", "v.last", "v.key").alias("v"))
     return windows.groupBy("id", "th", "at", "h").agg(F.collect_list("v").alias("windows"))
 
 
-def repeated_lines(texts: DataFrame, min_words: int) -> DataFrame:
+def repeated_lines(texts: DataFrame, min_words: int, both_ways: bool = False) -> DataFrame:
     """(id, th, pos): the lines that repeat earlier ones; texts has id, th (a hash of the text) and text."""
-    prints = cut(_fingerprints(texts, min_words))
+    prints = cut(_fingerprints(texts, min_words, both_ways))
     place = F.struct("id", "th", "at")
     shared = prints.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("h")
     # A match extends both ways over the windows round its fingerprint: equal windows are equal runs.
@@ -51,7 +66,7 @@ def repeated_lines(texts: DataFrame, min_words: int) -> DataFrame:
     return later.select("id", "th", F.explode(F.sequence("first", "last")).alias("pos")).distinct()
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = 50, id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = 50, id: str = "doc_id", text: str = "text", both_ways: bool = False) -> DataFrame:
     """All columns of docs, its text without repeated runs, then n_lines and n_deleted.
 
     A run of lines (split at newlines, compared byte by byte through 64-bit hashes) that has
@@ -59,13 +74,17 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 50, id: str = "doc_id", tex
     in a document of a smaller id, or before it in the same one. Runs of fewer words stay.
     Every deleted line has an equal one that stays.
 
+    both_ways: whole runs go. Otherwise, as in the SQL of op3, only windows count that begin at
+    each line and end where they reach min_words words; so up to min_words - 1 words at the end
+    of a repeated run stay if its last windows run over into other lines.
+
     A null text stays null, with no lines; an empty one has one line. Null ids come first. Rows
     that repeat both id and text are alike: what goes in one goes in all. An empty table gives an
     empty result. Columns n_lines and n_deleted of docs, if any, are replaced.
     """
     rows = docs.drop("n_lines", "n_deleted")
     th = F.xxhash64(F.col(text))
-    gone = repeated_lines(rows.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), th.alias("th"), F.col(text).alias("text")), min_words)
+    gone = repeated_lines(rows.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), th.alias("th"), F.col(text).alias("text")), min_words, both_ways)
     gone = cut(gone.groupBy("id", "th").agg(F.collect_list("pos").alias("_gone")))
     # Texts that lose nothing stay where they are; only the others meet their lines in a shuffle.
     hashed = rows.withColumn("_th", th).withColumn("_h", F.xxhash64(F.col(id), F.col("_th")))

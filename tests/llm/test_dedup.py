@@ -98,6 +98,35 @@ def test_lines_edge_cases(spark):
     assert sorted(x.n_deleted for x in line_dedup.dedup_lines(documents(spark, [(None, same), (1, same)]), min_words=4).collect()) == [0, 2]
 
 
+def brute_runs(rows, least):
+    """Every run of at least `least` words that stands at an earlier place: the whole comparison."""
+    word = re.compile(line_dedup.WORD)
+    runs, gone = {}, {i: set() for i, _ in rows}
+    for i, t in rows:
+        full = [(p, x, len(word.findall(x))) for p, x in enumerate(t.split("\n")) if word.search(x)]
+        for a in range(len(full)):
+            for b in range(a, len(full)):
+                if sum(n for _, _, n in full[a : b + 1]) >= least:
+                    runs.setdefault(tuple(x for _, x, _ in full[a : b + 1]), []).append((i, full[a][0], full[b][0]))
+    for places in runs.values():
+        for i, a, b in sorted(places)[1:]:
+            gone[i].update(range(a, b + 1))
+    return sorted((i, len(gone[i]), "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i])) for i, t in rows)
+
+
+def test_whole_runs_go_both_ways(spark):
+    r = random.Random(8)
+    pool = [" ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(r.randint(0, 7))) for _ in range(25)]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 14)))) for i in range(30)]
+    rows += [(i, "\n".join([f"own {i}", *rows[k][1].split("\n")[1:6], f"end {i}"])) for i, k in ((40, 3), (41, 9), (42, 9), (43, 20))]
+    rows += [(50, "\n".join(["one two three four"] * 9)), (60, "p " * 12 + "\n" + "q " * 4), (61, "r\n" + "p " * 12 + "\n" + "q " * 4 + "\ns " + "t " * 20), (62, "p " * 12 + "\n\n" + "q " * 4)]
+    expected = brute_runs(rows, 9)
+    found = line_dedup.dedup_lines(documents(spark, rows), min_words=9, both_ways=True)
+    assert got(found, "doc_id", "n_deleted", "text") == expected
+    # The run of 12 and 4 words goes whole where it repeats, in the middle and at the end of a document.
+    assert {i: n for i, n, _ in expected if i >= 60} == {60: 0, 61: 2, 62: 3}
+
+
 def brute_jaccard(rows, width=5):
     def sets(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
