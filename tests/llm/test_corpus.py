@@ -148,6 +148,24 @@ def test_plan(histogram, pieces):
         assert at <= 64
 
 
+@pytest.mark.parametrize("n", [60_000, 600_000, 6_000_000])
+def test_plan_of_many_pieces(n):
+    """However many pieces, as few sequences as their tokens fill, to a thousandth."""
+    lengths = np.clip(np.random.default_rng(2).lognormal(5.2, 1.1, n).astype(int), 1, 2048)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+    slots = packing.plan(histogram, 2048)
+    filled = np.zeros(n + 1, dtype=np.int64)
+    for length, count in histogram.items():
+        own = slots[slots[:, 0] == length]
+        for first, end, sequence, offset in zip(own[:, 1], [*own[1:, 1], count], own[:, 2], own[:, 3], strict=True):
+            filled[sequence] += length
+            filled[sequence + end - first] -= length
+            assert 0 <= first < end <= count and offset + length <= 2048
+    filled = np.cumsum(filled)
+    assert filled.max() <= 2048 and filled.sum() == lengths.sum()
+    assert (filled > 0).sum() <= math.ceil(lengths.sum() / 2048) * 1.001
+
+
 # Quality
 
 
