@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import planes, sign_bits
 from ..functions.stats import assignment
+from ..functions.vectors import cosine
 
 #: Query vectors that one task holds against the blocks of all vectors.
 QUERY_BLOCK = 2_000
@@ -177,15 +178,17 @@ def best_matching(weights: DataFrame, *, normalised: bool = False) -> DataFrame:
     return weights.groupBy("q_table", "c_table").applyInArrow(run, "q_table string, c_table string, score double, n_pairs long")
 
 
-def embedding_table_search(items: DataFrame, neighbours: DataFrame, similar: DataFrame, k: int) -> DataFrame:
+def embedding_table_search(items: DataFrame, neighbours: DataFrame, vectors: DataFrame, threshold: float, k: int, *, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Tables for tables by column embeddings: candidates from the columns' neighbours, verified by the best matching.
 
-    items: (id, table_name, column_name); neighbours: (q_id, c_id); similar: (q_id, c_id, score) over the threshold.
+    items: (id, table_name, column_name); neighbours: (q_id, c_id), which only name candidate
+    tables. The matching weighs all column pairs of a candidate table whose cosine is over the threshold.
     """
-    q = items.select(F.col("id").alias("q_id"), F.col("table_name").alias("q_table"), F.col("column_name").alias("q_column"))
-    c = items.select(F.col("id").alias("c_id"), F.col("table_name").alias("c_table"), F.col("column_name").alias("c_column"))
-    candidates = neighbours.join(q, "q_id").join(c, "c_id").where("q_table != c_table").select("q_table", "c_table").distinct()
-    weights = similar.join(q, "q_id").join(c, "c_id").join(candidates, ["q_table", "c_table"], "left_semi").select("q_table", "q_column", "c_table", "c_column", "score")
+    side = lambda p: items.select(F.col("id").alias(f"{p}_id"), F.col("table_name").alias(f"{p}_table"), F.col("column_name").alias(f"{p}_column"))
+    candidates = neighbours.join(side("q"), "q_id").join(side("c"), "c_id").where("q_table != c_table").select("q_table", "c_table").distinct()
+    full = lambda p: side(p).join(vectors.select(F.col(id).alias(f"{p}_id"), F.col(embedding).alias(f"{p}_v")), f"{p}_id")
+    pairs = candidates.join(full("q"), "q_table").join(full("c"), "c_table")
+    weights = pairs.select("q_table", "q_column", "c_table", "c_column", F.round(cosine(F.col("q_v"), F.col("c_v")), 6).alias("score")).where(F.col("score") > threshold)
     w = Window.partitionBy("q_table").orderBy(F.desc("score"), "c_table")
     return best_matching(weights).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

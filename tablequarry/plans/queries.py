@@ -387,8 +387,7 @@ def simhash_neardup(spark, root):
 def embedding_table_topk(spark, root):
     e = read(spark, root, "embeddings")
     items = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("t"), (F.col("vec_id") / 10).cast("long")).alias("table_name"), (F.col("vec_id") % 10).cast("string").alias("column_name"))
-    near = vectors.knn(e, e, 10)
-    return vectors.embedding_table_search(items, near, near.where("score > 0.3"), 60)
+    return vectors.embedding_table_search(items, vectors.knn(e, e, 10), e, 0.3, 60)
 
 
 @query()

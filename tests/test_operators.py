@@ -102,6 +102,29 @@ def test_matching_and_alignment(spark):
     assert tables.c_alignment(df, 5).count() == 2
 
 
+def test_embedding_tables_weigh_all_column_pairs(spark):
+    """Neighbours name candidate tables only: with one each, the matching still sees every pair."""
+    import numpy as np
+
+    from tablequarry.functions.stats import assignment
+
+    r = np.random.default_rng(4)
+    base = r.standard_normal((4, 8))
+    v = {10 * t + c: base[c] + r.standard_normal(8) * 0.4 for t in range(6) for c in range(4)}
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>")
+    items = spark.createDataFrame([(i, f"t{i // 10}", str(i % 10)) for i in v], "id long, table_name string, column_name string")
+    cos = lambda a, b: round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6)
+    near = {(a // 10, max((b for b in v if b != a), key=lambda b: cos(v[a], v[b])) // 10) for a in v}
+    expected = {}
+    for q, c in near:
+        if q != c:
+            w = np.array([[s if (s := cos(v[10 * q + i], v[10 * c + j])) > 0.3 else 0 for j in range(4)] for i in range(4)])
+            expected[f"t{q}", f"t{c}"] = sum(w[p] for p in assignment(w)), len(assignment(w))
+    found = vectors.embedding_table_search(items, vectors.knn(e, e, 1), e, 0.3, 60).collect()
+    assert {(x.q_table, x.c_table): (x.score, x.n_pairs) for x in found} == {k: (pytest.approx(s, abs=1e-5), n) for k, (s, n) in expected.items()}
+    assert max(n for _, n in expected.values()) == 4
+
+
 def test_measures_and_their_empty_sets(spark):
     results = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "x", 3), ("b", "z", 1)], "query string, candidate string, rank int")
     truth = spark.createDataFrame([("a", "x"), ("a", "w"), ("c", "v")], "query string, candidate string")
