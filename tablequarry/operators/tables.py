@@ -14,6 +14,8 @@ from ..functions.stats import greedy, hotelling_from_moments, hypergeometric_cdf
 from .sets import KEY, overlaps, ranked
 
 PAIR = ["q_table", "q_column", "c_table", "c_column"]
+#: Groups whose sums of products a task holds at once.
+MOMENT_GROUPS = 256
 
 
 def attribute_pairs(schema: DataFrame) -> DataFrame:
@@ -84,9 +86,46 @@ def set_unionability(pairs: DataFrame) -> DataFrame:
 
 
 def moments(vectors: DataFrame, group: str, dim: int, embedding: str = "embedding") -> DataFrame:
-    """(group, n, sums, products): what means and covariances need, combined before the shuffle."""
-    x = [F.col(embedding)[i].cast("double") for i in range(dim)]
-    return vectors.where(F.col(embedding).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.array(*map(F.sum, x)).alias("sums"), F.array(*(F.sum(x[i] * x[j]) for i in range(dim) for j in range(dim))).alias("products"))
+    """(group, n, sums, products): what means and covariances need, combined before the shuffle.
+
+    Matrix products make the sums of each partition's groups, MOMENT_GROUPS of them at once.
+    """
+    rows = vectors.where(F.col(embedding).isNotNull()).select(F.col(group).alias("g"), F.col(embedding).cast("array<double>").alias("v"))
+    kind = f"g {rows.schema['g'].dataType.simpleString()}, n long, sums array<double>, products array<double>"
+
+    def batch(held: dict, key: pa.DataType) -> pa.RecordBatch:
+        n, sums, products = zip(*held.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(held), key), pa.array(n, pa.int64()), pa.array(list(sums), pa.list_(pa.float64())), pa.array(list(products), pa.list_(pa.float64()))], ["g", "n", "sums", "products"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.asarray(b.column("v").flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(b), -1)[:, :dim]
+            at: dict = {}
+            for i, g in enumerate(b.column("g").to_pylist()):
+                at.setdefault(g, []).append(i)
+            for g, i in at.items():
+                n, sums, products = held.get(g, (0, 0.0, 0.0))
+                held[g] = (n + len(i), sums + x[i].sum(axis=0), products + (x[i].T @ x[i]).ravel())
+                if len(held) == MOMENT_GROUPS:
+                    yield batch(held, b.schema.field("g").type)
+                    held = {}
+        if held:
+            yield batch(held, b.schema.field("g").type)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, products, g = 0, 0.0, 0.0, None
+        for b in batches:
+            if len(b):
+                g = b.column("g").slice(0, 1)
+                n += sum(b.column("n").to_pylist())
+                total = lambda c: np.asarray(b.column(c).flatten().to_numpy(zero_copy_only=False)).reshape(len(b), -1).sum(axis=0)  # noqa: E731, B023
+                sums, products = sums + total("sums"), products + total("products")
+        yield batch({g[0].as_py(): (n, sums, products)}, g.type)
+
+    return rows.mapInArrow(part, kind).groupBy("g").applyInArrow(merge, kind).withColumnRenamed("g", group)
 
 
 def language_unionability(vectors: DataFrame, group: str, dim: int, embedding: str = "embedding") -> DataFrame:

@@ -470,7 +470,7 @@ def hypergeom_unionability(spark, root):
 
 @query()
 def nl_unionability(spark, root):
-    return tables.language_unionability(read(spark, root, "embeddings"), "label", 8)
+    return tables.language_unionability(read(spark, root, "embeddings"), "label", 64)
 
 
 @query(f"""WITH {values_sql()}, {OVERLAPS_SQL}, v AS (SELECT a.table_name AS q_table, a.column_name AS q_column, a.value, arg_min((b.table_name, b.column_name), (-overlap / q_size, b.table_name, b.column_name)) AS label FROM cv a JOIN cv b ON a.value = b.value AND a.table_name <> b.table_name

@@ -125,6 +125,23 @@ def test_embedding_tables_weigh_all_column_pairs(spark):
     assert max(n for _, n in expected.values()) == 4
 
 
+def test_language_unionability_reads_whole_vectors(spark, tmp_path, monkeypatch):
+    """Labels that agree in the first 8 components and differ in the others are not unionable."""
+    import numpy as np
+
+    from tablequarry.functions.stats import hotelling_score
+
+    r = np.random.default_rng(5)
+    x = {g: r.standard_normal((90, 64)) for g in range(3)}
+    x[1][:, 8:] += 2
+    rows = [(100 * g + i, v.tolist(), g) for g, vs in x.items() for i, v in enumerate(vs)] + [(999, None, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(tables, "MOMENT_GROUPS", 2)
+    found = {(q, c): s for q, c, s in queries.nl_unionability(spark, str(tmp_path)).collect()}
+    assert found == {(q, c): pytest.approx(hotelling_score(x[q], x[c]), abs=2e-6) for q in x for c in x if q != c}
+    assert found[0, 1] < 1e-6 < 0.01 < found[0, 2]
+
+
 def test_measures_and_their_empty_sets(spark):
     results = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "x", 3), ("b", "z", 1)], "query string, candidate string, rank int")
     truth = spark.createDataFrame([("a", "x"), ("a", "w"), ("c", "v")], "query string, candidate string")
