@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.lake import Lake, parquet_lake
 
-#: Text and integer columns; doubles and timestamps have no common rendering as strings.
+#: Text and integer columns but for long texts, events.props and documents.n_chars (see README); doubles and timestamps have no common rendering as strings.
 COLUMNS = {
     "region": ["r_regionkey", "r_name"],
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
