@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where that is unset on a local master (tests) a temporary folder is made and set; on a
+    cluster, whose executors could not see it, that raises an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         own = spark.sparkContext.getCheckpointDir()
         if own is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             own = "file://" + tempfile.mkdtemp(prefix="shared-")
             spark.sparkContext.setCheckpointDir(own)
         where = own
@@ -40,6 +43,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store through the store's own driver."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(columns: list[str], stem: str) -> str:
+    """A column name that none of `columns` has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once and keeps it in the shared folder, so that later reads survive lost executors."""
     shared_dir(df.sparkSession)
@@ -93,6 +110,14 @@ def largest_group(df: DataFrame, group: list[str]) -> int:
     return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
 
 
+def filter_bits(rows: int, most: int = 28) -> int:
+    """Bits (as a power of two) of a filter of so many hashes: 16 for each, 2**most (32 MB) in all at most.
+
+    Beyond some ten million hashes a filter lets more rows through that it need not; none is lost.
+    """
+    return min(most, max(16, math.ceil(math.log2(16 * max(1, rows)))))
+
+
 def bitmap(hashes: DataFrame, column: str, bits: int) -> DataFrame:
     """A filter of 2**bits bits over a 64-bit hash column: rows (_word, _map) of 4 KB each.
 
@@ -111,16 +136,17 @@ def maybe_in(df: DataFrame, column: str, filter_: DataFrame, bits: int, how: str
     return df.join(F.broadcast(filter_), (F.bitmap_bucket_number(at + 1) == F.col("_word")) & hit, how)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (u, v): rows (node, component).
 
     component is the smallest node reachable. Alternating large-star and small-star rounds
     (Kiveris et al., 2014): each is a grouped minimum, which combines before the shuffle, and
-    a join whose hot node adaptive execution splits. Every round is cut into the shared folder.
+    a join whose hot node adaptive execution splits. Every round is cut into the shared folder,
+    and rounds go on until one changes nothing.
     """
     e = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -131,4 +157,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(e.select("v", "v").distinct()).toDF("node", "component")
         state = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

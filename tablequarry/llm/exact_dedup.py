@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, maybe_in, scratch_path
+from .common import bitmap, cut, discard, filter_bits, maybe_in, scratch_path
 
-#: Bits of a run's filter: 2**23 bits, 1 MB, whatever the data.
-FILTER_BITS = 23
+#: Rows of a memtable, and so of a run of level 0.
+MEMTABLE_ROWS = 250_000
+#: Runs of one level that compaction merges into one of the next.
+FAN_IN = 8
 #: Members of a group whose texts meet one copy of the kept text.
 SALT_ROWS = 2_000
 
@@ -16,33 +18,84 @@ SALT_ROWS = 2_000
 class DigestIndex:
     """A log-structured merge index: digest -> the identifier that stays.
 
-    flush() writes a memtable (a batch of digest, id rows, held by the tasks that read it) as a
-    run: each file sorted by digest, so Parquet's minima and maxima skip row groups. compact()
-    merges all runs into one that holds, for each digest, the identifier that stays and the
-    number of rows; a grouped minimum (or maximum) does it, so copies combine before the shuffle.
-    filter() gives the fixed-size bitmap of the digests that compaction saw more than once:
-    rows that miss it are no hits and their texts never move.
+    Level 0: each task that reads a batch is a writer; its rows, sorted by digest, leave it in
+    files of MEMTABLE_ROWS rows at most, with minima and maxima in their footers. Once FAN_IN
+    batches have come they are merged into one of the next level, so a digest is rewritten once a
+    level; merged runs are removed. compact() merges all that is left. A merge combines equal
+    digests in the task that reads them, then in the task of their digest: the identifier that
+    stays and the number of rows remain, again in digest order. lookup() reads a run only for
+    digests that pass its filter, a bitmap that the first lookup writes beside it.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, keep: str = "min"):
         if keep not in ("min", "max"):
             raise ValueError("keep must be 'min' or 'max'")
-        self.spark, self.path, self.keep, self.runs = spark, path or scratch_path(spark, "digests"), keep, []
+        self.spark, self.path, self.keep = spark, path or scratch_path(spark, "digests"), keep
+        #: Per level, the folders of its runs; each has a filter beside it.
+        self.levels: list[list[str]] = [[]]
+        self._made = 0
+        self._bits: dict[str, int] = {}
+
+    def _write(self, rows: DataFrame, level: int) -> None:
+        run = f"{self.path}/level-{level:02d}-{self._made:05d}"
+        self._made += 1
+        rows.write.option("maxRecordsPerFile", MEMTABLE_ROWS).parquet(run)
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
 
     def flush(self, rows: DataFrame) -> None:
-        run = f"{self.path}/run-{len(self.runs):05d}"
-        rows.select("digest", "id", F.lit(1).cast("long").alias("rows")).sortWithinPartitions("digest").write.mode("overwrite").parquet(run)
-        self.runs.append(run)
+        """Adds a batch of (digest, id); full levels are merged into the next."""
+        self._write(rows.select("digest", "id", F.lit(1).cast("long").alias("rows")).sortWithinPartitions("digest"), 0)
+        level = 0
+        while len(self.levels[level]) >= FAN_IN:
+            self._merge(level, level + 1)
+            level += 1
+
+    def _merged(self, runs: list[str]) -> DataFrame:
+        best = F.min if self.keep == "min" else F.max
+        return self.spark.read.parquet(*runs).groupBy("digest").agg(best("id").alias("id"), F.sum("rows").alias("rows")).sortWithinPartitions("digest")
+
+    def _merge(self, level: int, into: int) -> None:
+        old = self.levels[level]
+        self.levels[level] = []
+        self._write(self._merged(old), into)
+        for run in old:
+            discard(self.spark, run)
+            discard(self.spark, f"{run}-filter")
 
     def compact(self) -> DataFrame:
-        level = f"{self.path}/level-{len(self.runs):05d}"
-        self.spark.read.parquet(*self.runs).groupBy("digest").agg((F.min if self.keep == "min" else F.max)("id").alias("id"), F.sum("rows").alias("rows")).sortWithinPartitions("digest").write.mode("overwrite").parquet(level)
-        self.runs = [level]
-        return self.spark.read.parquet(level)
+        """Merges all levels into one run, and returns it: digest, id, rows."""
+        every = [run for level in self.levels for run in level]
+        if not every:
+            return self.spark.createDataFrame([], "digest string, id long, rows long")
+        top = len(self.levels)
+        self.levels = [[] for _ in range(top)]
+        self.levels[top - 1] = every
+        self._merge(top - 1, top)
+        return self.spark.read.parquet(self.levels[top][0])
+
+    def _filter(self, run: str) -> tuple[DataFrame, int]:
+        """A run's filter and its bits; it is written once."""
+        path = f"{run}-filter"
+        if run not in self._bits:
+            held = self.spark.read.parquet(run)
+            self._bits[run] = filter_bits(held.count())
+            bitmap(held.select(F.xxhash64("digest").alias("h")), "h", self._bits[run]).write.parquet(path)
+        return self.spark.read.parquet(path), self._bits[run]
 
-    def filter(self) -> DataFrame:
-        merged = self.spark.read.parquet(*self.runs).where("rows > 1")
-        return bitmap(merged.select(F.xxhash64("digest").alias("h")), "h", FILTER_BITS)
+    def lookup(self, digests: DataFrame) -> DataFrame:
+        """(digest, id, rows) of those digests that the index holds; a run is read for the digests that pass its filter."""
+        found = None
+        asked = digests.select("digest").distinct().withColumn("_h", F.xxhash64("digest"))
+        for run in (run for level in self.levels for run in level):
+            hits = maybe_in(asked, "_h", *self._filter(run)).select("digest")
+            part = self.spark.read.parquet(run).join(hits, "digest", "left_semi")
+            found = part if found is None else found.union(part)
+        if found is None:
+            return self.spark.createDataFrame([], "digest string, id long, rows long")
+        best = F.min if self.keep == "min" else F.max
+        return found.groupBy("digest").agg(best("id").alias("id"), F.sum("rows").alias("rows"))
 
 
 def exact_groups(docs: DataFrame, *, keep: str = "min", id: str = "doc_id", text: str = "text", digest: Column | None = None) -> DataFrame:
@@ -66,8 +119,11 @@ def exact_groups(docs: DataFrame, *, keep: str = "min", id: str = "doc_id", text
     merged = index.compact()
     groups = merged.where("rows > 1").select(F.col("digest").alias("_digest"), F.col("id").alias("_keep"), F.greatest(F.lit(1), F.ceil(F.col("rows") / SALT_ROWS)).alias("_salts"))
     # Hits: the texts of rows whose digest came more than once, and no others, go to a shuffle.
-    hits = maybe_in(rows.withColumn("_h", F.xxhash64("digest")), "_h", index.filter(), FILTER_BITS)
-    hits = hits.join(groups, F.col("digest") == F.col("_digest")).withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_salts")))
+    bits = filter_bits(groups.count())
+    shared = bitmap(groups.select(F.xxhash64("_digest").alias("h")), "h", bits)
+    hits = maybe_in(rows.withColumn("_h", F.xxhash64("digest")).withColumn("_n", F.monotonically_increasing_id()), "_h", shared, bits)
+    # The row's number takes part, so that rows that repeat one id are dealt as well.
+    hits = hits.join(groups, F.col("digest") == F.col("_digest")).withColumn("_salt", F.pmod(F.xxhash64("id", "_n"), F.col("_salts")))
     kept = hits.where(F.col("id").eqNullSafe(F.col("_keep"))).groupBy("digest", "_salts").agg(F.min("text").alias("_text"))
     kept = kept.select(F.col("digest").alias("_d"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_s"), "_text")
     verified = cut(

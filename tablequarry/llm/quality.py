@@ -148,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, id: str =
     """Fits on at most `sample` labelled rows outside the held-out fifth, those of the smallest id hashes.
 
     The bound makes both the broadcast of their ids and the features sent to the driver at most
-    `sample` rows; a million of them would still be a few hundred MB.
+    `sample` rows; a million of them would still be a few hundred MB. Of several texts of an id
+    the one whose features come first counts, so that the model depends on the tables alone.
     """
     chosen = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull() & ~_held_out(F.col(id))).groupBy(id).agg(F.max(label).alias("_y"))
     chosen = chosen.orderBy(F.xxhash64(id), id).limit(sample).select(F.col(id).alias("_id"), "_y")
@@ -158,12 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, id: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(map(features, batch.column(2).to_pylist()), pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    got = rows.mapInArrow(run, "id long, y int, x array<double>").dropDuplicates(["id"]).orderBy("id").limit(sample).collect()
+    got = rows.mapInArrow(run, "id long, y int, x array<double>").groupBy("id").agg(F.min(F.struct("y", "x")).alias("r")).select("id", "r.y", "r.x").orderBy("id").limit(sample).collect()
     return fit(np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([r.y for r in got], dtype=float))
 
 
 def with_score(docs: DataFrame, model: Gam, *, text: str = "text", score: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 for each whole text; a null text scores as an empty one."""
+    """docs with a score from 0 to 1 for each whole text; a null text scores as an empty one. docs has no column of the name `score`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,23 +37,19 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = mixing.mix(table(spark, sf_dir, "documents"), max_repeat=2.0)
-    return used.select("doc_id", "source", *(used[f"_{c}"].alias(c) for c in ("pass", "tokens", "block", "slot")))
+    return mixing.uses(table(spark, sf_dir, "documents"), max_repeat=2.0).select("doc.doc_id", "doc.source", "pass", "tokens", "block", "slot")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.rendezvous_shards(table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
-def gpt_encoding() -> dict:
-    """Where the public vocabulary files are; ranks and pattern give the faster reader."""
-    import public_tokenizers as public
-
-    return {"path": str(public.path("byte_bpe_50k.json")), "ranks_path": str(public.path("byte_bpe_50k.tiktoken")), "pattern": public.PATTERN}
+#: Names of the public vocabulary's files; each worker finds them for itself.
+ENCODING = {"path": "byte_bpe_50k.json", "ranks_path": "byte_bpe_50k.tiktoken"}
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), gpt_encoding())
+    return packing.pack(table(spark, sf_dir, "documents"), ENCODING)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +76,17 @@ def _secrets_sql() -> str:
         g AS (SELECT *, kind || ':' || start || ':' || (start + long) AS label FROM s WHERE CASE kind WHEN 'assign' THEN length(val) >= 6
             WHEN 'rare' THEN length(regexp_replace(val, '[^0-9]', '', 'g')) >= 3 AND regexp_matches(val, '[A-Za-z]')
                 AND NOT regexp_matches(val, {quote(secrets.HEX)}) AND NOT regexp_matches(val, {quote(secrets.ACCESS)}) ELSE true END),
-        h AS (SELECT val, count(DISTINCT coalesce(source, '<null>')) AS owners FROM g GROUP BY val),
+        c AS (SELECT * FROM g WHERE kind <> 'rare' OR NOT EXISTS (SELECT 1 FROM g b WHERE b.r = g.r AND b.kind <> 'rare' AND b.start < g.start + g.long AND b.start + b.long > g.start)),
+        h AS (SELECT val, count(DISTINCT coalesce(source, '<null>')) AS owners, count(DISTINCT (coalesce(source, '<null>'), coalesce(lang, '<null>'))) AS repositories FROM c GROUP BY val),
         o AS (SELECT r, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,
             string_agg(label, ',' ORDER BY start, k) FILTER (kind <> 'rare') AS base, string_agg(label, ',' ORDER BY start, k) AS spans,
-            count_if(kind = 'rare') AS n_rare, count_if(owners <= 1) AS n_live, count_if(owners > 1) AS n_copied
-            FROM g JOIN h USING (val) WHERE kind <> 'rare' OR owners <= 1 GROUP BY r)
+            count_if(kind = 'rare') AS n_rare, count_if(owners <= 1 AND repositories <= 2) AS n_live, count_if(owners > 1 OR repositories > 2) AS n_copied,
+            max(owners) AS most_owners, max(repositories) AS most_repositories
+            FROM c JOIN h USING (val) WHERE kind <> 'rare' OR owners <= 1 AND repositories <= 2 GROUP BY r)
         SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
             sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_rare, 0)::BIGINT AS n_rare,
-            coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+            coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied,
+            coalesce(most_owners, 0)::BIGINT AS most_owners, coalesce(most_repositories, 0)::BIGINT AS most_repositories
         FROM d LEFT JOIN o USING (r)"""
 
 
@@ -100,10 +99,12 @@ SQL = {
     "op3_line_dedup": r"""
         WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
         x AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM t)),
-        c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) - w AS c, sum(w) OVER (PARTITION BY doc_id) AS total FROM x WHERE w > 0),
-        e AS (SELECT *, count(*) OVER (PARTITION BY doc_id ORDER BY c RANGE BETWEEN UNBOUNDED PRECEDING AND 49 FOLLOWING) AS j FROM c),
-        a AS (SELECT doc_id, list(line ORDER BY pos) AS ls, list(pos ORDER BY pos) AS ps FROM c GROUP BY doc_id),
-        v AS (SELECT doc_id, pos AS first, ps[j] AS last, array_to_string(ls[i:j], chr(10)) AS content FROM e JOIN a USING (doc_id) WHERE total - c >= 50),
+        c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM x WHERE w > 0),
+        a AS (SELECT doc_id, list(line ORDER BY pos) AS ls, list(pos ORDER BY pos) AS ps, list(e ORDER BY pos) AS es, list(e - w ORDER BY pos) AS cs, max(e) AS total FROM c GROUP BY doc_id),
+        -- The shortest run of 50 words or more from each line on, and the shortest that ends at each line.
+        r AS (SELECT doc_id, i, len(list_filter(cs, lambda y: y < e - w + 50)) AS j FROM c JOIN a USING (doc_id) WHERE total - (e - w) >= 50
+            UNION SELECT doc_id, len(list_filter(es, lambda y: y <= e - 50)) + 1, i FROM c JOIN a USING (doc_id) WHERE e >= 50),
+        v AS (SELECT doc_id, ps[i] AS first, ps[j] AS last, array_to_string(ls[i:j], chr(10)) AS content FROM r JOIN a USING (doc_id)),
         o AS (SELECT *, min((doc_id, first)) OVER (PARTITION BY content) AS origin FROM v),
         g AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM o WHERE (doc_id, first) > origin),
         n AS (SELECT doc_id, list(pos) AS ps FROM g GROUP BY doc_id)

@@ -12,8 +12,8 @@ from .common import cut
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: The kind that the method adds: long mixed strings outside the others' spans.
-RARE = r"[A-Za-z0-9+/_=-]{24,}"
+#: The kind that the method adds: long mixed strings outside the others' spans; `=` may pad their end.
+RARE = r"[A-Za-z0-9+/_-]{24,}={0,2}"
 RARE_ONLY = rf"(?:{ASSIGN})|(?:{ACCESS})|({HEX})|({RARE})"
 KINDS = ("assign", "access", "hex", "rare")
 
@@ -27,18 +27,20 @@ def _found(text: Column, pattern: str, value_group: int) -> Column:
     return F.when(text.rlike(pattern), zipped)
 
 
-def secret_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = "lang", max_owners: int = 1) -> tuple[DataFrame, DataFrame]:
+def secret_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = "lang", max_owners: int = 1, max_repositories: int = 2) -> tuple[DataFrame, DataFrame]:
     """Finds secrets and who owns them: (documents, occurrences).
 
     occurrences: row, id, owner, repository, kind, start, end (code points, end exclusive),
     value_hash, n_owners, n_repositories, n_occurrences, owner_specific. A value's repositories
-    are its distinct (owner, repository) pairs. A value that at most max_owners owners hold looks
-    live; one that more hold is a copied example. `rare` candidates (24 or more characters, with
-    3 digits and letters, in no other span) count only where they look live.
+    are its distinct (owner, repository) pairs. A value that at most max_owners owners hold, in
+    at most max_repositories repositories, looks live; one that more hold is a copied example or
+    an owner's own template. `rare` candidates (24 or more characters, with 3 digits and letters,
+    that meet no span of another kind) count only where they look live.
     documents: one row per input row with row, id.
 
     Nulls: a null text is empty; null owners, or null repositories of an owner, are one owner or
-    repository. Repeated rows are scanned each. An empty table gives empty results.
+    repository. Repeated rows are scanned each. An empty table gives empty results. Columns of
+    other names are not read, so none can clash.
     """
     repo = F.col(repository) if repository else F.lit(None).cast("string")
     body = F.coalesce(F.col(text), F.lit(""))
@@ -66,19 +68,28 @@ def secret_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", own
         | F.col("kind").isin("access", "hex")
         | ((F.col("kind") == "rare") & mixed & F.col("value").rlike("[A-Za-z]") & ~F.col("value").rlike(HEX) & ~F.col("value").rlike(ACCESS))
     )
-    each = cut(each.where(good).select("row", "id", "owner", "repository", "kind", "start", "end", F.sha2("value", 256).alias("value_hash")))
+    each = each.where(good)
+    # A rare candidate goes if another kind's span began before its end and ends behind its start.
+    around = Window.partitionBy("row").orderBy("start")
+    base = F.col("kind") != "rare"
+    reached = F.max(F.when(base, F.col("end"))).over(around.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.min(F.when(base, F.col("start"))).over(around.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    clear = (F.coalesce(reached, F.col("start")) <= F.col("start")) & (F.coalesce(ahead, F.col("end")) >= F.col("end"))
+    each = each.withColumn("clear", base | clear).where("clear")
+    each = cut(each.select("row", "id", "owner", "repository", "kind", "start", "end", F.sha2("value", 256).alias("value_hash")))
     # Distinct repositories, then owners, each combined before its shuffle: a value that fills the corpus stays a few rows.
     held = each.groupBy("value_hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n")).groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
     held = held.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n_occurrences"))
-    known = each.join(held, "value_hash").withColumn("owner_specific", F.col("n_owners") <= max_owners)
+    known = each.join(held, "value_hash").withColumn("owner_specific", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
     return scanned.select("row", "id"), known.where((F.col("kind") != "rare") | F.col("owner_specific"))
 
 
 def secret_report(docs: DataFrame, *, id: str = "doc_id", **options) -> DataFrame:
-    """Per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_rare, n_live, n_copied.
+    """Per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_rare, n_live, n_copied, most_owners, most_repositories.
 
     spans: kind:start:end by start, then kind as listed, comma-joined; base_sha256 hashes those
     of the first three kinds. n_live and n_copied: spans whose value looks live or copied.
+    most_owners and most_repositories: those of its most widely held value, 0 without spans.
     """
     rows, spans = secret_spans(docs, id=id, **options)
     of = lambda kind: F.count_if(F.col("kind") == kind)
@@ -91,8 +102,10 @@ def secret_report(docs: DataFrame, *, id: str = "doc_id", **options) -> DataFram
         join(F.collect_list(label)).alias("spans"),
         F.count_if("owner_specific").alias("n_live"),
         F.count_if(~F.col("owner_specific")).alias("n_copied"),
+        F.max("n_owners").alias("most_owners"),
+        F.max("n_repositories").alias("most_repositories"),
     )
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return rows.join(per, "row", "left").select(
-        F.col("id").alias(id), number("n_assign"), number("n_access"), number("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), number("n_rare"), number("n_live"), number("n_copied")
+        F.col("id").alias(id), number("n_assign"), number("n_access"), number("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), number("n_rare"), number("n_live"), number("n_copied"), number("most_owners"), number("most_repositories")
     )

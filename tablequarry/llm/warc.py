@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import math
 import re
 import uuid
@@ -18,13 +19,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Fixed values of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Ranges of ids whose bytes are counted to cut the shards: at most so many rows reach the driver.
-RANGES = 16_384
+#: Ranges of ids whose bytes are counted at once to cut the shards: about so many rows reach the driver, and at most so many shards come of it.
+RANGES = 8_192
 #: Leading 48 bits of a record's UUID (version 8); the last bit says whether it has an id.
 _MARK = 0x776172630000
 
@@ -64,11 +67,55 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return _record(headers, block, level)
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder, also under the names that Hadoop's drivers give it."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
+def _range_of(id_: Column, starts: list[int]) -> Column:
+    """The last of the sorted starts that is not above the id, by binary search; -1 below all and for no id."""
+    array = F.from_json(F.lit(json.dumps(starts)), "array<bigint>")  # one literal, however long
+    steps = [1 << k for k in reversed(range(len(starts).bit_length()))]
+    below = lambda at: F.coalesce(F.get(array, at) <= id_, F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: F.when(below(n + step - 1), n + step).otherwise(n)) - 1
+
+
+def shard_starts(sized: DataFrame, shard_bytes: int) -> list[int]:
+    """The least ids of shards of about equal bytes, from (id, n); the data alone decide.
+
+    Equal ranges between the least and the greatest id are counted; those over a shard's bytes
+    are divided on and on, until each holds less or a single id. So ids may lie as unevenly as
+    they like: one far from all others costs a few more passes over (id, n).
+    """
+    low, high, total = sized.agg(F.min("id"), F.max("id"), F.sum("n")).first()
+    if low is None:
+        return [0]
+    share = max(1, math.ceil((total or 0) / max(1, min(RANGES, math.ceil((total or 0) / shard_bytes)))))
+    divided = lambda a, b, parts: sorted({a + (b - a) * k // parts for k in range(parts)})  # noqa: E731  of a .. b - 1
+    starts = divided(low, high + 1, RANGES)
+    while True:
+        found = {r[0]: r[1] for r in sized.groupBy(_range_of(F.col("id"), starts).alias("at")).agg(F.sum("n")).collect()}
+        merged, heavy, held = [], [], 0
+        for k, a in enumerate(starts):
+            n, b = found.get(k, 0), starts[k + 1] if k + 1 < len(starts) else high + 1
+            if not merged or held + n > share:  # this range begins a shard
+                merged.append(a)
+                held = 0
+            held += n
+            if n > share and b - a > 1:
+                heavy.append((a, b))
+        if not heavy:
+            return merged
+        # Ranges that one shard holds count as one from now on; heavy ones are divided.
+        parts = max(2, RANGES // len(heavy))
+        starts = sorted({*merged, *(x for a, b in heavy for x in (*divided(a, b, parts), b) if x <= high)})
+
+
 class _Roll:
     """The files of one shard, each begun under a temporary name and renamed when complete."""
 
     def __init__(self, out: str, shard: int, most: int, date: str, level: int):
-        self.system, self.root = fs.FileSystem.from_uri(out)
+        self.system, self.root = _store(out)
         self.shard, self.most, self.date, self.level, self.n, self.stream = shard, most, date, level, 0, None
 
     def add(self, record: bytes) -> dict | None:
@@ -95,12 +142,15 @@ class _Roll:
         if self.stream is None:
             return None
         self.stream.close()
-        self.system.move(self.temporary, f"{self.root}/{self.name}")
+        done = f"{self.root}/{self.name}"
+        if self.system.get_file_info(done).type != fs.FileType.NotFound:
+            self.system.delete_file(done)  # of an attempt that was lost: the same bytes; not every store moves onto a file
+        self.system.move(self.temporary, done)
         self.stream, self.n = None, self.n + 1
         return {"file": self.name, "shard": self.shard, "records": self.records, "bytes": self.bytes, "sha256": self.sha.hexdigest()}
 
 
-def write_warc(pages: DataFrame, out: str, *, least: int = 0, shard_bytes: int = 32_000_000, file_bytes: int = 64_000_000, date: str = "2000-01-01T00:00:00Z", level: int = 6, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write_warc(pages: DataFrame, out: str, *, least: int = 0, shard_bytes: int = 32_000_000, file_bytes: int = 16_000_000, date: str = "2000-01-01T00:00:00Z", level: int = 6, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes a record per row below `out` (a folder that all executors share) and returns the manifest.
 
     Of rows with equal payloads of at least `least` bytes, that with the largest id becomes a
@@ -109,33 +159,25 @@ def write_warc(pages: DataFrame, out: str, *, least: int = 0, shard_bytes: int =
 
     A null payload is empty, a null url has no header. Rows that repeat the id and payload of the
     response are responses too. Rows without an id go to the first shard. An empty table gives
-    an empty manifest; further columns are not read. A payload is held whole in memory.
+    an empty manifest; further columns are not read, so none can clash. A payload is held whole
+    in memory; rows of one id stay in one shard, however many.
     """
     spark = pages.sparkSession
-    fs.FileSystem.from_uri(out)[0].create_dir(fs.FileSystem.from_uri(out)[1], recursive=True)
+    system, root = _store(out)
+    system.create_dir(root, recursive=True)
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
-    sized = rows.select("id", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("sha"))
-    low, high, total = sized.agg(F.min("id"), F.max("id"), F.sum("n")).first()
-    low, high = low or 0, high or 0
-    width = max(1, math.ceil((high - low + 1) / RANGES))
-    # Whole division never falls as ids rise, and neither overflows nor rounds.
-    at = F.coalesce(F.expr(f"id div {width}L"), F.lit(low // width if low >= 0 else -(-low // width)))
-    share = max(1, math.ceil((total or 0) / max(1, math.ceil((total or 0) / shard_bytes))))
-    shard, before = {}, 0
-    for k, n in sorted(tuple(r) for r in sized.groupBy(at.alias("at")).agg(F.sum("n")).collect()):
-        shard[k] = before // share
-        before += n
-    order = {s: i for i, s in enumerate(sorted(set(shard.values())))}
-    shards = spark.createDataFrame([(k, order[s]) for k, s in shard.items()] or [(0, 0)], "_at long, shard int")
+    sized = cut(rows.select("id", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("sha")))
+    starts = shard_starts(sized.select("id", "n"), shard_bytes)
     groups = sized.where(F.col("n") >= least).groupBy("sha").agg(F.max("id").alias("to"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     marks = sized.where(F.col("n") >= least).join(groups, "sha").where(~F.col("id").eqNullSafe(F.col("to")))
     # A revisit's mark travels to the shard as a row of its own, sorted before its record: no join moves payloads.
     both = rows.select("id", F.lit(1).alias("kind"), F.lit("").alias("sha"), F.lit(None).cast("long").alias("to"), "url", "payload").union(
         marks.select("id", F.lit(0), "sha", "to", F.lit(None).cast("string"), F.lit(None).cast("binary")).distinct()
     )
-    placed = both.withColumn("_at_", at).join(F.broadcast(shards), F.col("_at_") == F.col("_at")).drop("_at_", "_at")
-    sorted_ = placed.repartitionById(max(1, len(order)), F.col("shard")).sortWithinPartitions("shard", "id", "kind", "url", F.sha2("payload", 256))
+    # Rows without an id are the first shard's.
+    placed = both.withColumn("shard", F.greatest(_range_of(F.col("id"), starts), F.lit(0)).cast("int"))
+    sorted_ = placed.repartitionById(len(starts), F.col("shard")).sortWithinPartitions("shard", "id", "kind", "url", F.sha2("payload", 256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, marked, now = None, {}, object()
@@ -159,6 +201,9 @@ def write_warc(pages: DataFrame, out: str, *, least: int = 0, shard_bytes: int =
             yield done
 
     sorted_.mapInArrow(run, "file string, shard int, records long, bytes long, sha256 string").write.mode("overwrite").json(f"{out}/manifest")
+    for left in system.get_file_info(fs.FileSelector(root)):
+        if left.base_name.startswith(".shard-"):  # of attempts that were lost
+            system.delete_file(left.path)
     return read_manifest(spark, out)
 
 
@@ -170,7 +215,7 @@ def read_manifest(spark: SparkSession, out: str) -> DataFrame:
 
 
 def remove(out: str) -> None:
-    system, root = fs.FileSystem.from_uri(out)
+    system, root = _store(out)
     system.delete_dir(root)
 
 
@@ -207,7 +252,7 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = fs.FileSystem.from_uri(out)
+        system, root = _store(out)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, held = [], 0
