@@ -55,28 +55,55 @@ def test_index_over_several_batches(spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}", keep="min")
     for batch in ([("a", 5), ("b", 2)], [("a", 3), ("c", 9)], [("b", 7)]):
         index.flush(spark.createDataFrame(batch, "digest string, id long"))
+    asked = spark.createDataFrame([("a",), ("c",), ("z",), ("c",)], "digest string")
+    assert got(index.lookup(asked), "digest", "id", "rows") == [("a", 3, 2), ("c", 9, 1)]
     assert got(index.compact(), "digest", "id", "rows") == [("a", 3, 2), ("b", 2, 2), ("c", 9, 1)]
-    assert len(index.runs) == 1
+    assert got(index.lookup(asked), "digest", "id", "rows") == [("a", 3, 2), ("c", 9, 1)]
+    assert sum(map(len, index.levels)) == 1
+
+
+def test_index_merges_levels_and_bounds_memtables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FAN_IN", 2)
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 10)
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}", keep="max")
+    r, expected = random.Random(4), {}
+    for k in range(5):
+        batch = [(f"d{r.randrange(40)}", 100 * k + j) for j in range(35)]
+        for d, i in batch:
+            best, n = expected.get(d, (i, 0))
+            expected[d] = max(best, i), n + 1
+        index.flush(spark.createDataFrame(batch, "digest string, id long").coalesce(1))
+    # Five batches, two of which make a level: 1 + 4.
+    assert [len(level) for level in index.levels] == [1, 0, 1]
+    runs = [spark.read.parquet(str(f)).collect() for f in (tmp_path / index.levels[0][0].rsplit("/", 1)[-1]).glob("*.parquet")]
+    assert len(runs) == 4 and all(len(x) <= 10 and [y.digest for y in x] == sorted(y.digest for y in x) for x in runs)
+    assert got(index.compact(), "digest", "id", "rows") == sorted((d, i, n) for d, (i, n) in expected.items())
+    # Nothing but the one run is left.
+    assert [p.name for p in tmp_path.iterdir()] == [index.levels[-1][0].rsplit("/", 1)[-1]]
 
 
 def brute_lines(rows, least):
+    """(id, lines, deleted, text): whole comparison of every two places that begin a common run.
+
+    Places whose lines before differ are extended line by line; the later one loses a run of `least` words.
+    """
     word = re.compile(line_dedup.WORD)
-    windows = {}
-    for i, t in rows:
-        lines = (t or "").split("\n") if t is not None else []
-        full = [(p, x) for p, x in enumerate(lines) if word.search(x)]
-        for a in range(len(full)):
-            n = 0
-            for b in range(a, len(full)):
-                n += len(word.findall(full[b][1]))
-                if n >= least:
-                    windows.setdefault(tuple(x for _, x in full[a : b + 1]), set()).add((i, full[a][0], full[b][0]))
-                    break
-    gone = {}
-    for places in windows.values():
-        for i, a, b in sorted(places)[1:]:
-            gone.setdefault(i, set()).update(range(a, b + 1))
-    return sorted((i, len((t or "").split("\n")) if t is not None else 0, len(gone.get(i, ())), None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone.get(i, ())) if i in gone else t) for i, t in rows)
+    full = {i: [(p, x, len(word.findall(x))) for p, x in enumerate(t.split("\n")) if word.search(x)] for i, t in rows if t is not None}
+    at, gone = {}, {i: set() for i in full}
+    for i in sorted(full):
+        for k, (_, x, _) in enumerate(full[i]):
+            at.setdefault(x, []).append((i, k))
+    for places in at.values():
+        for b, (j, q) in enumerate(places):
+            for i, p in places[:b]:
+                if p and q and full[i][p - 1][1] == full[j][q - 1][1]:
+                    continue
+                n = 0
+                while p + n < len(full[i]) and q + n < len(full[j]) and full[i][p + n][1] == full[j][q + n][1]:
+                    n += 1
+                if sum(w for *_, w in full[j][q : q + n]) >= least:
+                    gone[j].update(range(full[j][q][0], full[j][q + n - 1][0] + 1))
+    return sorted(((i, 0 if t is None else len(t.split("\n")), len(gone.get(i, ())), "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]) if gone.get(i) else t) for i, t in rows), key=str)
 
 
 def test_lines_against_brute_force(spark):
@@ -84,9 +111,14 @@ def test_lines_against_brute_force(spark):
     pool = [" ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(r.randint(0, 7))) for _ in range(25)]
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 14)))) for i in range(40)]
     rows += [(50, rows[3][1]), (51, None), (52, ""), (53, "\n \n"), (54, "\n".join(["one two three four"] * 9)), (55, "w " * 30_000), (56, "x\n" + "w " * 30_000)]
+    # Runs of 12 and 4 words, repeated in the middle and at the end of a document, go whole.
+    rows += [(60, "p " * 12 + "\n" + "q " * 4), (61, "r\n" + "p " * 12 + "\n" + "q " * 4 + "\ns " + "t " * 20), (62, "p " * 12 + "\n\n" + "q " * 4)]
+    rows += [(70 + k, "\n".join([f"own {k}", *rows[n][1].split("\n")[1:6], f"end {k}"])) for k, n in enumerate((3, 9, 9, 20))]
     found = line_dedup.dedup_lines(documents(spark, rows), min_words=9)
     assert found.columns == ["doc_id", "text", "n", "kept", "n_lines", "n_deleted"]
-    assert sorted(((x.doc_id, x.n_lines, x.n_deleted, x.text) for x in found.collect()), key=str) == sorted(brute_lines(rows, 9), key=str)
+    expected = brute_lines(rows, 9)
+    assert sorted(((x.doc_id, x.n_lines, x.n_deleted, x.text) for x in found.collect()), key=str) == expected
+    assert {i: n for i, _, n, _ in expected if 60 <= i < 70} == {60: 0, 61: 2, 62: 3}
 
 
 def test_lines_edge_cases(spark):
@@ -96,35 +128,8 @@ def test_lines_edge_cases(spark):
     assert twice == [(1, 0, same), (1, 0, same), (2, 2, "")]
     # A null id comes first.
     assert sorted(x.n_deleted for x in line_dedup.dedup_lines(documents(spark, [(None, same), (1, same)]), min_words=4).collect()) == [0, 2]
-
-
-def brute_runs(rows, least):
-    """Every run of at least `least` words that stands at an earlier place: the whole comparison."""
-    word = re.compile(line_dedup.WORD)
-    runs, gone = {}, {i: set() for i, _ in rows}
-    for i, t in rows:
-        full = [(p, x, len(word.findall(x))) for p, x in enumerate(t.split("\n")) if word.search(x)]
-        for a in range(len(full)):
-            for b in range(a, len(full)):
-                if sum(n for _, _, n in full[a : b + 1]) >= least:
-                    runs.setdefault(tuple(x for _, x, _ in full[a : b + 1]), []).append((i, full[a][0], full[b][0]))
-    for places in runs.values():
-        for i, a, b in sorted(places)[1:]:
-            gone[i].update(range(a, b + 1))
-    return sorted((i, len(gone[i]), "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i])) for i, t in rows)
-
-
-def test_whole_runs_go_both_ways(spark):
-    r = random.Random(8)
-    pool = [" ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(r.randint(0, 7))) for _ in range(25)]
-    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 14)))) for i in range(30)]
-    rows += [(i, "\n".join([f"own {i}", *rows[k][1].split("\n")[1:6], f"end {i}"])) for i, k in ((40, 3), (41, 9), (42, 9), (43, 20))]
-    rows += [(50, "\n".join(["one two three four"] * 9)), (60, "p " * 12 + "\n" + "q " * 4), (61, "r\n" + "p " * 12 + "\n" + "q " * 4 + "\ns " + "t " * 20), (62, "p " * 12 + "\n\n" + "q " * 4)]
-    expected = brute_runs(rows, 9)
-    found = line_dedup.dedup_lines(documents(spark, rows), min_words=9, both_ways=True)
-    assert got(found, "doc_id", "n_deleted", "text") == expected
-    # The run of 12 and 4 words goes whole where it repeats, in the middle and at the end of a document.
-    assert {i: n for i, n, _ in expected if i >= 60} == {60: 0, 61: 2, 62: 3}
+    clash = spark.createDataFrame([(1, same, 7, 8, 9), (2, same, 7, 8, 9)], "doc_id long, text string, _gone int, n_lines int, th int")
+    assert got(line_dedup.dedup_lines(clash, min_words=4), "doc_id", "_gone", "th", "n_lines", "n_deleted") == [(1, 7, 9, 2, 0), (2, 7, 9, 2, 2)]
 
 
 def brute_jaccard(rows, width=5):
@@ -271,3 +276,13 @@ def test_numbering(spark, monkeypatch):
         own = sorted((x for x in rows if x.g == g), key=lambda x: x.k)
         assert [x.k for x in own] == list(range(len(own))) and [x.h for x in own] == sorted(x.h for x in own)
         assert [x.before for x in own] == [sum(y.t for y in own[:j]) for j in range(len(own))]
+
+
+def test_no_folder_of_its_own_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from tablequarry.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster)
