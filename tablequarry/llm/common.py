@@ -111,11 +111,11 @@ def largest_group(df: DataFrame, group: list[str]) -> int:
 
 
 def filter_bits(rows: int, most: int = 28) -> int:
-    """Bits (as a power of two) of a filter of so many hashes: 16 for each, 2**most (32 MB) in all at most.
+    """Bits (as a power of two) of a filter of so many hashes: 128 for each, 2**most (32 MB) in all at most.
 
     Beyond some ten million hashes a filter lets more rows through that it need not; none is lost.
     """
-    return min(most, max(16, math.ceil(math.log2(16 * max(1, rows)))))
+    return min(most, max(16, math.ceil(math.log2(128 * max(1, rows)))))
 
 
 def bitmap(hashes: DataFrame, column: str, bits: int) -> DataFrame:

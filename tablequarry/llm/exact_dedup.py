@@ -11,8 +11,6 @@ from .common import bitmap, cut, discard, filter_bits, maybe_in, scratch_path
 MEMTABLE_ROWS = 250_000
 #: Runs of one level that compaction merges into one of the next.
 FAN_IN = 8
-#: Members of a group whose texts meet one copy of the kept text.
-SALT_ROWS = 2_000
 
 
 class DigestIndex:
@@ -103,8 +101,8 @@ def exact_groups(docs: DataFrame, *, keep: str = "min", id: str = "doc_id", text
 
     Rows are equal when their texts hold the same bytes; null counts as empty. Of equal rows the
     smallest id stays (keep="max": the largest). digest: the index's key (default: SHA-256 of the
-    text); whatever it is, a hit counts only after its bytes equal those of the row that stays,
-    and hits that differ are grouped by their bytes.
+    text); whatever it is, hits count only after their bytes prove equal, and those of a digest
+    whose bytes differ are grouped by their bytes.
 
     Repeated rows: if several rows carry the id that stays, all of them have kept = true. A null
     id stays only where a group has no other; then keep_id is null. An empty table gives an empty
@@ -117,28 +115,22 @@ def exact_groups(docs: DataFrame, *, keep: str = "min", id: str = "doc_id", text
     index = DigestIndex(spark, keep=keep)
     index.flush(rows)
     merged = index.compact()
-    groups = merged.where("rows > 1").select(F.col("digest").alias("_digest"), F.col("id").alias("_keep"), F.greatest(F.lit(1), F.ceil(F.col("rows") / SALT_ROWS)).alias("_salts"))
-    # Hits: the texts of rows whose digest came more than once, and no others, go to a shuffle.
+    groups = merged.where("rows > 1").select(F.col("digest").alias("d"), F.col("id").alias("keep"), F.col("rows").alias("size"))
+    # Hits: the texts of rows whose digest came more than once, and few others, go to a shuffle. Equal least
+    # and greatest bytes prove all of a digest's equal; both combine in the reading task, so a group of
+    # copies, however large, sends one text from each task.
     bits = filter_bits(groups.count())
-    shared = bitmap(groups.select(F.xxhash64("_digest").alias("h")), "h", bits)
-    hits = maybe_in(rows.withColumn("_h", F.xxhash64("digest")).withColumn("_n", F.monotonically_increasing_id()), "_h", shared, bits)
-    # The row's number takes part, so that rows that repeat one id are dealt as well.
-    hits = hits.join(groups, F.col("digest") == F.col("_digest")).withColumn("_salt", F.pmod(F.xxhash64("id", "_n"), F.col("_salts")))
-    kept = hits.where(F.col("id").eqNullSafe(F.col("_keep"))).groupBy("digest", "_salts").agg(F.min("text").alias("_text"))
-    kept = kept.select(F.col("digest").alias("_d"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_s"), "_text")
-    verified = cut(
-        hits.join(kept, (F.col("digest") == F.col("_d")) & (F.col("_salt") == F.col("_s")))
-        .select("id", "sha", "_keep", F.col("digest").alias("_dg"), (F.col("text") == F.col("_text")).alias("same"), F.when(F.col("text") != F.col("_text"), F.col("text")).alias("other"))
-    )
-    best = F.min if keep == "min" else F.max
-    same = verified.where("same")
-    sizes = same.groupBy("_dg").agg(F.count(F.lit(1)).alias("size"))
-    true_hits = same.join(sizes, "_dg").select("id", "sha", F.col("_keep").alias("keep"), "size")
-    # Hits whose bytes differ (none with SHA-256): grouped by the bytes themselves.
-    odd = verified.where("not same")
-    odd_groups = odd.groupBy(F.col("other").alias("_o")).agg(best("id").alias("keep"), F.count(F.lit(1)).alias("size"))
-    odd_hits = odd.join(odd_groups, F.col("other") == F.col("_o")).select("id", "sha", "keep", "size")
-    singles = rows.select("id", "sha", "digest").join(merged.where("rows > 1").select("digest"), "digest", "left_anti").select("id", "sha", F.col("id").alias("keep"), F.lit(1).alias("size"))
-    return singles.union(true_hits).union(odd_hits).select(
-        F.col("id").alias(id), F.col("keep").alias("keep_id"), F.col("size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+    shared = bitmap(groups.select(F.xxhash64("d").alias("h")), "h", bits)
+    hits = maybe_in(rows.withColumn("h", F.xxhash64("digest")), "h", shared, bits)
+    checked = cut(hits.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same")))
+    one = lambda keep, size: (F.col("id").alias(id), keep.alias("keep_id"), size.cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
+    known = rows.select("id", "sha", "digest").join(groups, F.col("digest") == F.col("d"), "left")
+    single = F.col("d").isNull()
+    odd = checked.where("not same").select("digest")
+    if odd.isEmpty():
+        return known.select(*one(F.when(single, F.col("id")).otherwise(F.col("keep")), F.when(single, F.lit(1)).otherwise(F.col("size"))))
+    # Digests whose bytes differ (none with SHA-256): their rows are grouped by the bytes themselves.
+    sure = known.join(odd, "digest", "left_anti").select(*one(F.when(single, F.col("id")).otherwise(F.col("keep")), F.when(single, F.lit(1)).otherwise(F.col("size"))))
+    apart = rows.join(odd, "digest", "left_semi")
+    by_bytes = apart.groupBy(F.col("text").alias("t")).agg((F.min if keep == "min" else F.max)("id").alias("keep"), F.count(F.lit(1)).alias("size"))
+    return sure.union(apart.join(by_bytes, F.col("text") == F.col("t")).select(*one(F.col("keep"), F.col("size"))))
