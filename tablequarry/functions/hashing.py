@@ -21,10 +21,6 @@ def permutations(n: int, seed: int = 1) -> list[tuple[int, int]]:
     return [(r.randrange(1, PRIME), r.randrange(PRIME)) for _ in range(n)]
 
 
-def permuted(h: Column, a: int, b: int) -> Column:
-    return (F.lit(a).cast("long") * (h % F.lit(PRIME)) + F.lit(b).cast("long")) % F.lit(PRIME)
-
-
 def sign_bits(vector: Column, planes: list[list[float]]) -> Column:
     """A string of 0 and 1: on which side of each plane the vector lies."""
     dot = lambda p: F.aggregate(F.zip_with(vector, F.array(*map(F.lit, p)), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)

@@ -28,6 +28,23 @@ def hypergeometric_cdf(t: int, population: int, marked: int, drawn: int) -> floa
     return min(1.0, float(np.exp(choose(marked, k) + choose(population - marked, drawn - k) - choose(population, drawn)).sum()))
 
 
+def hypergeometric_cdfs(t: np.ndarray, population: np.ndarray, marked: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """hypergeometric_cdf of many rows at once, some two million terms at a time."""
+    t, population, marked, drawn = (np.asarray(x, dtype=np.int64) for x in (t, population, marked, drawn))
+    low = np.maximum(0, drawn - (population - marked))
+    terms = np.maximum(0, np.minimum(np.minimum(t, marked), drawn) - low + 1)
+    logs = lambda n, k: log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
+    all_ = logs(population, drawn)
+    out, first = np.zeros(len(t)), 0
+    while first < len(t):
+        end = max(first + 1, first + int(np.searchsorted(np.cumsum(terms[first:]), 2_000_000, side="right")))
+        row = np.repeat(np.arange(first, end), terms[first:end])
+        k = np.arange(len(row)) - np.repeat(np.cumsum(terms[first:end]) - terms[first:end], terms[first:end]) + low[row]
+        np.add.at(out, row, np.exp(logs(marked[row], k) + logs(population[row] - marked[row], drawn[row] - k) - all_[row]))
+        first = end
+    return np.minimum(out, 1.0)
+
+
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """The regularised incomplete beta function, by Lentz's continued fraction."""
     if x <= 0 or x >= 1:
@@ -130,17 +147,23 @@ def best_bands(threshold: float, num_perm: int, weights: tuple[float, float] = (
     return min(options, key=lambda o: (sum(w * e for w, e in zip(weights, band_errors(threshold, *o), strict=True)), o))
 
 
-def containment_bands(threshold: float, ratio: float, num_perm: int, most_rows: int, steps: int = 100) -> tuple[int, int]:
-    """(bands, rows) for containment >= threshold when the indexed set is at most `ratio` times the query's size."""
+def containment_bands(threshold: float, ratio: float, num_perm: int, most_rows: int, steps: int = 100, most_misses: float = 1.0) -> tuple[int, int] | None:
+    """(bands, rows), bands * rows <= num_perm, for containment >= threshold when the indexed set is at most `ratio` times the query's size.
+
+    The least expected errors decide, among choices that miss at most a share most_misses of the
+    pairs at the threshold; None if there is none.
+    """
     t = (np.arange(steps) + 0.5) / steps
-    jaccard = t / (1 + ratio - t)
+    jaccard = np.clip(t / (1 + ratio - t), 0, 1)
+    at = min(1.0, threshold / (1 + ratio - threshold)) if 1 + ratio > threshold else 1.0
     ok = t <= max(1.0, ratio)
 
     def error(b: int, r: int) -> float:
-        p = 1 - (1 - np.clip(jaccard, 0, 1) ** r) ** b
+        p = 1 - (1 - jaccard**r) ** b
         return float(np.where(t < threshold, p, 1 - p)[ok].sum())
 
-    return min(((b, r) for r in range(1, most_rows + 1) for b in range(1, num_perm // most_rows + 1)), key=lambda o: (error(*o), o))
+    options = [(b, r) for r in range(1, most_rows + 1) for b in range(1, num_perm // r + 1) if (1 - at**r) ** b <= most_misses]
+    return min(options, key=lambda o: (error(*o), o), default=None)
 
 
 def size_partitions(sizes: dict[int, int], parts: int) -> list[tuple[int, int]]:

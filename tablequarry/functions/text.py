@@ -39,36 +39,68 @@ def qgrams(c: Column, q: int = 3) -> Column:
     return F.when(F.length(c) <= q, F.array(c)).otherwise(F.array_distinct(grams))
 
 
+#: Between shingles stand runs of characters other than word characters, white space, - @ &.
+SHINGLE_BREAK = r"[^\p{L}\p{N}_\s@&-]+"
+#: A token of a shingle has two word characters or more.
+SHINGLE_TOKEN = r"[\p{L}\p{N}_]{2,}"
+
+
 def shingle_list(c: Column) -> Column:
-    """Parts between runs of characters other than word characters, white space, - @ &; trimmed, not empty."""
-    return F.filter(F.transform(F.split(F.lower(c), r"[^\w\s\-_@&]+"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    """A value's shingles: lower case, trimmed, white space as one space, not empty."""
+    return F.filter(F.transform(F.split(F.lower(c), SHINGLE_BREAK), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
 
 
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-#: Classes of the format descriptor, tried in this order at each place.
-FORMAT_CLASSES = [
-    ("d", r"[0-9]+\.[0-9]+"), ("e", r"[^@\s]+@[^@\s]+"), ("i", r"[0-9]+"), ("c", r"[A-Z][a-z]+"), ("u", r"[A-Z]+"), ("l", r"[a-z]+"), ("p", r"[.,;:!?]+"), ("s", r"[^\w\s.,;:!?]+"), ("w", r"\s+"), ("a", r"\S"),
-]
+_SPACE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_NUMBER = r"[0-9]+(?:,[0-9]+)*"
+#: The classes of a value's parts, tried in this order at each place: letters and digits
+#: mixed, decimals with and without minus, whole numbers likewise, currency signs or @ with digits,
+#: capitalised words, upper case, lower case, punctuation, signs alone, white space. The part of q and s
+#: is one and the same: s where no digit, comma or full stop is in it or follows.
+FORMAT_PARTS = [
+    ("a", r"(?:[0-9]+[a-zA-Z]|[a-zA-Z]+[0-9])[a-zA-Z0-9]*"),
+    ("d", rf"\+?{_NUMBER}\.[0-9]+"),
+    ("e", rf"-{_NUMBER}\.[0-9]+"),
+    ("i", rf"\+?{_NUMBER}"),
+    ("j", rf"-{_NUMBER}"),
+    ("q", r"[@\p{Sc}][0-9@\p{Sc}]*"),
+    ("c", r"[A-Z][a-z][a-z-]*"),
+    ("u", r"[A-Z][A-Z.-]*"),
+    ("l", r"[a-z][a-z-]*"),
+    ("p", r"""[!"#%&'()*+,\-./:;<=>?\[\\\]^_`{|}~]+"""),
+    ("w", rf"[{_SPACE}]+"),
+]
+#: Parts in order; any other character is a part of its own, where the descriptor ends.
+FORMAT_PATTERN = "(?s)" + "|".join(part for _, part in FORMAT_PARTS) + "|."
 
 
 def format_descriptor(c: Column) -> Column:
-    """A string's form: the class letters of its parts, repeated ones once; `a` is any other character.
+    """A string's form: the class letters of its parts up to the first character of no class; line breaks read as spaces, ends are stripped."""
+    c = F.regexp_replace(F.replace(c, F.lit("\n"), F.lit(" ")), f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    parts = F.regexp_extract_all(c, F.lit(FORMAT_PATTERN), F.lit(0))
+    whole = dict(FORMAT_PARTS)
+
+    def letter(x: Column, i: Column) -> Column:
+        rest = F.array_join(F.slice(parts, i + 1, F.size(parts)), "")
+        out = F.when(x.rlike(rf"^{whole['q']}$"), F.when(rest.rlike("[0-9,.]"), "q").otherwise("s"))
+        for k in ("a", "l", "c", "u", "w", "d", "e", "i", "j", "p"):
+            out = out.when(x.rlike(rf"^(?:{whole[k]})$"), k)
+        return out.otherwise("x")
+
+    return F.regexp_replace(F.array_join(F.transform(parts, letter), ""), "x.*$", "")
+
 
-    Each class is replaced by a private-use character in turn, so the order of the classes
-    decides and no part is read twice.
-    """
-    for k, (_, pattern) in enumerate(FORMAT_CLASSES):
-        guarded = pattern.replace(r"[^@\s]", rf"[^@\s{chr(0xE000)}-{chr(0xE0FF)}]").replace(r"[^\w\s", rf"[^\w\s{chr(0xE000)}-{chr(0xE0FF)}").replace(r"\S", rf"[^\s{chr(0xE000)}-{chr(0xE0FF)}]")
-        c = F.regexp_replace(c, guarded, chr(0xE000 + k))
-    return F.regexp_replace(F.translate(c, "".join(chr(0xE000 + k) for k in range(len(FORMAT_CLASSES))), "".join(x for x, _ in FORMAT_CLASSES)), r"(.)\1+", "$1")
+#: What a sentence's tokens are: words, and other characters one by one.
+SENTENCE_TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
 
-def sentence(column: Column, n: Column, longest: Column, shortest: Column, mean: Column, values: Column) -> Column:
-    """'{column} contains {n} values ({longest}, {shortest}, {mean}): v1, v2, ...'"""
-    return F.concat(column, F.lit(" contains "), n.cast("string"), F.lit(" values ("), longest.cast("string"), F.lit(", "), shortest.cast("string"), F.lit(", "), mean.cast("string"), F.lit("): "), F.array_join(values, ", "))
+def sentence(column: Column, n: Column, longest: Column, shortest: Column, mean: Column, values: Column, most: int) -> Column:
+    """The first `most` tokens of '{column} contains {n} values ({longest}, {shortest}, {mean}): v1, v2, ...', a space between."""
+    whole = F.concat(column, F.lit(" contains "), n.cast("string"), F.lit(" values ("), longest.cast("string"), F.lit(", "), shortest.cast("string"), F.lit(", "), mean.cast("string"), F.lit("): "), F.array_join(values, ", "))
+    return F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(SENTENCE_TOKEN), F.lit(0)), 1, most), " ")
 
 
 def shuffled(c: Column, seed: int) -> Column:

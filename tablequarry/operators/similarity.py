@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from .sets import KEY, ranked
+from ..sources.store import cut
+from .sets import KEY, MEASURES, PAIR, overlaps, ranked
 
 
 def name_features(values: DataFrame, q: int = 3) -> DataFrame:
@@ -19,29 +20,35 @@ def name_features(values: DataFrame, q: int = 3) -> DataFrame:
 
 
 def format_features(values: DataFrame) -> DataFrame:
-    return values.select(*KEY, text.format_descriptor(F.col("value")).alias("item")).distinct()
+    return values.where("value != ''").select(*KEY, text.format_descriptor(F.col("value")).alias("item")).distinct()
 
 
-def token_features(values: DataFrame, *, rarest: bool = True) -> DataFrame:
-    """One token for each value: the one of greatest (rarest=False: least) inverse column frequency, the first of equals.
+def token_features(values: DataFrame, *, max_share: float = 0.5, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """One token for each shingle of each value: that of greatest inverse frequency, the first of equals.
 
-    The frequency of a token is the number of the column's values that have it.
+    A token's frequency is the number of the column's values that have it. Stop words and tokens
+    in more than max_share of the values weigh nothing, so they stand for a shingle only where it
+    has no other; a column all of whose tokens weigh nothing has no features.
     """
-    listed = values.select(*KEY, "value", F.posexplode(text.tokens(F.col("value"))).alias("pos", "token"))
-    df = listed.groupBy(*KEY, "token").agg(F.count_distinct("value").alias("df"))
-    order = F.struct(F.col("df") if rarest else -F.col("df"), "pos")
-    best = listed.join(df, [*KEY, "token"]).groupBy(*KEY, "value").agg(F.min_by("token", order).alias("item"))
+    listed = values.select(*KEY, "value", F.posexplode(text.shingle_list(F.col("value"))).alias("n", "shingle"))
+    listed = listed.select(*KEY, "value", "n", F.posexplode(F.regexp_extract_all("shingle", F.lit(text.SHINGLE_TOKEN), F.lit(0))).alias("pos", "token"))
+    listed = cut(listed.select(*KEY, F.xxhash64("value").alias("v"), "n", "pos", "token"))
+    df = listed.select(*KEY, "token", "v").distinct().groupBy(*KEY, "token").agg(F.count(F.lit(1)).alias("df"))
+    sizes = values.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size"))
+    weighs = F.col("df") <= F.lit(max_share) * F.col("size")
+    if stop_words:
+        weighs = weighs & ~F.col("token").isin(*stop_words)
+    known = df.join(sizes, KEY).select(*KEY, "token", F.when(weighs, F.col("df")).alias("df"))
+    some = known.where("df is not null").select(*KEY).distinct()
+    # Tokens without weight come after all others.
+    order = F.struct(F.coalesce("df", F.lit(2**62)), "pos")
+    best = listed.join(known, [*KEY, "token"]).join(some, KEY, "left_semi").groupBy(*KEY, "v", "n").agg(F.min_by("token", order).alias("item"))
     return best.select(*KEY, "item").distinct()
 
 
 def feature_jaccard(features: DataFrame) -> DataFrame:
     """(q_table, q_column, c_table, c_column, score): Jaccard similarity of the columns' items; pairs that share one."""
-    lists = features.groupBy("item").agg(F.sort_array(F.collect_set(F.struct(*KEY))).alias("cols")).groupBy("cols").agg(F.count(F.lit(1)).alias("n")).where(F.size("cols") > 1)
-    both = lists.select(F.explode("cols").alias("q"), "cols", "n").select("q", F.explode("cols").alias("c"), "n").where("q != c").groupBy("q", "c").agg(F.sum("n").alias("shared"))
-    sizes = features.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    named = lambda p: sizes.select(F.struct(*KEY).alias(p), F.col("n").alias(f"n{p}"))
-    score = F.round(F.col("shared") / (F.col("nq") + F.col("nc") - F.col("shared")), 6)
-    return both.join(named("q"), "q").join(named("c"), "c").select(F.col("q.table_name").alias("q_table"), F.col("q.column_name").alias("q_column"), F.col("c.table_name").alias("c_table"), F.col("c.column_name").alias("c_column"), score.alias("score"))
+    return overlaps(features.withColumnRenamed("item", "value")).select(*PAIR, MEASURES["jaccard"]().alias("score"))
 
 
 def histograms(numbers: DataFrame, bins: int) -> DataFrame:
@@ -70,9 +77,6 @@ def histogram_overlap(numbers: DataFrame, bins: int) -> DataFrame:
     return both.select(F.col("q.table_name").alias("q_table"), F.col("q.column_name").alias("q_column"), F.col("c.table_name").alias("c_table"), F.col("c.column_name").alias("c_column"), "score")
 
 
-PAIR = ["q_table", "q_column", "c_table", "c_column"]
-
-
 def evidence(parts: dict[str, DataFrame]) -> DataFrame:
     """Column pairs with a score per kind of evidence, 0 where a kind found none."""
     long = reduce(DataFrame.unionByName, (df.select(*PAIR, F.lit(k).alias("kind"), "score") for k, df in parts.items()))
@@ -109,13 +113,16 @@ def score_ecdf(scores: DataFrame, bins: int = 50) -> DataFrame:
     return filled.select("bin", F.round(mass, 6).alias("mass"), F.round(F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / F.col("total"), 6).alias("cumulative"))
 
 
-def column_sentences(values: DataFrame, most: int = 20) -> DataFrame:
-    """(table_name, column_name, sentence): a column told as text, its most frequent values first."""
+def column_sentences(values: DataFrame, most: int = 512) -> DataFrame:
+    """(table_name, column_name, sentence): a column told as text of at most `most` tokens, its most frequent values first.
+
+    Each value brings a token or more, be it the comma before it, so `most` values are enough.
+    """
     w = Window.partitionBy(*KEY).orderBy(F.desc("freq"), "value")
     top = values.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("r", "value"))).alias("v"))
     facts = values.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("value")).alias("hi"), F.min(F.length("value")).alias("lo"), F.round(F.avg(F.length("value")), 2).alias("mean"))
     mean = F.format_string("%.2f", "mean")
-    return facts.join(top, KEY).select(*KEY, text.sentence(F.col("column_name"), F.col("n"), F.col("hi"), F.col("lo"), mean, F.transform("v", lambda x: x["value"])).alias("sentence"))
+    return facts.join(top, KEY).select(*KEY, text.sentence(F.col("column_name"), F.col("n"), F.col("hi"), F.col("lo"), mean, F.transform("v", lambda x: x["value"]), most).alias("sentence"))
 
 
 def keyword_search(values: DataFrame, keywords: list[str], k: int, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -129,7 +136,8 @@ def keyword_search(values: DataFrame, keywords: list[str], k: int, *, k1: float
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scored = asked.join(df, "token").join(lengths, "table_name").join(F.broadcast(facts)).groupBy("table_name").agg(F.round(F.sum(part), 6).alias("score"))  # facts: one row
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "table_name"))).where(F.col("rank") <= k)
+    best = scored.orderBy(F.desc("score"), "table_name").limit(k)  # each task keeps k; only those are ranked together
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "table_name")))
 
 
 def training_texts(sentences: DataFrame, *, augment: tuple[int, int] = (1, 5), train: tuple[int, int] = (8, 10), seed: int = 7) -> DataFrame:

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.stats import greedy, hotelling_from_moments, hypergeometric_cdf
-from .sets import KEY, overlaps, ranked
+from ..functions.stats import greedy, hotelling_from_moments, hypergeometric_cdfs
+from .sets import KEY, PAIR, overlaps, ranked
+from .vectors import weight_matrix
 
-PAIR = ["q_table", "q_column", "c_table", "c_column"]
+#: Between the two column names of a pair: no name has it.
+AND = "\u001f"
 #: Groups whose sums of products a task holds at once.
 MOMENT_GROUPS = 256
 
@@ -79,8 +81,8 @@ def set_unionability(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = [round(hypergeometric_cdf(t, q + c, q, c), 6) for t, q, c in zip(*(b.column(x).to_pylist() for x in ("overlap", "q_size", "c_size")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in PAIR), pa.array(score, pa.float64())], [*PAIR, "score"])
+            t, q, c = (b.column(x).to_numpy() for x in ("overlap", "q_size", "c_size"))
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in PAIR), pa.array(np.round(hypergeometric_cdfs(t, q + c, q, c), 6), pa.float64())], [*PAIR, "score"])
 
     return pairs.select(*PAIR, "overlap", "q_size", "c_size").mapInArrow(run, "q_table string, q_column string, c_table string, c_column string, score double")
 
@@ -154,9 +156,7 @@ def alignments(weights: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).to_pydict()
         rows, cols = sorted(set(t["q_column"])), sorted(set(t["c_column"]))
-        w = np.zeros((len(rows), len(cols)))
-        for q, c, s in zip(t["q_column"], t["c_column"], t["score"], strict=True):
-            w[rows.index(q), cols.index(c)] = max(w[rows.index(q), cols.index(c)], s)
+        w = weight_matrix(t, rows, cols)
         product = np.cumprod([w[p] for p in greedy(w)])
         yield pa.RecordBatch.from_pylist([{"q_table": t["q_table"][0], "c_table": t["c_table"][0], "c": k + 1, "score": round(float(x), 9)} for k, x in enumerate(product)], schema=pa.schema([("q_table", pa.string()), ("c_table", pa.string()), ("c", pa.int32()), ("score", pa.float64())]))
 
@@ -186,20 +186,22 @@ def synthesised_columns(values: DataFrame) -> DataFrame:
     return votes.join(sizes, KEY).select(*KEY, F.col("label.c_table").alias("label_table"), F.col("label.c_column").alias("label_column"), F.round(F.col("n") / F.col("size"), 6).alias("share"))
 
 
-def pair_values(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
-    """Distinct non-null value pairs of each two columns of a table, as values of a column named 'a|b'."""
+def pair_values(tables: dict[str, DataFrame], pairs: list[tuple[str, str, str]]) -> DataFrame:
+    """Distinct non-null value pairs of the given (table, column, column), as values of a column named by both, AND between."""
     out = None
-    for t, cs in columns.items():
-        each = [F.struct(F.lit(f"{a}|{b}").alias("column_name"), F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.concat(F.col(a).cast("string"), F.lit("\u001f"), F.col(b).cast("string"))).alias("value")) for i, a in enumerate(cs) for b in cs[i + 1 :]]
+    for t in sorted({t for t, *_ in pairs}):
+        each = [F.struct(F.lit(f"{a}{AND}{b}").alias("column_name"), F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.concat(F.col(a).cast("string"), F.lit(AND), F.col(b).cast("string"))).alias("value")) for u, a, b in pairs if u == t]
         rows = tables[t].select(F.lit(t).alias("table_name"), F.explode(F.array(*each)).alias("p")).select("table_name", "p.*").where("value is not null").distinct()
         out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no pair of columns is given")
     return out
 
 
 def synthesised_search(values: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Tables by relations: for each pair of query columns the candidate pair with the best relation cover times both columns' covers; summed by table."""
     rel = overlaps(pairs).where("q_table != c_table").select("q_table", "c_table", "q_column", "c_column", (F.col("overlap") / F.col("q_size")).alias("rel"))
-    side = lambda p, k: F.element_at(F.split(F.col(f"{p}_column"), r"\|"), k)
+    side = lambda p, k: F.element_at(F.split(F.col(f"{p}_column"), AND), k)
     rel = rel.select("q_table", "c_table", "q_column", "rel", *(side(p, k).alias(f"{p}{k}") for p in "qc" for k in (1, 2)))
     col = overlaps(values).select("q_table", "c_table", *(F.col(c) for c in ("q_column", "c_column")), (F.col("overlap") / F.col("q_size")).alias("s"))
     for n in (1, 2):

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import planes, sign_bits
 from ..functions.stats import assignment
 from ..functions.vectors import cosine
+from ..sources.store import cut
 
 #: Query vectors that one task holds against the blocks of all vectors.
 QUERY_BLOCK = 2_000
@@ -157,6 +159,13 @@ def projection_bits(vectors: DataFrame, bits: int, dim: int, *, id: str = "vec_i
     return vectors.select(F.col(id).alias("id"), sign_bits(F.col(embedding), planes(bits, dim)).alias("bits"))
 
 
+def weight_matrix(pairs: dict[str, list], rows: list[str], cols: list[str]) -> np.ndarray:
+    """The greatest score of each row (q_column) and column (c_column)."""
+    w, at, of = np.zeros((len(rows), len(cols))), {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
+    np.maximum.at(w, ([at[x] for x in pairs["q_column"]], [of[x] for x in pairs["c_column"]]), pairs["score"])
+    return w
+
+
 def best_matching(weights: DataFrame, *, normalised: bool = False) -> DataFrame:
     """(q_table, c_table, score, n_pairs): the one-to-one matching of columns with the greatest total weight, per table pair.
 
@@ -167,9 +176,7 @@ def best_matching(weights: DataFrame, *, normalised: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).to_pydict()
         rows, cols = sorted(set(t["q_column"])), sorted(set(t["c_column"]))
-        w = np.zeros((len(rows), len(cols)))
-        for q, c, s in zip(t["q_column"], t["c_column"], t["score"], strict=True):
-            w[rows.index(q), cols.index(c)] = max(w[rows.index(q), cols.index(c)], s)
+        w = weight_matrix(t, rows, cols)
         pairs = assignment(w)
         total = math.fsum(w[p] for p in pairs)
         score = total / (len(rows) + len(cols) - len(pairs)) if normalised else total
@@ -193,26 +200,29 @@ def embedding_table_search(items: DataFrame, neighbours: DataFrame, vectors: Dat
     return best_matching(weights).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def simhash(docs: DataFrame, *, id: str = "doc_id", text: str = "text", bits: int = 32) -> DataFrame:
-    """(id, simhash): a bit is set where more of the words' hashes have it than not. Words count as often as they occur."""
-    from ..functions.hashing import hash32
+def simhash(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, simhash): 64 bits, each set where more of the words' hashes have it than not. Words count as often as they occur."""
     from ..functions.text import tokens
 
-    words = docs.select(F.col(id).alias("id"), F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("w")).select("id", hash32(F.col("w")).alias("h"))
-    votes = [F.sum(F.call_function("shiftright", F.col("h"), F.lit(b)).bitwiseAND(F.lit(1)) * 2 - 1) for b in range(bits)]
-    total = sum((F.when(v > 0, F.lit(2**b)).otherwise(0) for b, v in enumerate(votes)), F.lit(0).cast("long"))
+    # Equal words of a document are counted first, so its votes are added once for each distinct word.
+    words = docs.select(F.col(id).alias("id"), F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"))
+    half = lambda at: F.conv(F.substring(F.md5("w"), at, 8), 16, 10).cast("long")
+    words = words.select("id", "n", half(1).alias("low"), half(9).alias("high"))
+    vote = lambda b: F.sum((F.call_function("shiftright", F.col("low" if b < 32 else "high"), F.lit(b % 32)).bitwiseAND(F.lit(1)) * 2 - 1) * F.col("n"))
+    bit = lambda b: F.lit(2**b if b < 63 else -(2**63)).cast("long")
+    total = reduce(Column.bitwiseOR, (F.when(vote(b) > 0, bit(b)).otherwise(F.lit(0).cast("long")) for b in range(64)))
     return words.groupBy("id").agg(total.alias("simhash"))
 
 
-def hamming_pairs(hashes: DataFrame, most: int, bits: int = 32) -> DataFrame:
+def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
     """(a, b, distance) of rows whose hashes differ in at most `most` bits: they agree on one of most + 1 bands.
 
     Equal hashes are joined once: a is the smallest id of a hash and b that of another, and
     every further id of a hash pairs with its smallest at distance 0.
     """
-    one = hashes.groupBy("simhash").agg(F.min("id").alias("rep"))
+    one = cut(hashes.groupBy("simhash").agg(F.min("id").alias("rep")))
     width = math.ceil(bits / (most + 1))
-    bands = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.call_function("shiftright", F.col("simhash"), F.lit(i * width)).bitwiseAND(F.lit(2**width - 1)).alias("bucket")) for i in range(most + 1))))
+    bands = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.call_function("shiftright", F.col("simhash"), F.lit(i * width)).bitwiseAND(F.lit(2 ** min(width, bits - i * width) - 1)).alias("bucket")) for i in range(most + 1))))
     keyed = one.select("rep", "simhash", bands.alias("b"))
     x, y = keyed.select(F.col("rep").alias("a"), F.col("simhash").alias("ha"), "b"), keyed.select(F.col("rep").alias("b_"), F.col("simhash").alias("hb"), "b")
     d = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))

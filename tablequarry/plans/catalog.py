@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.lake import Lake, parquet_lake
+from ..sources.store import kept
 
-#: Text and integer columns but for long texts, events.props and documents.n_chars (see README); doubles and timestamps have no common rendering as strings.
+#: All text and whole-number columns; doubles and timestamps have no common rendering as strings.
 COLUMNS = {
     "region": ["r_regionkey", "r_name"],
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
@@ -15,15 +19,15 @@ COLUMNS = {
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
-    "events": ["event_id", "user_id", "event_type"],
-    "documents": ["doc_id", "lang", "source"],
+    "events": ["event_id", "user_id", "event_type", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
     "labels": ["doc_id", "quality", "toxic"],
     "embeddings": ["vec_id", "label"],
-    "benchmark": ["item_id"],
-    "pages": ["page_id", "url"],
-    "conversations": ["conv_id", "turn", "role"],
+    "benchmark": ["item_id", "text"],
+    "pages": ["page_id", "url", "html"],
+    "conversations": ["conv_id", "turn", "role", "text"],
 }
-TEXT = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type"], "documents": ["lang", "source"], "conversations": ["role"]}
+TEXT = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"], "documents": ["text", "lang", "source"], "benchmark": ["text"], "pages": ["url", "html"], "conversations": ["role", "text"]}
 
 
 def lake(spark: SparkSession, root: str, columns: dict[str, list[str]] = COLUMNS) -> Lake:
@@ -31,7 +35,12 @@ def lake(spark: SparkSession, root: str, columns: dict[str, list[str]] = COLUMNS
 
 
 def values(spark: SparkSession, root: str, columns: dict[str, list[str]] = COLUMNS) -> DataFrame:
-    return lake(spark, root, columns).column_values()
+    """The lake's distinct values, flattened once a session for all queries, as an index is built beforehand."""
+    every = kept(spark, "column-values", [f"{root}/{t}.parquet" for t in COLUMNS], lambda: lake(spark, root).column_values())
+    if columns is COLUMNS:
+        return every
+    pairs = reduce(Column.__or__, ((F.col("table_name") == t) & F.col("column_name").isin(cs) for t, cs in columns.items()))
+    return every.where(pairs)
 
 
 def cells_sql(columns: dict[str, list[str]] = COLUMNS) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import hashing, text
 from ..functions.stats import best_bands
 from ..operators import evaluation, graph, sets, similarity, sketches, tables, vectors
+from ..sources.store import cut, kept
 from . import catalog
 from .catalog import OVERLAPS_SQL, TEXT, top_sql, values, values_sql
 
@@ -73,7 +74,7 @@ def token_order(spark, root):
 
 @query(f"WITH {values_sql()}, {OVERLAPS_SQL} {top_sql('overlap::DOUBLE', 10)}")
 def overlap_topk(spark, root):
-    return sets.top_columns(values(spark, root), "overlap", 10)
+    return sets.top_overlaps(values(spark, root), 10)
 
 
 @query(f"WITH {values_sql()}, {OVERLAPS_SQL} SELECT q_table, q_column, c_table, c_column, overlap, q_size FROM p WHERE overlap >= ceil(0.7 * q_size - 1e-9)")
@@ -115,20 +116,25 @@ def noise_cutoff(spark, root):
     return sets.rare_values(values(spark, root), 5).groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("kept"))
 
 
-PERMS = hashing.permutations(32)
+NUM = sketches.NUM_PERM
+PERMS = hashing.permutations(NUM)
 HASHED_SQL = f"h AS (SELECT table_name, column_name, ('0x' || substr(md5(value), 1, 8))::BIGINT % {hashing.PRIME} AS h FROM cv)"
 SIG_SQL = f"{HASHED_SQL}, g AS (SELECT table_name, column_name, count(*) AS size, [{', '.join(f'min(({a}::BIGINT * h + {b}) % {hashing.PRIME})' for a, b in PERMS)}] AS signature FROM h GROUP BY ALL)"
-ESTIMATE = "round(len(list_filter(list_zip(a.signature, b.signature), lambda z: z[1] = z[2])) / 32, 6)"
+ESTIMATE = f"round(len(list_filter(list_zip(a.signature, b.signature), lambda z: z[1] = z[2])) / {NUM}, 6)"
+
+
+def signatures(spark: SparkSession, root: str) -> DataFrame:
+    return sketches.signatures(values(spark, root))
 
 
 @query(f"WITH {values_sql()}, {SIG_SQL} SELECT table_name, column_name, size, array_to_string(signature, ',') AS signature FROM g")
 def minhash_signature(spark, root):
-    return sketches.signatures(values(spark, root), 32).withColumn("signature", F.array_join("signature", ","))
+    return signatures(spark, root).withColumn("signature", F.array_join("signature", ","))
 
 
-@query(f"WITH {values_sql()}, {SIG_SQL} SELECT table_name, column_name, round(32 / list_sum(list_transform(signature, lambda m: m / {hashing.PRIME}::DOUBLE)) - 1, 6) AS estimate FROM g")
+@query(f"WITH {values_sql()}, {SIG_SQL} SELECT table_name, column_name, round({NUM} / list_sum(list_transform(signature, lambda m: m / {hashing.PRIME}::DOUBLE)) - 1, 6) AS estimate FROM g")
 def minhash_cardinality(spark, root):
-    return sketches.signatures(values(spark, root), 32).select("table_name", "column_name", F.round(sketches.cardinality(F.col("signature"), 32), 6).alias("estimate"))
+    return signatures(spark, root).select("table_name", "column_name", F.round(sketches.cardinality(F.col("signature"), NUM), 6).alias("estimate"))
 
 
 PAIR_SQL = "a.table_name AS q_table, a.column_name AS q_column, b.table_name AS c_table, b.column_name AS c_column"
@@ -137,44 +143,38 @@ DIFFERENT = "(a.table_name <> b.table_name OR a.column_name <> b.column_name)"
 
 @query(f"WITH {values_sql()}, {SIG_SQL} SELECT {PAIR_SQL}, {ESTIMATE} AS score FROM g a JOIN g b ON {DIFFERENT} WHERE len(list_filter(list_zip(a.signature, b.signature), lambda z: z[1] = z[2])) > 0")
 def minhash_jaccard(spark, root):
-    sig = sketches.signatures(values(spark, root), 32)
-    return sketches.estimated_jaccard(sig, sketches.band_collisions(sig, 32, 1), 32)
+    sig = cut(signatures(spark, root))
+    return sketches.estimated_jaccard(sig, sketches.band_collisions(sig, NUM, 1), NUM)
 
 
-BANDS, ROWS = best_bands(0.5, 32)
-BAND_HIT = " OR ".join(f"a.signature[{b * ROWS + 1}:{(b + 1) * ROWS}] = b.signature[{b * ROWS + 1}:{(b + 1) * ROWS}]" for b in range(BANDS))
+BANDS, ROWS = best_bands(0.5, NUM, sketches.RECALL)
+BAND_SQL = f"bd AS (SELECT table_name, column_name, band, array_to_string(signature[band * {ROWS} + 1:(band + 1) * {ROWS}], ',') AS bucket FROM (SELECT unnest(range({BANDS})) AS band, * FROM g)), hi AS (SELECT {PAIR_SQL}, count(*) AS hits FROM bd a JOIN bd b ON a.band = b.band AND a.bucket = b.bucket AND {DIFFERENT} GROUP BY ALL)"
+JACCARD_SQL = "round(overlap / (q_size + c_size - overlap), 6)"
 
 
-@query(f"WITH {values_sql()}, {SIG_SQL} SELECT {PAIR_SQL}, {ESTIMATE} AS score FROM g a JOIN g b ON {DIFFERENT} AND ({BAND_HIT})")
+@query(f"WITH {values_sql()}, {SIG_SQL}, {BAND_SQL}, {OVERLAPS_SQL} SELECT q_table, q_column, c_table, c_column, {JACCARD_SQL} AS score FROM p JOIN hi USING (q_table, q_column, c_table, c_column) WHERE {JACCARD_SQL} >= 0.5")
 def lsh_candidates(spark, root):
-    return sketches.lsh_search(values(spark, root), 0.5, 32)
+    return sketches.lsh_search(values(spark, root), 0.5)
 
 
-@query(f"WITH {values_sql()}, {SIG_SQL}, b AS (SELECT unnest(range({BANDS})) AS band, * FROM g) SELECT band, array_to_string(signature[band * {ROWS} + 1:(band + 1) * {ROWS}], ',') AS bucket, count(*) AS columns FROM b GROUP BY ALL")
-def lsh_bucket_counts(spark, root):
-    sig = sketches.signatures(values(spark, root), 32)
-    named = sig.select(F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.concat_ws(",", F.slice("signature", b * ROWS + 1, ROWS).cast("array<string>")).alias("bucket")) for b in range(BANDS)))).alias("b"))
-    return named.groupBy(F.col("b.band").cast("long").alias("band"), "b.bucket").agg(F.count(F.lit(1)).alias("columns"))
+@query(f"WITH {values_sql()}, {SIG_SQL}, {BAND_SQL} SELECT q_table, q_column, c_table, c_column, hits AS score, row_number() OVER (PARTITION BY q_table, q_column ORDER BY hits DESC, c_table, c_column)::INT AS rank FROM hi QUALIFY rank <= 10")
+def lsh_collision_topk(spark, root):
+    return sketches.collision_ranked(signatures(spark, root), BANDS, ROWS, 10)
 
 
-BOUNDS = [(1, 10), (11, 100), (101, 1000), (1001, 10_000), (10_001, 1_000_000_000)]
+@query(f"WITH {values_sql()}, {SIG_SQL}, {BAND_SQL} SELECT band, bucket, count(*) AS columns FROM bd GROUP BY ALL")
+def lsh_bucket_counts(spark, root):
+    return sketches.bucket_counts(signatures(spark, root), BANDS, ROWS)
 
 
 def _ensemble_sql() -> str:
-    from ..functions.stats import containment_bands
-
-    choose = {x: containment_bands(0.8, 2.0**x, 32, 4) for x in range(-10, 11)}
-    upper = "CASE " + " ".join(f"WHEN size <= {hi} THEN {hi}" for _, hi in BOUNDS) + " END"
-    x = "least(greatest(ceil(log2(b.upper / a.size)), -10), 10)"
-    hit = "CASE " + " ".join(f"WHEN {x} = {k} THEN " + " OR ".join(f"a.signature[{i * 4 + 1}:{i * 4 + r}] = b.signature[{i * 4 + 1}:{i * 4 + r}]" for i in range(b)) for k, (b, r) in choose.items()) + " END"
-    return f"""WITH {values_sql()}, {SIG_SQL}, u AS (SELECT *, {upper} AS upper FROM g), {OVERLAPS_SQL},
-        c AS (SELECT {PAIR_SQL} FROM u a JOIN u b ON {DIFFERENT} AND ({hit})),
-        v AS (SELECT * FROM p JOIN c USING (q_table, q_column, c_table, c_column) WHERE overlap / q_size >= 0.8) {top_sql("round(overlap / q_size, 6)", 10, "v")}"""
+    """Partitions are the engine's own to choose: whatever they are, a pair over the threshold that is missed shows."""
+    return f"WITH {values_sql()}, {OVERLAPS_SQL} " + top_sql("round(overlap / q_size, 6)", 10, where="overlap / q_size >= 0.8")
 
 
 @query(_ensemble_sql())
 def lsh_ensemble_topk(spark, root):
-    return sketches.ensemble_search(values(spark, root), threshold=0.8, k=10, bounds=BOUNDS)
+    return sketches.ensemble_search(values(spark, root), threshold=0.8, k=10)
 
 
 # Similarity of names, formats and tokens.
@@ -183,21 +183,21 @@ NAME_SQL = r"""nf0 AS (SELECT DISTINCT table_name, column_name, regexp_replace(l
     nf AS (SELECT DISTINCT table_name, column_name, unnest(CASE WHEN length(nm) <= 3 THEN [nm] ELSE list_transform(range(1, length(nm) - 1), lambda i: substr(nm, i, 3)) END) AS item FROM nf0)"""
 
 
-def _format_sql(c: str) -> str:
-    low, high = chr(0xE000), chr(0xE0FF)
-    for k, (_, pattern) in enumerate(text.FORMAT_CLASSES):
-        guarded = pattern.replace(r"[^@\s]", rf"[^@\s{low}-{high}]").replace(r"[^\w\s", rf"[^\w\s{low}-{high}").replace(r"\S", rf"[^\s{low}-{high}]")
-        c = f"regexp_replace({c}, '{guarded}', '{chr(0xE000 + k)}', 'g')"
-    c = f"translate({c}, '{''.join(chr(0xE000 + k) for k in range(len(text.FORMAT_CLASSES)))}', '{''.join(x for x, _ in text.FORMAT_CLASSES)}')"
-    for letter, _ in text.FORMAT_CLASSES:
-        c = f"regexp_replace({c}, '{letter}{letter}+', '{letter}', 'g')"
-    return c
+def _format_sql() -> str:
+    parts = dict(text.FORMAT_PARTS)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    letter = f"CASE WHEN regexp_full_match(x, {quoted(parts['q'])}) THEN CASE WHEN regexp_matches(array_to_string(t[i:], ''), '[0-9,.]') THEN 'q' ELSE 's' END " + " ".join(f"WHEN regexp_full_match(x, {quoted(parts[k])}) THEN '{k}'" for k in "alcuwdeijp") + " ELSE 'x' END"
+    return f"""ff0 AS (SELECT *, regexp_extract_all(regexp_replace(replace(value, chr(10), ' '), {quoted(f'^[{text._SPACE}]+|[{text._SPACE}]+$')}, '', 'g'), {quoted(text.FORMAT_PATTERN)}) AS t FROM cv WHERE value <> ''),
+    ff AS (SELECT DISTINCT table_name, column_name, regexp_replace(array_to_string(list_transform(t, lambda x, i: {letter}), ''), 'x.*$', '') AS item FROM ff0)"""
 
 
-FORMAT_SQL = f"ff AS (SELECT DISTINCT table_name, column_name, {_format_sql('value')} AS item FROM cv)"
-TOKEN_SQL = """tk0 AS (SELECT table_name, column_name, value, generate_subscripts(t, 1) AS pos, unnest(t) AS token FROM (SELECT *, regexp_extract_all(lower(value), '[a-z0-9]+') AS t FROM cv)),
-    td AS (SELECT table_name, column_name, token, count(DISTINCT value) AS df FROM tk0 GROUP BY ALL),
-    tf AS (SELECT DISTINCT table_name, column_name, item FROM (SELECT table_name, column_name, value, arg_min(token, (df, pos)) AS item FROM tk0 JOIN td USING (table_name, column_name, token) GROUP BY ALL))"""
+FORMAT_SQL = _format_sql()
+TOKEN_SQL = rf"""tk1 AS (SELECT table_name, column_name, value, generate_subscripts(s, 1) AS n, unnest(s) AS shingle FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(lower(value), '{text.SHINGLE_BREAK}'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS s FROM cv)),
+    tk0 AS (SELECT table_name, column_name, value, n, generate_subscripts(t, 1) AS pos, unnest(t) AS token FROM (SELECT *, regexp_extract_all(shingle, '{text.SHINGLE_TOKEN}') AS t FROM tk1)),
+    tz AS (SELECT table_name, column_name, count(*) AS size FROM cv GROUP BY ALL),
+    td AS (SELECT table_name, column_name, token, CASE WHEN df <= 0.5 * size THEN df END AS df FROM (SELECT table_name, column_name, token, count(DISTINCT value) AS df FROM tk0 GROUP BY ALL) JOIN tz USING (table_name, column_name)),
+    tf AS (SELECT DISTINCT table_name, column_name, item FROM (SELECT table_name, column_name, value, n, arg_min(token, (coalesce(df, 4611686018427387904), pos)) AS item FROM tk0 JOIN td USING (table_name, column_name, token) GROUP BY ALL)
+        WHERE (table_name, column_name) IN (SELECT (table_name, column_name) FROM td WHERE df IS NOT NULL))"""
 
 
 def jaccard_sql(name: str, features: str) -> str:
@@ -233,9 +233,9 @@ def normalised_names(spark, root):
     return read(spark, root, "part").select("p_partkey", text.alnum(c).alias("alnum"), text.alnum_spaced(c).alias("spaced"), text.attribute_name(c).alias("attribute"), text.is_null_string(c).alias("missing"))
 
 
-@query(f"""WITH {values_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY freq DESC, value) AS r FROM cv)
-    SELECT table_name, column_name, column_name || ' contains ' || count(*) || ' values (' || max(length(value)) || ', ' || min(length(value)) || ', ' || printf('%.2f', round(avg(length(value)), 2)) || '): ' || string_agg(value, ', ' ORDER BY r) FILTER (r <= 20) AS sentence
-    FROM r GROUP BY table_name, column_name""")
+@query(f"""WITH {values_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY freq DESC, value) AS r FROM cv),
+    w AS (SELECT table_name, column_name, column_name || ' contains ' || count(*) || ' values (' || max(length(value)) || ', ' || min(length(value)) || ', ' || printf('%.2f', round(avg(length(value)), 2)) || '): ' || string_agg(value, ', ' ORDER BY r) FILTER (r <= 512) AS s FROM r GROUP BY table_name, column_name)
+    SELECT table_name, column_name, array_to_string(regexp_extract_all(s, '{text.SENTENCE_TOKEN}')[1:512], ' ') AS sentence FROM w""")
 def column_sentence(spark, root):
     return similarity.column_sentences(values(spark, root))
 
@@ -261,15 +261,14 @@ def distribution_sim(spark, root):
     return similarity.histogram_overlap(numbers(spark, root), 30)
 
 
-BUCKET_SCORES_SQL = f"{SIG_SQL}, {OVERLAPS_SQL}, lc AS (SELECT {PAIR_SQL} FROM g a JOIN g b ON {DIFFERENT} AND ({BAND_HIT})), sc AS (SELECT round(coalesce(overlap, 0) / greatest(q_size + c_size - overlap, 1), 6) AS score FROM p JOIN lc USING (q_table, q_column, c_table, c_column))"
+BUCKET_SCORES_SQL = f"{SIG_SQL}, {BAND_SQL}, {OVERLAPS_SQL}, sc AS (SELECT {JACCARD_SQL} AS score FROM p JOIN hi USING (q_table, q_column, c_table, c_column))"
 
 
 @query(f"WITH {values_sql()}, {BUCKET_SCORES_SQL}, t AS (SELECT least(floor(score * 50), 49)::INT AS bin, count(*) AS n FROM sc GROUP BY 1), gr AS (SELECT unnest(range(50))::INT AS bin) SELECT bin, round(coalesce(n, 0) / (SELECT sum(n) FROM t), 6) AS mass, round(sum(coalesce(n, 0)) OVER (ORDER BY bin) / (SELECT sum(n) FROM t), 6) AS cumulative FROM gr LEFT JOIN t USING (bin)")
 def score_ecdf(spark, root):
     v = values(spark, root)
-    sig = sketches.signatures(v, 32)
-    pairs = sketches.band_collisions(sig, BANDS, ROWS)
-    return similarity.score_ecdf(sets.overlaps(v).join(pairs, ["q_table", "q_column", "c_table", "c_column"]).select(sets.MEASURES["jaccard"]().alias("score")))
+    pairs = cut(sketches.band_collisions(signatures(spark, root), BANDS, ROWS))
+    return similarity.score_ecdf(sets.exact_overlaps(v, pairs).select(sets.MEASURES["jaccard"]().alias("score")))
 
 
 EVIDENCE = ["name", "format", "value", "distribution"]
@@ -282,7 +281,7 @@ EVIDENCE_SQL = f"""WITH {values_sql()}, {NUMBERS_SQL} {HISTOGRAM_SQL}, {NAME_SQL
 
 def evidence(spark: SparkSession, root: str) -> DataFrame:
     v = values(spark, root)
-    j = similarity.feature_jaccard
+    j = lambda features: similarity.feature_jaccard(cut(features))
     return similarity.evidence({"name": j(similarity.name_features(v)), "format": j(similarity.format_features(v)), "value": j(similarity.token_features(v)), "distribution": similarity.histogram_overlap(numbers(spark, root), 30)})
 
 
@@ -367,8 +366,8 @@ def rp_lsh_bits(spark, root):
     return vectors.projection_bits(read(spark, root, "embeddings"), 16, 64)
 
 
-SIMHASH_SQL = f"""wd AS (SELECT doc_id AS id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents)),
-    sh AS (SELECT id, ({' + '.join(f'CASE WHEN sum(((h >> {b}) & 1) * 2 - 1) > 0 THEN {2**b} ELSE 0 END' for b in range(32))})::BIGINT AS simhash FROM wd GROUP BY id)"""
+SIMHASH_SQL = f"""wd AS (SELECT doc_id AS id, ('0x' || substr(m, 1, 8))::BIGINT AS lo, ('0x' || substr(m, 9, 8))::BIGINT AS hi FROM (SELECT doc_id, md5(unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS m FROM documents)),
+    sh AS (SELECT id, ({' + '.join(f"CASE WHEN sum((({'lo' if b < 32 else 'hi'} >> {b % 32}) & 1) * 2 - 1) > 0 THEN {2**b if b < 63 else -(2**63)} ELSE 0 END" for b in range(64))})::BIGINT AS simhash FROM wd GROUP BY id)"""
 
 
 @query(f"WITH {SIMHASH_SQL} SELECT * FROM sh")
@@ -387,16 +386,15 @@ def simhash_neardup(spark, root):
 def embedding_table_topk(spark, root):
     e = read(spark, root, "embeddings")
     items = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("t"), (F.col("vec_id") / 10).cast("long")).alias("table_name"), (F.col("vec_id") % 10).cast("string").alias("column_name"))
-    return vectors.embedding_table_search(items, vectors.knn(e, e, 10), e, 0.3, 60)
+    return vectors.embedding_table_search(items, vectors.knn(e, e, 10), e, 0.7, 60)
 
 
 @query()
 def signature_vector_search(spark, root):
-    sig = sketches.signatures(values(spark, root), 32)
+    sig = cut(signatures(spark, root))
     v = sig.select(F.xxhash64("table_name", "column_name").alias("vec_id"), F.col("signature").cast("array<double>").alias("embedding"), "table_name", "column_name")
-    found = vectors.knn(v, v, 10)
-    name = lambda p: v.select(F.col("vec_id").alias(f"{p}_id"), F.col("table_name").alias(f"{p}_table"), F.col("column_name").alias(f"{p}_column"))
-    return found.join(name("q"), "q_id").join(name("c"), "c_id").select("q_table", "q_column", "c_table", "c_column", "score", "rank")
+    items = v.select(F.col("vec_id").alias("id"), "table_name", "column_name")
+    return vectors.embedding_table_search(items, vectors.knn(v, v, 10), v, 0.7, 60)
 
 
 @query()
@@ -405,7 +403,15 @@ def bipartite_match_topk(spark, root):
     return sets.ranked(vectors.best_matching(w), F.col("score"), 10, by=["q_table"], then=["c_table"]).select("q_table", "c_table", "score", "n_pairs", "rank")
 
 
-@query()
+GREEDY_SQL = """ca0 AS (SELECT q_table, c_table, list({'s': score, 'q': q_column, 'c': c_column} ORDER BY score DESC, q_column, c_column) AS e FROM (SELECT q_table, q_column, c_table, c_column, round(overlap / q_size, 6) AS score FROM p WHERE q_table <> c_table) GROUP BY ALL),
+    ca1 AS (SELECT q_table, c_table, list_reduce(list_prepend({'s': [0.0::DOUBLE][2:1], 'q': [''][2:1], 'c': [''][2:1]}, list_transform(e, lambda x: {'s': [x.s::DOUBLE], 'q': [x.q], 'c': [x.c]})),
+        lambda a, x: CASE WHEN list_contains(a.q, x.q[1]) OR list_contains(a.c, x.c[1]) THEN a ELSE {'s': list_concat(a.s, x.s), 'q': list_concat(a.q, x.q), 'c': list_concat(a.c, x.c)} END).s AS s FROM ca0),
+    ca2 AS (SELECT q_table, c_table, i::INT AS c, round(list_product(s[1:i]), 9) AS score FROM ca1, unnest(range(1, len(s) + 1)) AS u(i)),
+    ca3 AS (SELECT *, round(cume_dist() OVER (PARTITION BY c ORDER BY score), 6) AS g FROM ca2),
+    ca4 AS (SELECT q_table, c_table, arg_max(c, (g, c)) AS c, max(g) AS score FROM ca3 GROUP BY ALL)"""
+
+
+@query(f"WITH {values_sql()}, {OVERLAPS_SQL}, {GREEDY_SQL} SELECT q_table, c_table, c, score, row_number() OVER (PARTITION BY q_table ORDER BY score DESC, c_table)::INT AS rank FROM ca4 QUALIFY rank <= 10")
 def c_alignment_greedy(spark, root):
     return tables.c_alignment(sets.overlaps(values(spark, root)).where("q_table != c_table").withColumn("score", sets.MEASURES["containment"]()), 10)
 
@@ -434,7 +440,8 @@ def schema_benefit(spark, root):
     return tables.schema_benefit(schema(spark))
 
 
-ENTITY = [(t, cs[0]) for t, cs in catalog.COLUMNS.items()] + [("orders", "o_custkey"), ("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("lineitem", "l_partkey")]
+#: The columns that hold a table's entities: the leading ones.
+ENTITY = [(t, cs[0]) for t, cs in catalog.COLUMNS.items()]
 
 
 @query(f"""WITH {values_sql()}, {SCHEMA_SQL}, {ATTR_SQL}, {BENEFIT_SQL}, en AS (SELECT * FROM (VALUES {', '.join(map(str, ENTITY))}) v(table_name, column_name)), ev AS (SELECT cv.* FROM cv JOIN en USING (table_name, column_name)),
@@ -480,13 +487,24 @@ def synth_column_semantics(spark, root):
     return tables.synthesised_columns(values(spark, root))
 
 
-RELATIONS = {"nation": ["n_nationkey", "n_regionkey"], "region": ["r_regionkey", "r_name"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "documents": ["doc_id", "lang", "source"], "labels": ["doc_id", "quality", "toxic"], "embeddings": ["vec_id", "label"], "conversations": ["conv_id", "turn", "role"]}
-RELATIONS_SQL = "rp AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{a}|{b}' AS column_name, {a}::VARCHAR || chr(31) || {b}::VARCHAR AS value FROM {t}" for t, cs in RELATIONS.items() for i, a in enumerate(cs) for b in cs[i + 1 :]) + ") WHERE value IS NOT NULL)"
+PAIRS = [(t, a, b) for t, cs in catalog.COLUMNS.items() for i, a in enumerate(cs) for b in cs[i + 1 :]]
+FD_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{a}' AS lhs, '{b}' AS rhs FROM (SELECT {a}, count(DISTINCT {b}::VARCHAR) AS n FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1) HAVING max(n) = 1" for t, x, y in PAIRS for a, b in ((x, y), (y, x)))
+#: A pair of columns is a relation where one of them determines the other.
+RELATIONS_SQL = f"fd AS ({FD_SQL}), rp AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{a}' || chr(31) || '{b}' AS column_name, {a}::VARCHAR || chr(31) || {b}::VARCHAR AS value FROM {t} WHERE EXISTS (SELECT 1 FROM fd WHERE table_name = '{t}' AND (lhs = '{a}' AND rhs = '{b}' OR lhs = '{b}' AND rhs = '{a}'))" for t, a, b in PAIRS) + ") WHERE value IS NOT NULL)"
 REL_OVERLAP = f"rz AS (SELECT table_name, column_name, count(*) AS size FROM rp GROUP BY ALL), ro AS (SELECT o.*, o.overlap / rz.size AS rel FROM (SELECT {PAIR_SQL}, count(*) AS overlap FROM rp a JOIN rp b ON a.value = b.value AND a.table_name <> b.table_name GROUP BY ALL) o JOIN rz ON rz.table_name = q_table AND rz.column_name = q_column)"
 
 
+def dependencies(spark: SparkSession, root: str) -> DataFrame:
+    """(table_name, lhs, rhs) of all tables; an index, made once a session."""
+    each = lambda: reduce(DataFrame.union, (sets.functional_dependencies(read(spark, root, t), cs).select(F.lit(t).alias("table_name"), "lhs", "rhs") for t, cs in catalog.COLUMNS.items()))
+    return kept(spark, "dependencies", [f"{root}/{t}.parquet" for t in catalog.COLUMNS], each)
+
+
 def relation_pairs(spark: SparkSession, root: str) -> DataFrame:
-    return tables.pair_values({t: read(spark, root, t) for t in RELATIONS}, RELATIONS)
+    # Names of columns, no more than the schema has.
+    found = {(r.table_name, frozenset((r.lhs, r.rhs))) for r in dependencies(spark, root).collect()}
+    pairs = [(t, a, b) for t, a, b in PAIRS if (t, frozenset((a, b))) in found]
+    return tables.pair_values({t: read(spark, root, t) for t in catalog.COLUMNS}, pairs)
 
 
 @query(f"WITH {RELATIONS_SQL}, {REL_OVERLAP} SELECT q_table, q_column, c_table, c_column, round(rel, 6) AS score FROM ro")
@@ -494,7 +512,7 @@ def synth_relation_semantics(spark, root):
     return sets.overlaps(relation_pairs(spark, root)).where("q_table != c_table").select("q_table", "q_column", "c_table", "c_column", sets.MEASURES["containment"]().alias("score"))
 
 
-@query(f"""WITH {values_sql()}, {OVERLAPS_SQL}, {RELATIONS_SQL}, {REL_OVERLAP}, rs AS (SELECT *, split_part(q_column, '|', 1) AS q1, split_part(q_column, '|', 2) AS q2, split_part(c_column, '|', 1) AS c1, split_part(c_column, '|', 2) AS c2 FROM ro),
+@query(f"""WITH {values_sql()}, {OVERLAPS_SQL}, {RELATIONS_SQL}, {REL_OVERLAP}, rs AS (SELECT *, split_part(q_column, chr(31), 1) AS q1, split_part(q_column, chr(31), 2) AS q2, split_part(c_column, chr(31), 1) AS c1, split_part(c_column, chr(31), 2) AS c2 FROM ro),
     b AS (SELECT rs.q_table, rs.c_table, rs.q_column, max(rel * (x.overlap / x.q_size) * (y.overlap / y.q_size)) AS s FROM rs JOIN p x ON x.q_table = rs.q_table AND x.c_table = rs.c_table AND x.q_column = q1 AND x.c_column = c1 JOIN p y ON y.q_table = rs.q_table AND y.c_table = rs.c_table AND y.q_column = q2 AND y.c_column = c2 GROUP BY ALL)
     SELECT q_table, c_table, score, row_number() OVER (PARTITION BY q_table ORDER BY score DESC, c_table)::INT AS rank FROM (SELECT q_table, c_table, round(sum(s), 6) AS score FROM b GROUP BY q_table, c_table) QUALIFY rank <= 5""")
 def santos_synth_topk(spark, root):
@@ -505,7 +523,7 @@ def santos_synth_topk(spark, root):
 
 GRAPH_SQL = f"""{OVERLAPS_SQL}, {NAME_SQL}, {jaccard_sql('sn', 'nf')}, vs AS (SELECT q_table, q_column, c_table, c_column, round(overlap / (q_size + c_size - overlap), 6) AS v FROM p),
     wi AS (SELECT table_name, column_name, avg(length(value)) AS w FROM cv GROUP BY ALL),
-    ed AS (SELECT q_table || '.' || q_column AS src, c_table || '.' || c_column AS dst, round((coalesce(v, 0) + coalesce(sn.score, 0) + least(x.w, y.w) / greatest(x.w, y.w)) / 3, 6) AS weight FROM vs FULL JOIN sn USING (q_table, q_column, c_table, c_column) JOIN wi x ON x.table_name = q_table AND x.column_name = q_column JOIN wi y ON y.table_name = c_table AND y.column_name = c_column),
+    ed AS (SELECT q_table || chr(31) || q_column AS src, c_table || chr(31) || c_column AS dst, round((coalesce(v, 0) + coalesce(sn.score, 0) + least(x.w, y.w) / greatest(x.w, y.w)) / 3, 6) AS weight FROM vs FULL JOIN sn USING (q_table, q_column, c_table, c_column) JOIN wi x ON x.table_name = q_table AND x.column_name = q_column JOIN wi y ON y.table_name = c_table AND y.column_name = c_column),
     ge AS (SELECT * FROM ed WHERE weight >= 0.4)"""
 
 
@@ -522,7 +540,7 @@ def column_graph(spark, root):
 
 
 PPR_SQL = "st AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM ge), so AS (SELECT DISTINCT src AS source FROM ge), i0 AS (SELECT source, source AS node, 1.0::DOUBLE AS score FROM so), " + ", ".join(
-    f"i{k} AS (SELECT source, node, sum(score) AS score FROM (SELECT i.source, st.dst AS node, i.score * st.p * 0.7 AS score FROM i{k - 1} i JOIN st ON st.src = i.node UNION ALL SELECT source, source, 0.3 FROM so) GROUP BY ALL)" for k in range(1, 7)
+    f"i{k} AS (SELECT source, node, sum(score) AS score FROM (SELECT i.source, st.dst AS node, i.score * st.p * 0.7 AS score FROM i{k - 1} i JOIN st ON st.src = i.node UNION ALL SELECT source, source, 0.3 FROM so) GROUP BY ALL)" for k in range(1, 21)
 )
 
 
@@ -530,18 +548,18 @@ def page_ranks(edges: DataFrame) -> DataFrame:
     return graph.pagerank(edges, edges.select(F.col("src").alias("source")).distinct())
 
 
-@query(f"WITH {values_sql()}, {GRAPH_SQL}, {PPR_SQL} SELECT source, node, round(score, 6) AS score FROM i6")
+@query(f"WITH {values_sql()}, {GRAPH_SQL}, {PPR_SQL} SELECT source, node, round(score, 6) AS score FROM i20")
 def ppr_fixed_iter(spark, root):
     return page_ranks(graph_of(spark, root)).withColumn("score", F.round("score", 6))
 
 
-DIRECT_SQL = f"di AS (SELECT q_table || '.' || q_column AS source, c_table || '.' || c_column AS via, round(overlap / least(q_size, c_size), 6) AS weight FROM p WHERE q_table <> c_table AND {BARE.format('q_column')} = {BARE.format('c_column')})"
-HOLISTIC_SQL = "ho AS (SELECT di.source, i6.node, round(sum(di.weight * i6.score), 6) AS score FROM di JOIN i6 ON i6.source = di.via WHERE di.source <> i6.node GROUP BY ALL)"
+DIRECT_SQL = f"di AS (SELECT q_table || chr(31) || q_column AS source, c_table || chr(31) || c_column AS via, round(overlap / least(q_size, c_size), 6) AS weight FROM p WHERE q_table <> c_table AND {BARE.format('q_column')} = {BARE.format('c_column')})"
+HOLISTIC_SQL = "ho AS (SELECT di.source, i20.node, round(sum(di.weight * i20.score), 6) AS score FROM di JOIN i20 ON i20.source = di.via WHERE di.source <> i20.node GROUP BY ALL)"
 
 
 def direct_matches(spark: SparkSession, root: str) -> DataFrame:
-    m = sets.name_and_value_match(values(spark, root), 1_000)
-    return m.select(F.concat_ws(".", "q_table", "q_column").alias("source"), F.concat_ws(".", "c_table", "c_column").alias("node"), F.col("score").alias("weight"))
+    m = sets.name_and_value_match(values(spark, root), None)
+    return m.select(F.concat_ws(graph.OF, "q_table", "q_column").alias("source"), F.concat_ws(graph.OF, "c_table", "c_column").alias("node"), F.col("score").alias("weight"))
 
 
 @query(f"WITH {values_sql()}, {GRAPH_SQL}, {PPR_SQL}, {DIRECT_SQL}, {HOLISTIC_SQL} SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, node)::INT AS rank FROM ho QUALIFY rank <= 10")
@@ -552,7 +570,7 @@ def infogather_join_topk(spark, root):
 @query()
 def infogather_union_topk(spark, root):
     found = graph.holistic(direct_matches(spark, root), page_ranks(graph_of(spark, root)), 60)
-    part = lambda c, k: F.element_at(F.split(c, r"\.", 2), k)
+    part = lambda c, k: F.element_at(F.split(c, graph.OF), k)
     w = found.select(part("source", 1).alias("q_table"), part("source", 2).alias("q_column"), part("node", 1).alias("c_table"), part("node", 2).alias("c_column"), "score").where("q_table != c_table")
     return sets.ranked(vectors.best_matching(w), F.col("score"), 10, by=["q_table"], then=["c_table"]).select("q_table", "c_table", "score", "n_pairs", "rank")
 
@@ -628,13 +646,9 @@ def santos_kb_topk(spark, root):
     return graph.triple_search(rel.withColumn("triple", F.concat_ws("-", "subject_column", "relation", "object_column")), 10)
 
 
-FD = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "part": ["p_partkey", "p_name", "p_brand", "p_type"]}
-
-
-@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{a}' AS lhs, '{b}' AS rhs FROM (SELECT {a}, count(DISTINCT {b}::VARCHAR) AS n FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1) HAVING max(n) = 1" for t, cs in FD.items() for a in cs for b in cs if a != b))
+@query(FD_SQL)
 def fd_pairs(spark, root):
-    each = [sets.functional_dependencies(read(spark, root, t), cs).select(F.lit(t).alias("table_name"), "lhs", "rhs") for t, cs in FD.items()]
-    return reduce(DataFrame.union, each)
+    return dependencies(spark, root)
 
 
 # Measures: nearest vectors against vectors of the same label.

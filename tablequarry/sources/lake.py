@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import csv
+import io
+import re
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def unused(columns: Iterable[str], stem: str) -> str:
+    """A column name that none of `columns` has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 class Lake:
     """Named DataFrames with the columns that take part.
 
@@ -45,26 +57,95 @@ def parquet_lake(spark: SparkSession, root: str, columns: dict[str, list[str]])
     return Lake({t: spark.read.parquet(f"{root}/{t}.parquet").select(*c) for t, c in columns.items()}, columns)
 
 
+def _wanted(name: str, skip: Iterable[str]) -> bool:
+    """Whether a table takes part: its last name is none of `skip`."""
+    return name.rsplit("/", 1)[-1] not in set(skip)
+
+
 def csv_lake(spark: SparkSession, paths: dict[str, str], *, encoding: str = "UTF-8", skip: Iterable[str] = ("groundtruth",), sep: str = ",", head: int | None = None) -> Lake:
-    """CSV files with a header line each, as strings; malformed lines are dropped. head: that many rows a file."""
+    """CSV files with a header line each, as strings; malformed lines are dropped.
+
+    head: the first so many rows of each file, in the file's order.
+    """
     tables = {}
     for name, path in paths.items():
-        if any(s in name for s in skip):
+        if not _wanted(name, skip):
             continue
         df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, mode="DROPMALFORMED", inferSchema=False)
-        tables[name] = df.limit(head) if head is not None else df
+        if head is not None:
+            # A file's rows come in its order within a part, and parts in theirs.
+            at = unused(df.columns, "_at")
+            df = df.withColumn(at, F.monotonically_increasing_id()).orderBy(at).limit(head).drop(at)
+        tables[name] = df
     return Lake(tables)
 
 
 def csv_paths(spark: SparkSession, root: str, *, skip: Iterable[str] = ("groundtruth", "small_join", "large_join")) -> dict[str, str]:
-    """Table name -> path of the CSV files below a root, listed by Spark's own readers, so that any store will do."""
+    """Table name -> path of the CSV files below a root, listed by Spark's own readers, so that any store will do.
+
+    A table's name is its path below the root without `.csv`, so files of one name in several folders stay apart.
+    """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(root).select("path").collect()
-    names = {r.path.rsplit("/", 1)[-1].removesuffix(".csv"): r.path for r in listed}
-    return {n: p for n, p in sorted(names.items()) if not any(s in n for s in skip)}
+    below = re.sub("^file:/+", "/", root).rstrip("/") + "/"
+    names = {re.sub("^file:/+", "/", r.path).removeprefix(below).removesuffix(".csv"): r.path for r in listed}
+    return {n: p for n, p in sorted(names.items()) if _wanted(n, skip)}
+
+
+def csv_cells(spark: SparkSession, root: str, *, encoding: str = "UTF-8", skip: Iterable[str] = ("groundtruth", "small_join", "large_join"), sep: str = ",") -> DataFrame:
+    """(table_name, column_name, value) of all CSV files below a root in one scan, however many there are.
+
+    Tables are named by their paths. A file is one task's text, parsed as one document, so quoted
+    line breaks stay in their cells; rows with more or fewer fields than the header are dropped.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    below = re.sub("^file:/+", "/", root).rstrip("/") + "/"
+    leave = set(skip)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name = re.sub("^file:/+", "/", path).removeprefix(below).removesuffix(".csv")
+                if name.rsplit("/", 1)[-1] in leave:
+                    continue
+                rows = csv.reader(io.StringIO(content.decode(encoding, errors="replace"), newline=""), delimiter=sep)
+                header = next(rows, None)
+                held: list[list] = [[], []]
+                for row in rows:
+                    if len(row) != len(header):
+                        continue
+                    held[0] += header
+                    held[1] += [x if x != "" else None for x in row]
+                    if len(held[0]) >= 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(held[0])), pa.array(held[0], pa.string()), pa.array(held[1], pa.string())], ["table_name", "column_name", "value"])
+                        held = [[], []]
+                if held[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(held[0])), pa.array(held[0], pa.string()), pa.array(held[1], pa.string())], ["table_name", "column_name", "value"])
+
+    return files.mapInArrow(run, "table_name string, column_name string, value string")
+
 
+def jdbc_tables(spark: SparkSession, url: str, *, listing: str = "SELECT table_name FROM information_schema.tables WHERE table_schema = 'public'", **options: str) -> list[str]:
+    """The tables of a database, by a query that the database answers."""
+    return sorted(r[0] for r in spark.read.format("jdbc").options(url=url, query=listing, **options).load().collect())
 
-def jdbc_lake(spark: SparkSession, url: str, tables: Iterable[str], **options: str) -> Lake:
-    return Lake({t: spark.read.format("jdbc").options(url=url, dbtable=t, **options).load() for t in tables})
+
+def jdbc_counts(spark: SparkSession, url: str, table: str, columns: Iterable[str], **options: str) -> DataFrame:
+    """(table_name, column_name, n_nonnull, n_distinct), counted by the database itself."""
+    each = " UNION ALL ".join(f"SELECT '{table}' AS table_name, '{c}' AS column_name, count(\"{c}\") AS n_nonnull, count(DISTINCT \"{c}\") AS n_distinct FROM {table}" for c in columns)
+    return spark.read.format("jdbc").options(url=url, query=each, **options).load()
+
+
+def jdbc_lake(spark: SparkSession, url: str, tables: Iterable[str], *, split: dict[str, tuple[str, int, int]] | None = None, parts: int = 8, **options: str) -> Lake:
+    """Tables of a database. split: for a table, a whole-numbered column and its bounds; it is read in `parts` ranges at once."""
+
+    def load(t: str) -> DataFrame:
+        reader = spark.read.format("jdbc").options(url=url, dbtable=t, **options)
+        if split and t in split:
+            column, low, high = split[t]
+            reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
+        return reader.load()
+
+    return Lake({t: load(t) for t in tables})
 
 
 def triples(spark: SparkSession, path: str) -> DataFrame:
@@ -86,11 +167,32 @@ def sampled(values: DataFrame, keep: int, of: int, *, salt: str = "") -> DataFra
     return values.where(h % of < keep)
 
 
+def sampled_count(values: DataFrame, count: int, *, salt: str = "") -> DataFrame:
+    """Exactly `count` tables (or all, if fewer): those whose names hash lowest."""
+    names = values.select("table_name").distinct().withColumn("h", F.md5(F.concat(F.lit(salt), F.col("table_name"))))
+    return values.join(names.orderBy("h", "table_name").limit(count).select("table_name"), "table_name", "left_semi")
+
+
+def partitioned(values: DataFrame, parts: int, *, salt: str = "") -> DataFrame:
+    """values with `part`, 0 .. parts - 1: whole tables dealt by their names' hashes."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("table_name"))), 1, 8), 16, 10).cast("long")
+    return values.withColumn("part", (h % parts).cast("int"))
+
+
+def save_index(index: DataFrame, path: str, key: str = "value", files: int = 64) -> None:
+    """Writes an index (posting lists, signatures) in ranges of its key, so that a lookup reads few files."""
+    index.repartitionByRange(files, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def save_ranked(results: DataFrame, path: str, cutoffs: Iterable[int], *, fmt: str = "csv") -> None:
-    """One ranking, many cut-offs: writes path/k=... for each k."""
-    for k in cutoffs:
-        out = results.where(F.col("rank") <= k).write.mode("overwrite")
-        (out.option("header", True).csv if fmt == "csv" else out.parquet)(f"{path}/k={k}")
+    """One ranking, many cut-offs, in one job: path/k=... holds the first k of each query."""
+    ks = F.array(*(F.lit(k) for k in sorted(set(cutoffs))))
+    out = results.withColumn("k", F.explode(F.filter(ks, lambda k: F.col("rank") <= k))).write.mode("overwrite").partitionBy("k")
+    (out.option("header", True).csv if fmt == "csv" else out.parquet)(path)
 
 
 def merged(results: Iterable[DataFrame]) -> DataFrame:
