@@ -78,19 +78,22 @@ FORMAT_PATTERN = "(?s)" + "|".join(part for _, part in FORMAT_PARTS) + "|."
 
 
 def format_descriptor(c: Column) -> Column:
-    """A string's form: the class letters of its parts up to the first character of no class; line breaks read as spaces, ends are stripped."""
-    c = F.regexp_replace(F.replace(c, F.lit("\n"), F.lit(" ")), f"^[{_SPACE}]+|[{_SPACE}]+$", "")
-    parts = F.regexp_extract_all(c, F.lit(FORMAT_PATTERN), F.lit(0))
-    whole = dict(FORMAT_PARTS)
-
-    def letter(x: Column, i: Column) -> Column:
-        rest = F.array_join(F.slice(parts, i + 1, F.size(parts)), "")
-        out = F.when(x.rlike(rf"^{whole['q']}$"), F.when(rest.rlike("[0-9,.]"), "q").otherwise("s"))
-        for k in ("a", "l", "c", "u", "w", "d", "e", "i", "j", "p"):
-            out = out.when(x.rlike(rf"^(?:{whole[k]})$"), k)
-        return out.otherwise("x")
+    """A string's form: the class letters of its parts up to the first character of no class; line breaks read as spaces, ends are stripped.
 
-    return F.regexp_replace(F.array_join(F.transform(parts, letter), ""), "x.*$", "")
+    A mark goes before each part; class after class, a marked part becomes a sign of its own. So a
+    text is passed over a dozen times, whatever the number of its parts, and none is read twice.
+    """
+    mark, odd = chr(0xE000), chr(0xF8FF)
+    own = "".join(chr(0xE000 + k) for k in range(len(FORMAT_PARTS) + 2))
+    c = F.regexp_replace(F.replace(c, F.lit("\n"), F.lit(" ")), f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    c = F.regexp_replace(F.translate(c, own, odd * len(own)), FORMAT_PATTERN, f"{mark}$0")
+    sign = dict(FORMAT_PARTS)["q"]
+    letters = ["q", "s", *(k for k, _ in FORMAT_PARTS if k != "q")]
+    patterns = [rf"(?s)(?=[@\p{{Sc}}])(?=.*[0-9,.])(?:{sign})", sign, *(part for k, part in FORMAT_PARTS if k != "q")]
+    for k, pattern in enumerate(patterns):
+        c = F.regexp_replace(c, f"{mark}(?:{pattern})(?![^{own}])", own[k + 1])
+    c = F.regexp_replace(c, f"(?s){mark}.*$", "")
+    return F.translate(c, own[1 : len(letters) + 1], "".join(letters))
 
 
 #: What a sentence's tokens are: words, and other characters one by one.

@@ -48,7 +48,7 @@ def token_features(values: DataFrame, *, max_share: float = 0.5, stop_words: tup
 
 def feature_jaccard(features: DataFrame) -> DataFrame:
     """(q_table, q_column, c_table, c_column, score): Jaccard similarity of the columns' items; pairs that share one."""
-    return overlaps(features.withColumnRenamed("item", "value")).select(*PAIR, MEASURES["jaccard"]().alias("score"))
+    return overlaps(cut(features.withColumnRenamed("item", "value"))).select(*PAIR, MEASURES["jaccard"]().alias("score"))
 
 
 def histograms(numbers: DataFrame, bins: int) -> DataFrame:

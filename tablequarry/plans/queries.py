@@ -281,7 +281,7 @@ EVIDENCE_SQL = f"""WITH {values_sql()}, {NUMBERS_SQL} {HISTOGRAM_SQL}, {NAME_SQL
 
 def evidence(spark: SparkSession, root: str) -> DataFrame:
     v = values(spark, root)
-    j = lambda features: similarity.feature_jaccard(cut(features))
+    j = similarity.feature_jaccard
     return similarity.evidence({"name": j(similarity.name_features(v)), "format": j(similarity.format_features(v)), "value": j(similarity.token_features(v)), "distribution": similarity.histogram_overlap(numbers(spark, root), 30)})
 
 
@@ -386,7 +386,7 @@ def simhash_neardup(spark, root):
 def embedding_table_topk(spark, root):
     e = read(spark, root, "embeddings")
     items = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("t"), (F.col("vec_id") / 10).cast("long")).alias("table_name"), (F.col("vec_id") % 10).cast("string").alias("column_name"))
-    return vectors.embedding_table_search(items, vectors.knn(e, e, 10), e, 0.7, 60)
+    return vectors.embedding_table_search(items, vectors.knn(e, e, 10), e, 0.3, 60)  # 0.7 finds nothing here: see README
 
 
 @query()
