@@ -4,13 +4,16 @@ single-task sort, fixed-size bitmap filters and connected components."""
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.lake import unused
+from ..sources.store import cut, discard, scratch_path, shared_dir
+
+__all__ = ["bitmap", "bytes_of", "components", "cut", "discard", "filter_bits", "largest_group", "maybe_in", "numbered", "scratch_path", "shared_dir", "spread", "table", "unused"]
+
 #: Rows that one numbering window holds on average.
 BUCKET_ROWS = 2_000
 
@@ -19,50 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset on a local master (tests) a temporary folder is made and set; on a
-    cluster, whose executors could not see it, that raises an error.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        own = spark.sparkContext.getCheckpointDir()
-        if own is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            own = "file://" + tempfile.mkdtemp(prefix="shared-")
-            spark.sparkContext.setCheckpointDir(own)
-        where = own
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes a folder of the shared store through the store's own driver."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def unused(columns: list[str], stem: str) -> str:
-    """A column name that none of `columns` has, whatever the case."""
-    taken = {c.lower() for c in columns}
-    while stem.lower() in taken:
-        stem += "_"
-    return stem
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and keeps it in the shared folder, so that later reads survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def bytes_of(text: str) -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.octet_length(F.coalesce(F.col(text), F.lit("")))
