@@ -131,7 +131,7 @@ def jdbc_tables(spark: SparkSession, url: str, *, listing: str = "SELECT table_n
 
 def jdbc_counts(spark: SparkSession, url: str, table: str, columns: Iterable[str], **options: str) -> DataFrame:
     """(table_name, column_name, n_nonnull, n_distinct), counted by the database itself."""
-    each = " UNION ALL ".join(f"SELECT '{table}' AS table_name, '{c}' AS column_name, count(\"{c}\") AS n_nonnull, count(DISTINCT \"{c}\") AS n_distinct FROM {table}" for c in columns)
+    each = " UNION ALL ".join(f"SELECT CAST('{table}' AS VARCHAR(256)) AS table_name, CAST('{c}' AS VARCHAR(256)) AS column_name, count(\"{c}\") AS n_nonnull, count(DISTINCT \"{c}\") AS n_distinct FROM {table}" for c in columns)
     return spark.read.format("jdbc").options(url=url, query=each, **options).load()
 
 

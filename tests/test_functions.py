@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 from hypothesis import given, settings
@@ -79,12 +80,44 @@ def test_text(spark):
     c = F.col("v")
     got = {r.v: r for r in df.select("v", text.alnum(c).alias("a"), text.attribute_name(c).alias("n"), text.format_descriptor(c).alias("f"), text.qgrams(c).alias("q"), text.is_text_value(c).alias("t"), text.shingle_list(c).alias("s")).collect()}
     assert got["Ab-12 (x) é"].a == "ab12x" and got["Ab-12 (x) é"].n == "ab-12é"
-    assert got["12.50"].f == "d" and got["ann@x.org"].f == "e" and got["Ab-12 (x) é"].f[:3] == "csi"
+    assert got["12.50"].f == "d" and got["ann@x.org"].f == "lqlpl" and got["Ab-12 (x) é"].f == "ciwplpw"
     assert got["abc"].q == ["abc"] and got["abcd"].q == ["abc", "bcd"] and got[""].q == [""]
     assert not got["12.50"].t and got["abc"].t
     assert got["Ab-12 (x) é"].s[0] == "ab-12"
 
 
+#: Parts and classes of the descriptor, as the tests' own expressions.
+PARTS = [("a", r"(?:[0-9]+[a-zA-Z]|[a-zA-Z]+[0-9])[a-zA-Z0-9]*"), ("d", r"\+?[0-9]+(?:,[0-9]+)*\.[0-9]+"), ("e", r"-[0-9]+(?:,[0-9]+)*\.[0-9]+"), ("i", r"\+?[0-9]+(?:,[0-9]+)*"), ("j", r"-[0-9]+(?:,[0-9]+)*"), ("q", r"(?=.*[0-9,.])(?=.*[@$€£])[0-9@$€£]+"), ("c", r"[A-Z][a-z][a-z-]*"), ("u", r"[A-Z][A-Z.-]*"), ("l", r"[a-z][a-z-]*"), ("p", r"""[!"#%&'()*+,\-./:;<=>?\[\\\]^_`{|}~]+"""), ("s", r"[@$€£]+"), ("w", r"\s+")]
+
+
+def plain_descriptor(v):
+    """Class by class at each place, until none fits."""
+    v, out = v.replace("\n", " ").strip(), ""
+    while v:
+        k, m = next(((k, m) for k, p in PARTS if (m := re.match(p, v))), (None, None))
+        if m is None:
+            break
+        out, v = out + k, v[m.end() :]
+    return out
+
+
+def test_format_descriptors_against_plain_version(spark):
+    r = random.Random(2)
+    rows = ["$100", "$ 5", "$", "5$", "a@b.c", "+1,234.5", "-7", "-7.25", "1,2,3", "12ab", "ab12-x", "McDonald", "A.B.C", "x-1", "é x", "x é", " \n a\tB ", "€5,-", "@", "@.", "[a]", "\ue000q", "a" * 3_000 + "$" * 50, "-", "+", "a\u00a0b"]
+    rows += ["".join(r.choice("aB1-+,.$€@ (\n_é") for _ in range(r.randint(0, 12))) for _ in range(600)]
+    df = spark.createDataFrame([(v,) for v in rows], "v string")
+    got = [(x.v, x.f) for x in df.select("v", text.format_descriptor(F.col("v")).alias("f")).collect()]
+    assert [(v, f) for v, f in got if f != plain_descriptor(v)] == []
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 40), st.integers(1, 40)), min_size=1, max_size=8))
+def test_hypergeometric_of_many_rows(rows):
+    t, a, b = (np.array(x) for x in zip(*rows, strict=True))
+    t = np.minimum(t, np.minimum(a, b))
+    assert np.allclose(stats.hypergeometric_cdfs(t, a + b, a, b), [stats.hypergeometric_cdf(*map(int, x)) for x in zip(t, a + b, a, b, strict=True)], atol=1e-12)
+
+
 def test_minhash_estimates_jaccard(spark):
     from tablequarry.operators import sketches
 

@@ -28,7 +28,7 @@ def plain(rows, columns):
 
 
 #: Quick ones; the slow ones share their parts.
-CHECKED = ["column_profile", "posting_lists", "token_order", "overlap_topk", "overlap_prefix_filter", "jaccard_topk", "attr_value_match", "lsh_ensemble_topk", "format_sim", "token_value_sim", "column_sentence", "histogram_density", "vector_knn", "pivot_filtered_eps_join", "simhash_neardup", "schema_complement_topk", "hypergeom_unionability", "synth_column_semantics", "class_closure", "type_scores", "kb_column_types", "santos_kb_topk", "fd_pairs", "precision_recall_at_k", "map_at_k", "keyword_search"]
+CHECKED = ["column_profile", "posting_lists", "token_order", "overlap_topk", "overlap_prefix_filter", "jaccard_topk", "attr_value_match", "lsh_candidates", "lsh_collision_topk", "lsh_ensemble_topk", "format_sim", "token_value_sim", "column_sentence", "histogram_density", "vector_knn", "pivot_filtered_eps_join", "simhash_neardup", "c_alignment_greedy", "schema_complement_topk", "hypergeom_unionability", "synth_column_semantics", "class_closure", "type_scores", "kb_column_types", "santos_kb_topk", "santos_synth_topk", "infogather_join_topk", "fd_pairs", "precision_recall_at_k", "map_at_k", "keyword_search"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -55,6 +55,158 @@ def test_prefix_filter_equals_full_count(spark):
         assert {(x.q_table, x.c_table, x.overlap) for x in sets.containment_pairs(v, t).collect()} == full
 
 
+@pytest.mark.parametrize("block", [1_024, 3])
+def test_overlaps_in_blocks_and_with_a_bound(spark, monkeypatch, block):
+    """Values that many columns hold, in blocks of columns; the k-th bound changes nothing."""
+    import random
+
+    monkeypatch.setattr(sets, "BLOCK", block)
+    r = random.Random(7)
+    columns = {(f"t{k}", c): {"all", *r.sample([str(x) for x in range(60)], r.randint(1, 40))} for k in range(9) for c in "xy"}
+    v = values(spark, columns).repartition(3)
+    expected = {(*q, *c): len(columns[q] & columns[c]) for q in columns for c in columns if q != c}
+    assert {(x.q_table, x.q_column, x.c_table, x.c_column): x.overlap for x in sets.overlaps(v).collect()} == expected
+    asked = spark.createDataFrame([("t3", "x")], "table_name string, column_name string")
+    assert sets.overlaps(v, asked).count() == 17
+    for k in (4, 30):
+        best = lambda q: sorted(((-n, p[2:]) for p, n in expected.items() if p[:2] == q))[:k]  # noqa: E731, B023
+        assert {tuple(x) for x in sets.top_overlaps(v, k, sample=3).collect()} == {(*q, *c, float(-n), i + 1) for q in columns for i, (n, c) in enumerate(best(q))}
+    order = [x.value for x in sets.token_order(v).orderBy("token_id").collect()]
+    held = {x: sum(x in s for s in columns.values()) for x in order}
+    assert len(order) == 61 and [held[x] for x in order] == sorted(held.values()) and order[-1] == "all"
+
+
+def test_lsh_recall(spark):
+    """The sketches' searches against the exact ones, on sets of very unequal sizes."""
+    import random
+
+    from tablequarry.operators import sketches
+
+    r, columns = random.Random(3), {}
+    for g in range(12):
+        base = [f"{g}-{x}" for x in range(r.choice((8, 60, 400, 1500)))]
+        for k in range(6):
+            own = r.sample(base, max(1, int(len(base) * r.choice((0.05, 0.5, 0.85, 0.95)))))
+            columns[f"t{g}", f"c{k}"] = own + [f"{g}-{k}-{x}" for x in range(r.randint(0, len(own) // 3))]
+    v = values(spark, columns)
+    s = {k: set(x) for k, x in columns.items()}
+    inside = {(*q, *c) for q in s for c in s if q != c and len(s[q] & s[c]) >= 0.8 * len(s[q])}
+    found = {(x.q_table, x.q_column, x.c_table, x.c_column) for x in sketches.ensemble_search(v, threshold=0.8, k=100).collect()}
+    assert found <= inside and len(found) >= 0.95 * len(inside) > 50
+    alike = {(*q, *c) for q in s for c in s if q != c and len(s[q] & s[c]) >= 0.5 * len(s[q] | s[c])}
+    found = {(x.q_table, x.q_column, x.c_table, x.c_column) for x in sketches.lsh_search(v, 0.5).collect()}
+    assert found <= alike and len(found) >= 0.95 * len(alike) > 30
+    # Sizes whose ratio sketches cannot bridge go by values.
+    plan = sketches.ensemble_plan(0.8, 256, 4)
+    assert plan[0] and plan[6] and plan[7] is None
+
+
+def test_lsh_recall_on_the_tables(spark, sql):
+    """lsh_ensemble_topk equals the exact search (its SQL); lsh_candidates misses none either."""
+    exact = {tuple(r) for r in sql.execute(f"WITH {queries.values_sql()}, {queries.OVERLAPS_SQL} SELECT q_table, q_column, c_table, c_column FROM p WHERE {queries.JACCARD_SQL} >= 0.5").fetchall()}
+    found = {tuple(r)[:4] for r in queries.lsh_candidates(spark, ROOT).select("q_table", "q_column", "c_table", "c_column").collect()}
+    assert found <= exact and len(found) >= 0.95 * len(exact)
+
+
+def test_set_predicates(spark):
+    v = values(spark, {("a", "x"): "ab", ("b", "x"): "abc", ("c", "x"): "bz"})
+    pairs = spark.createDataFrame([("a", "x", "b", "x"), ("b", "x", "a", "x"), ("a", "x", "c", "x")], "q_table string, q_column string, c_table string, c_column string")
+    assert [tuple(r) for r in sets.is_subset(v, pairs).collect()] == [("a", "x", "b", "x")]
+    cells = spark.createDataFrame([("t", "n", "1"), ("t", "n", "-2.5e3"), ("t", "n", None), ("t", "s", "1"), ("t", "s", "1a"), ("t", "e", None)], "table_name string, column_name string, value string")
+    assert [tuple(r) for r in sets.numeric_columns(cells).collect()] == [("t", "n")]
+    assert sorted(tuple(r) for r in sets.candidate_union(pairs, pairs).collect()) == [("a", "b"), ("a", "c"), ("b", "a")]
+    assert [tuple(r) for r in sets.candidate_intersection(pairs.where("q_table = 'a'"), pairs.where("c_table = 'b'")).collect()] == [("b", "x")]
+    twice = pairs.union(pairs.limit(1))
+    assert sets.without(twice, pairs).count() == 1
+    order = sets.token_order(v)
+    ids = {r.value: r.token_id for r in order.collect()}
+    assert {r.table_name: list(r.tokens) for r in sets.token_sets(v, order).collect()}["b"] == sorted(ids[x] for x in "abc")
+
+
+def test_sampling_and_indexes(spark, tmp_path):
+    v = values(spark, {(f"t{k}", "c"): "abc" for k in range(20)})
+    assert lake.sampled_count(v, 7).select("table_name").distinct().count() == 7
+    parts = {(r.table_name, r.part) for r in lake.partitioned(v, 4).collect()}
+    assert len(parts) == 20 and {p for _, p in parts} <= set(range(4))
+    lake.save_index(sets.posting_lists(v), f"file://{tmp_path}/index", files=2)
+    assert {(r.value, r.frequency) for r in lake.load_index(spark, f"file://{tmp_path}/index").collect()} == {(x, 20) for x in "abc"}
+    ranked = sets.top_columns(v, "overlap", 5)
+    lake.save_ranked(ranked, f"file://{tmp_path}/r", [2, 5], fmt="parquet")
+    assert {r.k: r["count"] for r in spark.read.parquet(f"file://{tmp_path}/r").groupBy("k").count().collect()} == {2: 40, 5: 100}
+
+
+def test_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(100).selectExpr("id", "id % 7 as g").write.jdbc(url, "NUMBERS")
+    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    assert lake.jdbc_tables(spark, url, listing="SELECT TABLENAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T'", **options) == ["NUMBERS"]
+    assert {tuple(r) for r in lake.jdbc_counts(spark, url, "NUMBERS", ["id", "g"], **options).collect()} == {("NUMBERS", "id", 100, 100), ("NUMBERS", "g", 100, 7)}
+    found = lake.jdbc_lake(spark, url, ["NUMBERS"], split={"NUMBERS": ("id", 0, 100)}, parts=4, **options)
+    assert found.tables["NUMBERS"].rdd.getNumPartitions() == 4 and found.column_values().count() == 107
+
+
+def test_kept_tables_follow_their_files(spark, tmp_path):
+    from tablequarry.sources.store import kept
+
+    path, made = f"file://{tmp_path}/n", []
+    table = lambda: kept(spark, "n", [path], lambda: made.append(1) or spark.read.parquet(path))
+    spark.range(3).write.parquet(path)
+    assert table().count() == table().count() == 3 and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert table().count() == 5 and len(made) == 2
+
+
+def test_names_with_dots_and_bars(spark):
+    """Names that hold separators of other systems do not mix tables up."""
+    rows = spark.createDataFrame([("a.b", "c|d", "e", "f.g", 0.9), ("a", "b.c|d", "e.f", "g", 0.7)], "q_table string, q_column string, c_table string, c_column string, score double")
+    widths = spark.createDataFrame([(t, c, 3.0) for r in rows.collect() for t, c in ((r[0], r[1]), (r[2], r[3]))], "table_name string, column_name string, width double")
+    found = graph.column_graph(rows, rows, widths, 0.1)
+    assert {r.src for r in found.collect()} == {f"a.b{graph.OF}c|d", f"a{graph.OF}b.c|d"}
+    x = spark.createDataFrame([(1, "p"), (2, "q")], "`m|n` int, o string")
+    assert {r.column_name for r in tables.pair_values({"t": x}, [("t", "m|n", "o")]).collect()} == {f"m|n{tables.AND}o"}
+
+
+def test_searches_without_sql_against_plain_versions(spark, sql):
+    """The optimal matchings of tables, from the pair scores of the SQL."""
+    import numpy as np
+
+    from tablequarry.functions.stats import assignment
+
+    def matched(pairs, normalised=False):
+        by = {}
+        for qt, qc, ct, cc, s in pairs:
+            by.setdefault((qt, ct), []).append((qc, cc, s))
+        out = {}
+        for key, own in by.items():
+            q, c = sorted({x[0] for x in own}), sorted({x[1] for x in own})
+            w = np.zeros((len(q), len(c)))
+            for a, b, s in own:
+                w[q.index(a), c.index(b)] = s
+            m = assignment(w)
+            total = sum(w[p] for p in m)
+            out[key] = round(total / (len(q) + len(c) - len(m)) if normalised else total, 6)
+        return out
+
+    def top(scores, k):
+        for q in {q for q, _ in scores}:
+            for i, (s, c) in enumerate(sorted((-s, c) for (x, c), s in scores.items() if x == q)[:k]):
+                yield q, c, pytest.approx(-s, abs=2e-6), i + 1
+
+    by_name = lambda rows: sorted((r.q_table, r.c_table, r.score, r["rank"]) for r in rows)
+    pairs = sql.execute(f"WITH {queries.values_sql()}, {queries.OVERLAPS_SQL} SELECT q_table, q_column, c_table, c_column, round(overlap / least(q_size, c_size), 6) FROM p WHERE q_table <> c_table").fetchall()
+    assert by_name(queries.bipartite_match_topk(spark, ROOT).collect()) == sorted(top(matched(pairs), 10), key=lambda x: (x[0], x[1]))
+    names = sql.execute(f"SELECT q_table, q_column, c_table, c_column, score FROM ({queries.SQL['qgram_name_sim']})").fetchall()
+    schema = matched(names, True)
+    entity = {(q, c): s for q, c, s in sql.execute(f"SELECT q_table, c_table, score FROM ({queries.SQL['entity_complement_labels']})").fetchall()}
+    # Products of two rounded scores may round either way at the last place, so ranks are held by their scores.
+    both = {k: entity[k] * schema[k] for k in entity if k in schema}
+    found = queries.entity_complement_topk(spark, ROOT).collect()
+    assert all(r.score == pytest.approx(both[r.q_table, r.c_table], abs=2e-6) for r in found)
+    for q in {q for q, _ in both}:
+        best = sorted((s for (x, _), s in both.items() if x == q), reverse=True)[:5]
+        assert [r.score for r in sorted((r for r in found if r.q_table == q), key=lambda r: r["rank"])] == pytest.approx(best, abs=2e-6)
+
+
 def test_top_k_are_nested(spark):
     v = values(spark, {("a", "x"): "abcd", ("b", "x"): "abc", ("c", "x"): "ab", ("d.e#f", "x"): "a"})
     five, ten = ({tuple(r) for r in sets.top_columns(v, "overlap", k).collect()} for k in (2, 10))
@@ -64,8 +216,16 @@ def test_top_k_are_nested(spark):
 def test_lakes(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,name\n1,ann\n2,\n", encoding="latin1")
     (tmp_path / "groundtruth.csv").write_text("q,c\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.csv").write_text('id,note\n7,"x\ny, z"\n8\n')
+    (tmp_path / "groundtruth_sales.csv").write_text("k\n1\n")
     paths = lake.csv_paths(spark, f"file://{tmp_path}")
-    assert list(paths) == ["a"]
+    # Files of one name stay apart, and only a whole name is skipped.
+    assert list(paths) == ["a", "groundtruth_sales", "sub/a"]
+    cells = sorted(((r.table_name, r.column_name, r.value) for r in lake.csv_cells(spark, f"file://{tmp_path}", encoding="ISO-8859-1").collect()), key=str)
+    assert cells == sorted([("a", "id", "1"), ("a", "name", "ann"), ("a", "id", "2"), ("a", "name", None), ("sub/a", "id", "7"), ("sub/a", "note", "x\ny, z"), ("groundtruth_sales", "k", "1")], key=str)
+    assert [r.id for r in lake.csv_lake(spark, {"a": paths["a"]}, head=1).tables["a"].collect()] == ["1"]
+    paths = {"a": paths["a"]}
     found = lake.csv_lake(spark, paths, encoding="ISO-8859-1")
     assert {tuple(r) for r in found.counts().collect()} == {("a", "id", 2, 2), ("a", "name", 1, 1)}
     (tmp_path / "kb.nt").write_text('<http://x/Anna>\t<http://x#knows>\t<http://x/Bo> .\n')
@@ -83,9 +243,9 @@ def test_histograms_leave_infinities_out(spark):
 def test_pagerank_sums_to_one_and_matches_power_iteration(spark):
     edges = [("0", "1"), ("1", "2"), ("1", "3"), ("2", "4")]
     df = spark.createDataFrame([(a, b, 0.5) for a, b in edges] + [(b, a, 0.5) for a, b in edges], "src string, dst string, weight double")
-    got = {r.node: r.score for r in graph.pagerank(df, spark.createDataFrame([("0",)], "source string"), iterations=8).collect()}
+    got = {r.node: r.score for r in graph.pagerank(df, spark.createDataFrame([("0",)], "source string"), iterations=9).collect()}
     p, out = {"0": 1.0}, {str(k): [b if a == str(k) else a for a, b in edges if str(k) in (a, b)] for k in range(5)}
-    for _ in range(8):
+    for _ in range(9):
         q = {"0": 0.3}
         for u, m in p.items():
             for v in out[u]:
