@@ -36,7 +36,7 @@ class _Words(dict):
     """word -> 64-bit hash; bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -84,8 +84,8 @@ def _sets(docs: DataFrame, width: int, emit, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):  # bounds what is held at once
-                part = batch.slice(at, 1_000)
+            for at in range(0, batch.num_rows, 250):  # bounds what is held at once
+                part = batch.slice(at, 250)
                 found = [(key, s, xxhash.xxh3_128_digest(s.tobytes())) for key, s in ((k, shingles(t, width)) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))]
                 yield emit(found)
 
@@ -107,7 +107,7 @@ def _regions(texts: DataFrame, classes: DataFrame, width: int, threshold: int) -
 
     def windows(found):
         sizes = [window_sizes(len(s), threshold)[0] if len(s) else 0 for _, s, _ in found]
-        return _batch({"h": np.concatenate([np.empty(0, np.int64), *(s[:k] for (_, s, _), k in zip(found, sizes, strict=True))]), "c": np.repeat([_halves(d)[0] for *_, d in found], sizes)}, {"h": long, "c": long})
+        return _batch({"h": np.concatenate([np.empty(0, np.int64), *(s[:k] for (_, s, _), k in zip(found, sizes, strict=True))]), "c": np.repeat(np.array([_halves(d)[0] for *_, d in found], dtype=np.int64), sizes)}, {"h": long, "c": long})
 
     counted = _sets(texts, width, windows, "h long, c long").groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("a"), F.max("c").alias("b"))
     shared = cut(counted.where("a != b").select("h", "df"))  # in the windows of different sets
@@ -120,13 +120,13 @@ def _regions(texts: DataFrame, classes: DataFrame, width: int, threshold: int) -
     def probes(found):
         rows = []
         for key, s, digest in found:
-            if len(s):
+            if len(s) and key is not None:  # rows without an id take part through their class's representative
                 w = s[: window_sizes(len(s), threshold)[0]]
                 at = w & np.int64(2**bits - 1)
                 w = w[(mask.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
                 rows.append((key, _halves(digest)[0], len(s), w))
         sizes = [len(r[-1]) for r in rows]
-        each = lambda k: [r[k] for r, size in zip(rows, sizes, strict=True) for _ in range(size)]
+        each = lambda k: np.repeat(np.array([r[k] for r in rows], dtype=np.int64), sizes)
         return _batch({"id": each(0), "c": each(1), "n": each(2), "h": np.concatenate([np.empty(0, np.int64), *(r[-1] for r in rows)])}, {"id": long, "c": long, "n": long, "h": long})
 
     # Two shuffles: by hash, then by document, where one copy of each set, and of each row, remains.
