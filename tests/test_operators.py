@@ -335,5 +335,7 @@ def test_the_rest_imports_without_the_corpus_operators(tmp_path):
     top = Path(__file__).resolve().parent.parent
     shutil.copytree(top / "tablequarry", tmp_path / "tablequarry", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(top / "__spark_entry__.py", tmp_path)
+    if (top / "corpus_pipeline.py").exists():
+        shutil.copy(top / "corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'overlap_topk' in q and not any(x.startswith('op') and x[2].isdigit() or x == 'pipeline' for x in q), q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
