@@ -74,6 +74,11 @@ def token_order(spark, root):
 
 @query(f"WITH {values_sql()}, {OVERLAPS_SQL} {top_sql('overlap::DOUBLE', 10)}")
 def overlap_topk(spark, root):
+    return sets.top_columns(values(spark, root), "overlap", 10)
+
+
+@query(SQL["overlap_topk"])
+def overlap_bound_topk(spark, root):
     return sets.top_overlaps(values(spark, root), 10)
 
 
