@@ -4,7 +4,9 @@ single-task sort, fixed-size bitmap filters and connected components."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +14,7 @@ from pyspark.sql.window import Window
 from ..sources.lake import unused
 from ..sources.store import cut, discard, scratch_path, shared_dir
 
-__all__ = ["bitmap", "bytes_of", "components", "cut", "discard", "filter_bits", "largest_group", "maybe_in", "numbered", "scratch_path", "shared_dir", "spread", "table", "unused"]
+__all__ = ["bitmap", "bytes_of", "components", "cut", "discard", "filter_bits", "largest_group", "maybe_in", "numbered", "scratch_path", "shared_dir", "slices", "spread", "table", "unused"]
 
 #: Rows that one numbering window holds on average.
 BUCKET_ROWS = 2_000
@@ -27,6 +29,12 @@ def bytes_of(text: str) -> Column:
     return F.octet_length(F.coalesce(F.col(text), F.lit("")))
 
 
+def slices(batch: pa.RecordBatch, rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of so many rows: bounds what Python copies of long values hold at once."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def spread(order_hash: Column, buckets: int) -> Column:
     """A bucket from 0 to buckets - 1 that never falls as a 64-bit hash rises."""
     top = F.shiftright(order_hash, 32) + F.lit(2**31)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bitmap, components, cut, maybe_in
+from .common import bitmap, components, cut, maybe_in, slices
 
 #: Members, and bytes of shingles, of a region that one task joins; larger ones are joined in tiles.
 TILE_ROWS, TILE_BYTES = 1_500, 24_000_000
@@ -84,8 +84,7 @@ def _sets(docs: DataFrame, width: int, emit, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):  # bounds what is held at once
-                part = batch.slice(at, 250)
+            for part in slices(batch):
                 found = [(key, s, xxhash.xxh3_128_digest(s.tobytes())) for key, s in ((k, shingles(t, width)) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))]
                 yield emit(found)
 
@@ -150,7 +149,7 @@ def _rays(regions: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared, n, m = [], [], []
-            for a, b in zip(batch.column("s").to_pylist(), batch.column("ps").to_pylist(), strict=True):
+            for a, b in (x for part in slices(batch) for x in zip(part.column("s").to_pylist(), part.column("ps").to_pylist(), strict=True)):
                 a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
                 a, b, k = (a, b, 1) if len(a) <= len(b) else (b, a, -1)
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 FEATURES = ("size", "upper", "lower", "digit", "symbol", "shout", "stop", "space", "line", "high", "word_length", "distinct", "repeat", "bare", "longest", "top_word", "marked", "line_words")
 _BYTES = np.zeros((8, 256))
 for _row, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#$%&*+/<=>@\\^_`{|}~", b"!", b".,;:?", b" \t\r", b"\n")):
@@ -44,6 +46,10 @@ def features(text: bytes | None) -> list[float]:
     ]
 
 
+def _described(batch: pa.RecordBatch, column: int | str) -> Iterator[list[float]]:
+    return (features(t) for part in slices(batch) for t in part.column(column).cast(pa.binary()).to_pylist())
+
+
 @dataclass
 class Gam:
     """edges: bin edges per feature; tables: entries per feature; pairs: (i, j, coarse edges, table)."""
@@ -157,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(map(features, batch.column(2).to_pylist()), pa.list_(pa.float64()))], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(_described(batch, 2), pa.list_(pa.float64()))], ["id", "y", "x"])
 
     got = rows.mapInArrow(run, "id long, y int, x array<double>").groupBy("id").agg(F.min(F.struct("y", "x")).alias("r")).select("id", "r.y", "r.x").orderBy("id").limit(sample).collect()
     return fit(np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([r.y for r in got], dtype=float))
@@ -169,8 +175,7 @@ def with_score(docs: DataFrame, model: Gam, *, text: str = "text", score: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = batch.column(text)
-            x = np.array([features(t) for t in bodies.cast(pa.binary()).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array(list(_described(batch, text))).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(x))], [*batch.schema.names, score])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
