@@ -1,4 +1,4 @@
-"""Column graphs, personalised PageRank, holistic scores and class hierarchies."""
+"""Column graphs, personalised PageRank, holistic scores, class hierarchies and what a knowledge base tells of columns."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
 from ..sources.store import cut
 from .sets import ranked
 
@@ -106,12 +107,91 @@ def annotate_relations(pairs: DataFrame, labels: DataFrame, facts: DataFrame) ->
     return hits.join(total, ["table_name", "a", "b"]).select("table_name", F.col("sc").alias("subject_column"), F.col("oc").alias("object_column"), "relation", F.round(F.col("hits") / F.col("n"), 6).alias("score"))
 
 
-def triple_search(semantics: DataFrame, k: int) -> DataFrame:
-    """Tables that tell the same (type, relation, type) triples: the best product of scores per query column pair, summed.
+def column_semantics(values: DataFrame, labels: DataFrame, types: DataFrame, tops: DataFrame, penalties: DataFrame | None = None) -> DataFrame:
+    """(table_name, column_name, type, score): a column's types below the top type that most of its known values have.
+
+    The score is the share of the column's known values with the type; on the lake's side it is
+    multiplied by the type's penalty. tops: (top, type), each type below a top type, itself
+    included; penalties: (type, penalty), 1 where absent.
+    """
+    known = cut(values.select("table_name", "column_name", F.lower("value").alias("label")).distinct().join(labels, "label").join(types, "entity").select("table_name", "column_name", "label", "type").distinct())
+    by = ["table_name", "column_name"]
+    found = known.groupBy(*by).agg(F.count_distinct("label").alias("found"))
+    best = known.join(tops, "type").groupBy(*by, "top").agg(F.count_distinct("label").alias("n")).groupBy(*by).agg(F.min_by("top", F.struct(-F.col("n"), "top")).alias("top"))
+    scored = known.groupBy(*by, "type").agg(F.count(F.lit(1)).alias("n")).join(best, by).join(tops, ["top", "type"], "left_semi").join(found, by).select(*by, "type", (F.col("n") / F.col("found")).alias("s"))
+    if penalties is not None:
+        scored = scored.join(penalties, "type", "left").withColumn("s", F.col("s") * F.coalesce("penalty", F.lit(1.0)))
+    return scored.select(*by, "type", F.round("s", 6).alias("score"))
+
+
+def table_triples(semantics: DataFrame, relations: DataFrame) -> DataFrame:
+    """(table_name, subject_column, object_column, triple, score): types of both columns and the relation between, their scores multiplied.
+
+    semantics: as column_semantics gives; relations: as annotate_relations gives.
+    """
+    side = lambda p: semantics.select("table_name", F.col("column_name").alias(f"{p}_column"), F.col("type").alias(f"{p}_type"), F.col("score").alias(f"{p}_score"))
+    both = relations.join(side("subject"), ["table_name", "subject_column"]).join(side("object"), ["table_name", "object_column"])
+    return both.select("table_name", "subject_column", "object_column", F.struct(F.col("subject_type").alias("subject"), "relation", F.col("object_type").alias("object")).alias("triple"), F.round(F.col("subject_score") * F.col("score") * F.col("object_score"), 6).alias("score"))
+
+
+def with_intent(found: DataFrame, intent: DataFrame, semantics: DataFrame) -> DataFrame:
+    """Rows (q_table, c_table, ...) whose candidate has a column of a type of the query's intent column.
 
-    semantics: (table_name, subject_column, object_column, triple, score).
+    intent: (q_table, type). A query none of whose candidates has such a column keeps all.
+    """
+    has = intent.join(semantics.select(F.col("table_name").alias("c_table"), "type").distinct(), "type").select("q_table", "c_table").distinct()
+    held = found.join(has, ["q_table", "c_table"], "left_semi")
+    others = found.join(held.select("q_table").distinct(), "q_table", "left_anti")
+    return held.unionByName(others)
+
+
+def entity_matches(values: DataFrame, labels: DataFrame, k: int = 3, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(value, entity, score, rank): the k entities whose label holds every word of a value, by BM25.
+
+    labels: (label, entity). A value meets labels by its rarest word alone, and the labels found
+    are then compared in full; values with a word that no label has, or with more words than any
+    label, meet none.
+    """
+    words = lambda c: F.array_distinct(text.tokens(F.col(c)))
+    known = cut(labels.select("entity", text.tokens(F.col("label")).alias("all"), words("label").alias("words")).where(F.size("all") > 0))
+    posted = known.select("entity", "all", F.explode("words").alias("word"))
+    facts = known.agg(F.count(F.lit(1)).alias("entities"), F.avg(F.size("all")).alias("mean"), F.max(F.size("words")).alias("most"))
+    idf = F.ln((F.col("entities") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    df = posted.groupBy("word").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(facts.select("entities")))  # facts: one row
+    weights = df.select("word", "df", idf.alias("idf"))
+    asked = values.select("value").distinct().select("value", words("value").alias("words")).join(F.broadcast(facts.select("most"))).where((F.size("words") > 0) & (F.size("words") <= F.col("most")))
+    each = asked.select("value", F.size("words").alias("n"), F.explode("words").alias("word")).join(weights, "word")
+    probes = each.groupBy("value", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word", "idf"))).alias("ws")).where(F.size("ws") == F.col("n"))
+    met = probes.withColumn("word", F.col("ws")[0]["word"]).join(posted, "word").where(F.forall("ws", lambda w: F.array_contains("all", w["word"]))).join(F.broadcast(facts.select("mean")))
+    tf = lambda w: F.size(F.filter("all", lambda x: x == w["word"]))
+    score = F.aggregate("ws", F.lit(0.0), lambda s, w: s + w["idf"] * tf(w) * (k1 + 1) / (tf(w) + k1 * (1 - b + b * F.size("all") / F.col("mean"))))
+    return ranked(met, F.round(score, 6), k, by=["value"], then=["entity"]).select("value", "entity", "score", "rank")
+
+
+def column_classes(values: DataFrame, matches: DataFrame, types: DataFrame) -> DataFrame:
+    """(table_name, column_name, class, n): the classes of the entities that a column's rows match, each as often as its value occurs."""
+    of = matches.select("value", "entity").join(types.select("entity", F.col("type").alias("class")).distinct(), "entity")
+    return values.join(of, "value").groupBy("table_name", "column_name", "class").agg(F.sum("freq").cast("long").alias("n"))
+
+
+def majority_classes(classes: DataFrame) -> DataFrame:
+    """A column's most frequent classes, all of equals, as its values: (table_name, column_name, value, freq)."""
+    w = Window.partitionBy("table_name", "column_name").orderBy(F.desc("n"))
+    return classes.withColumn("r", F.rank().over(w)).where("r = 1").select("table_name", "column_name", F.col("class").alias("value"), F.col("n").alias("freq"))
+
+
+def triple_scores(semantics: DataFrame, lake: DataFrame | None = None) -> DataFrame:
+    """(q_table, c_table, score) of tables that tell the same triples: the best product of scores per query column pair, summed.
+
+    semantics: (table_name, subject_column, object_column, triple, score); lake: the same on the
+    candidates' side, where its scores differ.
     """
     q = semantics.select(F.col("table_name").alias("q_table"), F.concat_ws(OF, "subject_column", "object_column").alias("pair"), "triple", F.col("score").alias("sq"))
-    c = semantics.select(F.col("table_name").alias("c_table"), "triple", F.col("score").alias("sc"))
+    c = (semantics if lake is None else lake).select(F.col("table_name").alias("c_table"), "triple", F.col("score").alias("sc"))
     best = q.join(c, "triple").where("q_table != c_table").groupBy("q_table", "c_table", "pair").agg(F.max(F.col("sq") * F.col("sc")).alias("s"))
-    return ranked(best.groupBy("q_table", "c_table").agg(F.sum("s").alias("s")), F.round("s", 6), k, by=["q_table"], then=["c_table"]).select("q_table", "c_table", "score", "rank")
+    return best.groupBy("q_table", "c_table").agg(F.round(F.sum("s"), 6).alias("score"))
+
+
+def triple_search(semantics: DataFrame, k: int) -> DataFrame:
+    """The k best tables of each by triple_scores: (q_table, c_table, score, rank)."""
+    return ranked(triple_scores(semantics), F.col("score"), k, by=["q_table"], then=["c_table"]).select("q_table", "c_table", "score", "rank")

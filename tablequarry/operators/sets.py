@@ -178,6 +178,21 @@ def is_subset(values: DataFrame, pairs: DataFrame) -> DataFrame:
     return exact_overlaps(values, pairs).where("overlap = q_size").select(*PAIR)
 
 
+def covered_pairs(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The given column pairs with `covered`: whether a third column holds all values of both."""
+    within = containment_pairs(values, 1.0)
+    q = within.select("q_table", "q_column", F.struct(F.col("c_table").alias("table_name"), F.col("c_column").alias("column_name")).alias("whole"))
+    c = q.select(F.col("q_table").alias("c_table"), F.col("q_column").alias("c_column"), "whole")
+    asked = pairs.select(*PAIR).distinct()
+    found = asked.join(q, PAIR[:2]).join(c, [*PAIR[2:], "whole"]).select(*PAIR).distinct().withColumn("covered", F.lit(True))
+    return asked.join(found, PAIR, "left").select(*PAIR, F.coalesce("covered", F.lit(False)).alias("covered"))
+
+
+def text_values(values: DataFrame) -> DataFrame:
+    """values other than strings of digits alone: those that count as words."""
+    return values.where(~F.col("value").rlike("^[0-9]+$"))
+
+
 def numeric_columns(cells: DataFrame) -> DataFrame:
     """(table_name, column_name) of columns whose values, null ones aside, all read as numbers; a column without values is none."""
     number = F.col("value").try_cast("double").isNotNull()

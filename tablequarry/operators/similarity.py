@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..functions.vectors import norm
 from ..sources.store import cut
 from .sets import KEY, MEASURES, PAIR, overlaps, ranked
+from .vectors import pivot_eps_join, pivot_sample
 
 
 def name_features(values: DataFrame, q: int = 3) -> DataFrame:
@@ -77,6 +79,29 @@ def histogram_overlap(numbers: DataFrame, bins: int) -> DataFrame:
     return both.select(F.col("q.table_name").alias("q_table"), F.col("q.column_name").alias("q_column"), F.col("c.table_name").alias("c_table"), F.col("c.column_name").alias("c_column"), "score")
 
 
+def hashed_word_vectors(words: DataFrame, dim: int = 32) -> DataFrame:
+    """(item, vector): a vector for each word out of its MD5, where no trained vectors are at hand; dim at most 32."""
+    digit = lambda i: F.conv(F.substring(F.md5("item"), i, 1), 16, 10).cast("double") - 7.5
+    return words.select("item").distinct().select("item", F.array(*(digit(i) for i in range(1, dim + 1))).alias("vector"))
+
+
+def embedding_similarity(features: DataFrame, words: DataFrame, threshold: float, dim: int) -> DataFrame:
+    """(q_table, q_column, c_table, c_column, score): columns whose words' mean vectors have a cosine of `threshold` or more.
+
+    features: as token_features gives; words: (item, vector), a trained table or hashed_word_vectors;
+    words without a vector and columns without such words take no part. Unit vectors meet in the
+    epsilon join: a cosine of t is a distance of sqrt(2 - 2 t).
+    """
+    mean = features.join(words, "item").groupBy(*KEY).agg(F.array(*(F.avg(F.col("vector")[i].cast("double")) for i in range(dim))).alias("m"))
+    unit = cut(mean.withColumn("norm", norm(F.col("m"))).where("norm > 0").select(*KEY, F.xxhash64(*KEY).alias("vec_id"), F.transform("m", lambda x: x / F.col("norm")).alias("embedding")))
+    if unit.isEmpty():
+        return unit.sparkSession.createDataFrame([], "q_table string, q_column string, c_table string, c_column string, score double")
+    near = pivot_eps_join(unit, unit, (2 - 2 * threshold) ** 0.5 + 1e-6, pivot_sample(unit, 3))
+    side = lambda p: unit.select(F.col("vec_id").alias(f"{p}_id"), F.col("table_name").alias(f"{p}_table"), F.col("column_name").alias(f"{p}_column"))
+    scored = near.join(side("q"), "q_id").join(side("c"), "c_id").select(*PAIR, F.round(1 - F.col("dist") * F.col("dist") / 2, 6).alias("score"))
+    return scored.where(F.col("score") >= threshold)
+
+
 def evidence(parts: dict[str, DataFrame]) -> DataFrame:
     """Column pairs with a score per kind of evidence, 0 where a kind found none."""
     long = reduce(DataFrame.unionByName, (df.select(*PAIR, F.lit(k).alias("kind"), "score") for k, df in parts.items()))

@@ -174,3 +174,9 @@ def ensemble_search(values: DataFrame, *, threshold: float = 0.8, k: int = 10, n
     found = ensemble_candidates(values, threshold=threshold, num_perm=num_perm, parts=parts, most_rows=most_rows, bounds=bounds)
     exact = exact_overlaps(values, cut(found))
     return ranked(exact.where(F.col("overlap") / F.col("q_size") >= threshold), MEASURES["containment"](), k).select(*PAIR, "score", "rank")
+
+
+def equal_signatures(sig: DataFrame) -> DataFrame:
+    """(table_name, column_name, first_table, first_column, columns): each column with the first of those of its signature, and their number."""
+    same = sig.groupBy("signature").agg(F.min(F.struct(*KEY)).alias("first"), F.count(F.lit(1)).alias("columns"))
+    return sig.join(same, "signature").select(*KEY, F.col("first.table_name").alias("first_table"), F.col("first.column_name").alias("first_column"), "columns")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import greedy, hotelling_from_moments, hypergeometric_cdfs
+from ..sources.store import cut
 from .sets import KEY, PAIR, overlaps, ranked
 from .vectors import weight_matrix
 
@@ -208,3 +209,24 @@ def synthesised_search(values: DataFrame, pairs: DataFrame, k: int) -> DataFrame
         rel = rel.join(col.select("q_table", "c_table", F.col("q_column").alias(f"q{n}"), F.col("c_column").alias(f"c{n}"), F.col("s").alias(f"s{n}")), ["q_table", "c_table", f"q{n}", f"c{n}"])
     best = rel.groupBy("q_table", "c_table", "q_column").agg(F.max(F.col("rel") * F.col("s1") * F.col("s2")).alias("s"))
     return ranked(best.groupBy("q_table", "c_table").agg(F.sum("s").alias("s")), F.round("s", 6), k, by=["q_table"], then=["c_table"]).select("q_table", "c_table", "score", "rank")
+
+
+def relation_column_search(columns: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """Tables by relations and the meaning of their columns: (q_table, c_table, score, rank).
+
+    A pair of query columns and a pair of candidate columns that share values score the share of
+    either pair's values, multiplied by the two best of the four ways in which their columns tell
+    a common label; each query pair counts once per table, with its best. columns: (table_name,
+    column_name, label_table, label_column, share); pairs: as pair_values gives.
+    """
+    shared = overlaps(pairs).where("q_table != c_table")
+    side = lambda p: F.split(F.col(f"{p}_column"), AND)
+    rel = shared.select(*PAIR, (F.col("overlap") / F.col("q_size") * (F.col("overlap") / F.col("c_size"))).alias("rel"), F.explode(side("q")).alias("qc"), side("c").alias("cs")).select(*PAIR, "rel", "qc", F.explode("cs").alias("cc"))
+    rel = cut(rel)
+    told = lambda p: columns.select(F.col("table_name").alias(f"{p}_table"), F.col("column_name").alias(f"{p}c"), "label_table", "label_column", F.col("share").alias(f"{p}_share"))
+    # Only columns of pairs that share values are compared, not all that have a common label.
+    met = rel.select("q_table", "qc", "c_table", "cc").distinct().join(told("q"), ["q_table", "qc"]).join(told("c"), ["c_table", "cc", "label_table", "label_column"])
+    ways = met.groupBy("q_table", "qc", "c_table", "cc").agg(F.max(F.col("q_share") * F.col("c_share")).alias("m"))
+    four = rel.join(ways, ["q_table", "qc", "c_table", "cc"], "left").groupBy(*PAIR, "rel").agg(F.sort_array(F.collect_list(F.coalesce("m", F.lit(0.0))), asc=False).alias("ms"))
+    best = four.groupBy("q_table", "c_table", "q_column").agg(F.max(F.col("rel") * F.col("ms")[0] * F.col("ms")[1]).alias("s"))
+    return ranked(best.groupBy("q_table", "c_table").agg(F.sum("s").alias("s")), F.round("s", 6), k, by=["q_table"], then=["c_table"]).select("q_table", "c_table", "score", "rank")

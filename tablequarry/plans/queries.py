@@ -474,8 +474,12 @@ def entity_complement_topk(spark, root):
     return tables.entity_complement_search(labels(spark, root), qgram_name_sim(spark, root), 5)
 
 
-@query(f"""WITH {values_sql()}, {OVERLAPS_SQL}, lf AS (SELECT i, sum(CASE WHEN i = 0 THEN 0 ELSE ln(greatest(i, 1)) END) OVER (ORDER BY i) AS f FROM range(0, (SELECT 2 * max(size) + 1 FROM sz)) r(i)), la AS (SELECT list(f ORDER BY i) AS f FROM lf)
-    SELECT q_table, q_column, c_table, c_column, least(1.0, round(list_sum(list_transform(range(0, overlap + 1), lambda k: exp(f[q_size + 1] - f[k + 1] - f[q_size - k + 1] + f[c_size + 1] - f[c_size - k + 1] - f[k + 1] - f[q_size + c_size + 1] + f[c_size + 1] + f[q_size + 1]))), 6)) AS score FROM p, la""")
+#: After p: the hypergeometric score of each pair.
+HYPER_SQL = """lf AS (SELECT i, sum(CASE WHEN i = 0 THEN 0 ELSE ln(greatest(i, 1)) END) OVER (ORDER BY i) AS f FROM range(0, (SELECT 2 * max(size) + 1 FROM sz)) r(i)), la AS (SELECT list(f ORDER BY i) AS f FROM lf)
+    SELECT q_table, q_column, c_table, c_column, least(1.0, round(list_sum(list_transform(range(0, overlap + 1), lambda k: exp(f[q_size + 1] - f[k + 1] - f[q_size - k + 1] + f[c_size + 1] - f[c_size - k + 1] - f[k + 1] - f[q_size + c_size + 1] + f[c_size + 1] + f[q_size + 1]))), 6)) AS score FROM p, la"""
+
+
+@query(f"WITH {values_sql()}, {OVERLAPS_SQL}, {HYPER_SQL}")
 def hypergeom_unionability(spark, root):
     return tables.set_unionability(sets.overlaps(values(spark, root)))
 

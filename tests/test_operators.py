@@ -28,7 +28,7 @@ def plain(rows, columns):
 
 
 #: Quick ones; the slow ones share their parts.
-CHECKED = ["column_profile", "posting_lists", "token_order", "overlap_topk", "overlap_prefix_filter", "jaccard_topk", "attr_value_match", "lsh_candidates", "lsh_collision_topk", "lsh_ensemble_topk", "format_sim", "token_value_sim", "column_sentence", "histogram_density", "vector_knn", "pivot_filtered_eps_join", "simhash_neardup", "c_alignment_greedy", "schema_complement_topk", "hypergeom_unionability", "synth_column_semantics", "class_closure", "type_scores", "kb_column_types", "santos_kb_topk", "santos_synth_topk", "infogather_join_topk", "fd_pairs", "precision_recall_at_k", "map_at_k", "keyword_search"]
+CHECKED = ["column_profile", "posting_lists", "token_order", "overlap_topk", "overlap_prefix_filter", "jaccard_topk", "attr_value_match", "lsh_candidates", "lsh_collision_topk", "lsh_ensemble_topk", "format_sim", "token_value_sim", "column_sentence", "histogram_density", "vector_knn", "pivot_filtered_eps_join", "simhash_neardup", "c_alignment_greedy", "schema_complement_topk", "hypergeom_unionability", "synth_column_semantics", "class_closure", "type_scores", "kb_column_types", "santos_kb_topk", "santos_synth_topk", "infogather_join_topk", "fd_pairs", "precision_recall_at_k", "map_at_k", "keyword_search", "covered_pairs", "subset_columns", "token_sets", "score_then_size", "results_without_known", "csv_cells", "n_triples", "web_tables", "ranked_files", "lake_parts", "entity_matches", "column_classes", "semantic_unionability", "column_semantics", "santos_intent_topk", "santos_relation_topk", "embedding_evidence"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -339,3 +339,66 @@ def test_the_rest_imports_without_the_corpus_operators(tmp_path):
         shutil.copy(top / "corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'overlap_topk' in q and not any(x.startswith('op') and x[2].isdigit() or x == 'pipeline' for x in q), q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_entities_hold_every_word_of_a_value(spark):
+    import math
+    import random
+
+    r = random.Random(3)
+    words = ["red", "blue", "ring", "bolt", "gear", "big"]
+    labels = [(" ".join(r.choices(words, k=r.randint(1, 4))), f"e{k:02d}") for k in range(40)] + [("", "none")]
+    asked = sorted({" ".join(r.choices([*words, "odd"], k=r.randint(1, 3))) for _ in range(40)} | {"", "--", "Red"})
+    v = spark.createDataFrame([("t", "c", x, 1) for x in asked], "table_name string, column_name string, value string, freq long")
+    got = {}
+    for x in graph.entity_matches(v, spark.createDataFrame(labels, "label string, entity string"), 3).collect():
+        got.setdefault(x.value, []).append((x.rank, x.entity, x.score))
+    docs = [(e, t.split()) for t, e in labels if t]
+    mean = sum(len(t) for _, t in docs) / len(docs)
+    want = {}
+    for x in asked:
+        ws = set("".join(c if c.isalnum() else " " for c in x.lower()).split())
+        scored = []
+        for e, t in docs:
+            if ws and ws <= set(t):
+                idf = lambda w: math.log((len(docs) - (n := sum(w in u for _, u in docs)) + 0.5) / (n + 0.5) + 1)
+                scored.append((-round(sum(idf(w) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in ws), 6), e))
+        if scored:
+            want[x] = [(k + 1, e, -s) for k, (s, e) in enumerate(sorted(scored)[:3])]
+    assert {k: sorted(x) for k, x in got.items()} == {k: [(n, e, pytest.approx(s, abs=2e-6)) for n, e, s in x] for k, x in want.items()}
+
+
+def test_types_stay_below_the_best_top_type(spark):
+    v = values(spark, {("t", "c"): ["rome", "oslo", "bolt", "else"]})
+    labels = spark.createDataFrame([("rome", "r"), ("oslo", "o"), ("bolt", "b")], "label string, entity string")
+    types = spark.createDataFrame([("r", "place"), ("r", "city"), ("o", "place"), ("b", "product")], "entity string, type string")
+    tops = spark.createDataFrame([("place", "place"), ("place", "city"), ("product", "product")], "top string, type string")
+    halved = spark.createDataFrame([("place", 0.5)], "type string, penalty double")
+    of = lambda p: {r.type: r.score for r in graph.column_semantics(v, labels, types, tops, p).collect()}
+    assert of(None) == {"place": round(2 / 3, 6), "city": round(1 / 3, 6)}
+    assert of(halved) == {"place": round(1 / 3, 6), "city": round(1 / 3, 6)}
+
+
+def test_intent_column(spark):
+    found = spark.createDataFrame([("q", "a", 2.0), ("q", "b", 1.0), ("r", "a", 1.0)], "q_table string, c_table string, score double")
+    intent = spark.createDataFrame([("q", "city"), ("r", "nowhere")], "q_table string, type string")
+    meaning = spark.createDataFrame([("b", "x", "city", 1.0), ("a", "x", "place", 1.0)], "table_name string, column_name string, type string, score double")
+    # A query whose intent no candidate has keeps all of them.
+    assert sorted(tuple(r) for r in graph.with_intent(found, intent, meaning).collect()) == [("q", "b", 1.0), ("r", "a", 1.0)]
+
+
+def test_relation_scores_take_the_two_best_ways(spark):
+    columns = spark.createDataFrame([("a", "x", "l", "m", 0.5), ("a", "y", "l", "n", 0.8), ("b", "u", "l", "m", 0.4), ("b", "v", "l", "n", 1.0), ("b", "v", "l", "m", 0.1)], "table_name string, column_name string, label_table string, label_column string, share double")
+    sep = tables.AND
+    pairs = values(spark, {("a", f"x{sep}y"): ["1", "2"], ("b", f"u{sep}v"): ["1", "3", "4", "5"]})
+    got = {(r.q_table, r.c_table): r.score for r in tables.relation_column_search(columns, pairs, 5).collect()}
+    # Shares 1/2 and 1/4; the ways are x-u 0.2, x-v 0.05, y-v 0.8 and y-u none.
+    assert got == {("a", "b"): pytest.approx(0.125 * 0.8 * 0.2), ("b", "a"): pytest.approx(0.125 * 0.8 * 0.2)}
+
+
+def test_embedding_evidence_of_given_vectors(spark):
+    features = spark.createDataFrame([("a", "x", "one"), ("b", "x", "two"), ("c", "x", "far"), ("d", "x", "unknown")], "table_name string, column_name string, item string")
+    words = spark.createDataFrame([("one", [1.0, 0.0]), ("two", [0.8, 0.6]), ("far", [-1.0, 0.0])], "item string, vector array<double>")
+    got = {(r.q_table, r.c_table): r.score for r in similarity.embedding_similarity(features, words, 0.8, 2).collect()}
+    assert got == {("a", "b"): 0.8, ("b", "a"): 0.8}
+    assert similarity.embedding_similarity(features.limit(0), words, 0.8, 2).count() == 0
