@@ -266,11 +266,13 @@ def _residues(rays: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     reach = 1 - threshold / 100
     all_ = F.col("n") + F.col("n_pivot") - F.col("shared")
     m = rays.select("id", "pivot", "n", (1 - F.col("shared") / all_).alias("d"), (100 * F.col("shared") >= threshold * all_).alias("ball"))
-    nearest = m.where("not ball").groupBy("pivot").agg(F.min("d").alias("near"))
-    m = m.join(nearest, "pivot").where(~F.col("ball") | (F.col("d") >= F.col("near") - reach - 1e-9)).drop("near")
+    # Facts of pivots are written before they meet members, and the members left before they are counted:
+    # a join that no aggregation shares its stage with can be split where one pivot has most rows.
+    nearest = cut(m.where("not ball").groupBy("pivot").agg(F.min("d").alias("near")))
+    m = cut(m.join(nearest, "pivot").where(~F.col("ball") | (F.col("d") >= F.col("near") - reach - 1e-9)).drop("near"))
     counts = m.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all")).where("rows > 1")
     tiles = F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("all") * 8 / TILE_BYTES))
-    m = m.join(counts.select("pivot", tiles.alias("tiles")), "pivot").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    m = m.join(cut(counts.select("pivot", tiles.alias("tiles"))), "pivot").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("tiles")))
     m = m.join(sets, "id").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")).select("pivot", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "d", "ball", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
