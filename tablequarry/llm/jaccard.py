@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bitmap, components, cut, maybe_in, slices
+from .common import bitmap, components, cut, maybe_in, release, slices
 
 #: Members, and bytes of shingles, of a region that one task joins; larger ones are joined in tiles.
 TILE_ROWS, TILE_BYTES = 1_500, 24_000_000
@@ -110,6 +110,7 @@ def _regions(texts: DataFrame, classes: DataFrame, width: int, threshold: int) -
 
     counted = _sets(texts, width, windows, "h long, c long").groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("a"), F.max("c").alias("b"))
     shared = cut(counted.where("a != b").select("h", "df"))  # in the windows of different sets
+    release(spark)
     bits = min(MOST_FILTER_BITS, max(16, math.ceil(math.log2(16 * max(1, shared.count())))))
     mask = np.zeros(2**bits // 8, dtype=np.uint8)
     for word, data in bitmap(shared, "h", bits).collect():  # 2**bits / 8 bytes in all
@@ -311,12 +312,14 @@ def jaccard_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text
     known = cut(_sets(texts, width, describe, "id long, n long, c long, c2 long"))
     classes = cut(known.where("n > 0").groupBy("c", "c2").agg(F.min("id").alias("rep")))
     regions = cut(_regions(texts, classes.where("rep is not null"), width, threshold))
+    release(docs.sparkSession)
     members = regions.select("id").union(regions.select("pivot")).distinct()
     bits = 23
     some = maybe_in(texts.withColumn("_h", F.xxhash64("id")), "_h", bitmap(members.select(F.xxhash64("id").alias("h")), "h", bits), bits).select("id", "text")
     sets = _sets(some, width, lambda found: _batch({"id": [k for k, *_ in found], "s": [s.tobytes() for _, s, _ in found]}, {"id": long, "s": pa.binary()}), "id long, s binary")
     sets = cut(sets.join(members, "id", "left_semi").dropDuplicates(["id", "s"]))
     rays = cut(_rays(regions, sets))
+    release(docs.sparkSession)
     linked = rays.where(100 * F.col("shared") >= threshold * (F.col("n") + F.col("n_pivot") - F.col("shared"))).select(F.col("id").alias("u"), F.col("pivot").alias("v"))
     # Rows that share an id with rows of other classes are one node.
     found = components(linked.union(_residues(rays, sets, threshold)))
