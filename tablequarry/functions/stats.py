@@ -121,18 +121,26 @@ def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
     return sorted((c, r) if turned else (r, c) for r, c in pairs if w[(c, r) if turned else (r, c)] > 0)
 
 
-def greedy(weights: np.ndarray) -> list[tuple[int, int]]:
-    """One-to-one pairs by falling weight; ties by row, then column."""
+def greedy(weights: np.ndarray, listed: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """One-to-one pairs by falling weight; ties by row, then column. listed: the pairs that take part, by default those over 0."""
     w = np.asarray(weights, dtype=float)
+    listed = w > 0 if listed is None else listed
     rows, cols, out = set(), set(), []
     for r, c in sorted(np.ndindex(*w.shape), key=lambda p: (-w[p], p)):
-        if w[r, c] > 0 and r not in rows and c not in cols:
+        if listed[r, c] and r not in rows and c not in cols:
             rows.add(r)
             cols.add(c)
             out.append((r, c))
     return out
 
 
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounds as SQL engines do: the scaled number to the nearest whole one, halves upwards; x is not negative."""
+    y = np.asarray(x, dtype=float) * 10.0**digits
+    low = np.floor(y)
+    return (low + (y - low >= 0.5)) / 10.0**digits
+
+
 def band_errors(threshold: float, bands: int, rows: int, steps: int = 200) -> tuple[float, float]:
     """Areas of false positives below, and false negatives above, a Jaccard threshold."""
     hit = lambda s: 1 - (1 - s**rows) ** bands

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.stats import greedy, hotelling_from_moments, hypergeometric_cdfs
+from ..functions.stats import greedy, hotelling_from_moments, hypergeometric_cdfs, rounded
 from ..sources.store import cut
 from .sets import KEY, PAIR, overlaps, ranked
 from .vectors import weight_matrix
@@ -152,14 +152,18 @@ def ensemble(scores: DataFrame, kinds: list[str], k: int) -> DataFrame:
 
 
 def alignments(weights: DataFrame) -> DataFrame:
-    """(q_table, c_table, c, score): the product of the c best pairs of a greedy one-to-one alignment, for each c."""
+    """(q_table, c_table, c, score): the product of the c best pairs of a greedy one-to-one alignment, for each c.
+
+    Every given pair takes part, those whose weight is (or rounds to) 0 as the last ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).to_pydict()
         rows, cols = sorted(set(t["q_column"])), sorted(set(t["c_column"]))
         w = weight_matrix(t, rows, cols)
-        product = np.cumprod([w[p] for p in greedy(w)])
-        yield pa.RecordBatch.from_pylist([{"q_table": t["q_table"][0], "c_table": t["c_table"][0], "c": k + 1, "score": round(float(x), 9)} for k, x in enumerate(product)], schema=pa.schema([("q_table", pa.string()), ("c_table", pa.string()), ("c", pa.int32()), ("score", pa.float64())]))
+        given = weight_matrix(t | {"score": [1.0] * len(t["score"])}, rows, cols) > 0
+        product = rounded(np.cumprod([w[p] for p in greedy(w, given)]), 9)
+        yield pa.RecordBatch.from_pylist([{"q_table": t["q_table"][0], "c_table": t["c_table"][0], "c": k + 1, "score": float(x)} for k, x in enumerate(product)], schema=pa.schema([("q_table", pa.string()), ("c_table", pa.string()), ("c", pa.int32()), ("score", pa.float64())]))
 
     return weights.groupBy("q_table", "c_table").applyInArrow(run, "q_table string, c_table string, c int, score double")
 

@@ -262,6 +262,14 @@ def test_matching_and_alignment(spark):
     assert tables.c_alignment(df, 5).count() == 2
 
 
+def test_alignments_keep_pairs_of_weight_0(spark, sql):
+    """Scores that round to 0 are pairs still, as in SQL; products round as there."""
+    w = [("q", "A1", "t", "R1", 0.5), ("q", "A2", "t", "R2", 0.0), ("q", "A1", "t", "R2", 0.0), ("q", "A3", "u", "R1", 0.0), ("q", "A1", "v", "R1", 0.000005), ("q", "A2", "v", "R2", 0.0003)]
+    df = spark.createDataFrame(w, "q_table string, q_column string, c_table string, c_column string, score double")
+    found = {(r.c_table, r.c): r.score for r in tables.alignments(df).collect()}
+    assert found == {("t", 1): 0.5, ("t", 2): 0.0, ("u", 1): 0.0, ("v", 1): 0.0003, ("v", 2): sql.execute("SELECT round(0.0003::DOUBLE * 0.000005::DOUBLE, 9)").fetchone()[0]}
+
+
 def test_embedding_tables_weigh_all_column_pairs(spark):
     """Neighbours name candidate tables only: with one each, the matching still sees every pair."""
     import numpy as np
