@@ -8,7 +8,7 @@ place from its rank among the pieces of its length.
 from __future__ import annotations
 
 import base64
-import math
+import heapq
 import os
 import re
 import zlib
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, numbered, slices
 
-#: Steps of the plan, about: that many pieces are placed one by one, more in batches of one length.
+#: Without effect, for callers that set it: one rule places all pieces, however many.
 PLAN_PIECES = 20_000
 #: Text outside these characters goes to the slower library, whose Unicode tables are the contract's.
 _ODD = re.compile("[^\t\n\r -~¡-ɏ]")
@@ -102,47 +102,83 @@ def pieces(docs: DataFrame, capacity: int, encoding: dict, *, id: str = "doc_id"
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sum_of_squares(histogram: dict[int, int], capacity: int, batch: int) -> list[tuple[int, int, int, int]]:
+def _flows(count: list[int], length: int, capacity: int, pieces: int) -> tuple[dict[int, int], int]:
+    """(moves, left): how many open sequences of each gap take a piece, one piece at a time, and how many pieces find none.
+
+    Placing one piece in a gap changes the choices of that gap and of those a length away alone; a
+    heap holds the choices, stale ones being dropped as they come up. count is brought up to date.
+    """
+    room = sum(count[g] * (g // length) for g in range(length, capacity))
+    moves: dict[int, int] = {}
+    if pieces >= room:  # every gap is used as often as it can be, in whatever order
+        for gap in range(capacity - 1, length - 1, -1):
+            if n := count[gap]:
+                moves[gap] = n
+                count[gap - length] += n
+                count[gap] = 0
+        count[0] = 0
+        return moves, pieces - room
+
+    def change(gap: int) -> int:
+        return 2 * (count[gap - length] - count[gap]) + 2 if gap > length else 1 - 2 * count[gap]
+
+    heap = [(change(g), g) for g in range(length, capacity) if count[g]]
+    heapq.heapify(heap)
+    while pieces:
+        key, gap = heapq.heappop(heap)
+        if not count[gap] or key != change(gap):
+            continue
+        # The best stays the best for n pieces: each makes it worse by 4 at most, and others better by 2 at most.
+        other = heap[0][0] if heap else key
+        low = gap - length
+        if low >= length:  # the gap that is left, where no sequence has been, becomes a choice
+            other = min(other, change(low))
+        n = min(pieces, count[gap], 1 + max(0, other - key - 1) // 6)
+        moves[gap] = moves.get(gap, 0) + n
+        pieces -= n
+        count[gap] -= n
+        if low:
+            count[low] += n
+        for g in (gap, gap + length, low):
+            if length <= g < capacity and count[g]:
+                heapq.heappush(heap, (change(g), g))
+    return moves, 0
+
+
+def sum_of_squares(histogram: dict[int, int], capacity: int, batch: int = 1) -> list[tuple[int, int, int, int]]:
     """Packs pieces, the longest first; returns rows (length, sequence, offset, n): n pieces in as many sequences from one on.
 
     Each goes where the sum, over residual gaps, of the squared number of open sequences with
     that gap becomes smallest (full sequences count no more; ties: the tighter gap). A new
-    sequence opens only where no open one has room. Up to `batch` pieces of one length are
-    placed in one step, in as many sequences of one gap; a run of sequences of one gap is split
-    where a step needs fewer, so all open sequences stay in use.
+    sequence opens only where no open one has room. Sequences of one gap are alike to that rule,
+    so each length's moves are counted by gap, piece by piece, and then made in runs of
+    sequences: the rows depend on lengths and gaps, not on the number of pieces. `batch` has no effect.
     """
-    count = np.zeros(capacity + 1, dtype=np.int64)
+    count = [0] * (capacity + 1)
     open_: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by gap: first sequence, how many
     sequences, slots = 0, []
     for length in sorted(histogram, reverse=True):
-        done, total = 0, histogram[length]
-        while done < total:
-            n = min(batch, total - done)
-            left = count[length:capacity]  # of gaps length .. capacity - 1
-            some = np.flatnonzero(left)
-            if len(some):
-                moved = np.minimum(left[some], n)
-                # What each choice adds to the sum, for every piece placed; `some` is the gap that remains.
-                more = 2 * (count[some] - left[some] + moved)
-                more[some == 0] = moved[some == 0] - 2 * left[0]  # filled up: no open sequence remains
-                gap = int(some[np.argmin(more)]) + length
-                n = min(n, int(count[gap]))
-            else:
-                # No more than hold the rest of this length.
-                gap, n = capacity, min(n, -(-(total - done) // (capacity // length)))
-                open_[gap].append((sequences, n))
-                count[gap] += n
-                sequences += n
-            count[gap] -= n
-            if gap > length:
-                count[gap - length] += n
+        moves, left = _flows(count, length, capacity, histogram[length])
+        if left:  # each new sequence is filled before the next opens
+            most = capacity // length
+            whole, rest = divmod(left, most)
+            opened = whole + (rest > 0)
+            open_[capacity].append((sequences, opened))
+            sequences += opened
+            for k in range(most):
+                gap = capacity - k * length
+                moves[gap] = moves.get(gap, 0) + whole + (rest > k)
+            for gap, n in ((capacity - most * length, whole), (capacity - rest * length, int(rest > 0))):
+                if gap:
+                    count[gap] += n
+        for gap in sorted(moves, reverse=True):  # those moved into a gap may move on
+            n = moves[gap]
             while n:
                 first, run = open_[gap].pop()
                 if run > n:
                     open_[gap].append((first + n, run - n))
                     run = n
                 slots.append((length, first, capacity - gap, run))
-                done += run
                 n -= run
                 if gap > length:
                     open_[gap - length].append((first, run))
@@ -152,11 +188,10 @@ def sum_of_squares(histogram: dict[int, int], capacity: int, batch: int) -> list
 def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
     """Places all pieces of a histogram: rows (length, first rank, sequence, offset) by length and rank.
 
-    The piece of rank r goes to sequence + (r - first rank). More than PLAN_PIECES pieces are
-    placed in as many steps about, each of several pieces of one length; so the work depends on
-    the number of lengths and not on that of documents.
+    The piece of rank r goes to sequence + (r - first rank). All pieces are placed by one rule,
+    however many they are.
     """
-    slots = sum_of_squares(histogram, capacity, max(1, math.ceil(sum(histogram.values()) / PLAN_PIECES)))
+    slots = sum_of_squares(histogram, capacity)
     length, sequence, offset, n = np.array(sorted(slots), dtype=np.int64).reshape(-1, 4).T
     before = np.cumsum(n) - n
     rank = before - before[np.searchsorted(length, length)]  # from the first row of the same length

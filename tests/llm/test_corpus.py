@@ -234,6 +234,26 @@ def test_plan_against_plain_sum_of_squares(histogram):
     assert sorted(used.values()) == sorted(map(sum, plain_sum_of_squares(lengths, 24)))
 
 
+@pytest.mark.parametrize("n", [2_000, 40_000])
+def test_plan_places_pieces_of_large_tables_one_by_one(n):
+    """The rule of one piece at a time holds on either side of 20,000 pieces: the same fill of every sequence."""
+    lengths, counts = np.unique(np.clip(np.random.default_rng(5).lognormal(3, 0.9, n).astype(int), 1, 128), return_counts=True)
+    gaps = Counter()
+    for length, count in zip(lengths.tolist()[::-1], counts.tolist()[::-1], strict=True):
+        for _ in range(count):
+            change = lambda g: 2 * (gaps[g - length] - gaps[g]) + 2 if g > length else 1 - 2 * gaps[g]  # noqa: E731, B023
+            gap = min((g for g in range(length, 128) if gaps[g]), key=lambda g: (change(g), g), default=128)
+            gaps[gap] -= gap < 128
+            gaps[gap - length] += 1
+    slots = packing.plan(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), 128)
+    filled = np.zeros(n + 1, dtype=np.int64)
+    for length, count in zip(lengths, counts, strict=True):
+        own = slots[slots[:, 0] == length]
+        for first, end, sequence in zip(own[:, 1], [*own[1:, 1], count], own[:, 2], strict=True):
+            filled[sequence : sequence + end - first] += length
+    assert Counter((128 - filled[filled > 0]).tolist()) == +gaps
+
+
 def test_fast_encoder_on_the_whole_table(spark):
     """Every text of the table: tiktoken's ids are those of the contract's library."""
     fast, slow = packing.encoder(**queries.ENCODING), packing.encoder(queries.ENCODING["path"])
