@@ -50,6 +50,17 @@ def shingle_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(c), SHINGLE_BREAK), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
 
 
+#: All digits and nothing else: keys and numbers, most values of many lakes.
+DIGITS = r"^[0-9]+\z"
+
+
+def shingle_tokens(c: Column) -> Column:
+    """A value's shingles as lists of their tokens; shingles without tokens are left out."""
+    lists = F.transform(shingle_list(c), lambda x: F.regexp_extract_all(x, F.lit(SHINGLE_TOKEN), F.lit(0)))
+    # A whole number is one token, which needs none of the patterns.
+    return F.when(c.rlike(DIGITS) & (F.length(c) > 1), F.array(F.array(c))).otherwise(F.filter(lists, lambda t: F.size(t) > 0))
+
+
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -83,6 +94,7 @@ def format_descriptor(c: Column) -> Column:
     A mark goes before each part; class after class, a marked part becomes a sign of its own. So a
     text is passed over a dozen times, whatever the number of its parts, and none is read twice.
     """
+    whole = c
     mark, odd = chr(0xE000), chr(0xF8FF)
     own = "".join(chr(0xE000 + k) for k in range(len(FORMAT_PARTS) + 2))
     c = F.regexp_replace(F.replace(c, F.lit("\n"), F.lit(" ")), f"^[{_SPACE}]+|[{_SPACE}]+$", "")
@@ -93,7 +105,7 @@ def format_descriptor(c: Column) -> Column:
     for k, pattern in enumerate(patterns):
         c = F.regexp_replace(c, f"{mark}(?:{pattern})(?![^{own}])", own[k + 1])
     c = F.regexp_replace(c, f"(?s){mark}.*$", "")
-    return F.translate(c, own[1 : len(letters) + 1], "".join(letters))
+    return F.when(whole.rlike(DIGITS), "i").otherwise(F.translate(c, own[1 : len(letters) + 1], "".join(letters)))
 
 
 #: What a sentence's tokens are: words, and other characters one by one.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.lake import unused
-from ..sources.store import cut, discard, scratch_path, shared_dir
+from ..sources.store import cut, discard, release, scratch_path, shared_dir
 
 __all__ = ["bitmap", "bytes_of", "components", "cut", "discard", "filter_bits", "largest_group", "maybe_in", "numbered", "release", "scratch_path", "shared_dir", "slices", "spread", "table", "unused"]
 
@@ -29,15 +29,6 @@ def bytes_of(text: str) -> Column:
     return F.octet_length(F.coalesce(F.col(text), F.lit("")))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets executors delete the shuffles of stages whose results are cut and read from the shared folder now.
-
-    Spark deletes them once the driver has found that no plan refers to them any more, which by
-    itself may take until its memory fills; so the driver is asked to look.
-    """
-    spark._jvm.System.gc()
-
-
 def slices(batch: pa.RecordBatch, rows: int = 250) -> Iterator[pa.RecordBatch]:
     """The batch in parts of so many rows: bounds what Python copies of long values hold at once."""
     for at in range(0, batch.num_rows, rows):

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.vectors import norm
-from ..sources.store import cut
+from ..sources.store import cut, stored
 from .sets import KEY, MEASURES, PAIR, overlaps, ranked
 from .vectors import pivot_eps_join, pivot_sample
 
+#: Frequent tokens that settle shingles where they are read; others meet in a join.
+KNOWN_TOKENS = 200_000
+#: Stands for the frequency of a token without weight.
+WEIGHTLESS = 2**62
+
 
 def name_features(values: DataFrame, q: int = 3) -> DataFrame:
     """(table_name, column_name, item): q-grams of the column's name without a prefix such as `c_`."""
@@ -25,32 +34,98 @@ def format_features(values: DataFrame) -> DataFrame:
     return values.where("value != ''").select(*KEY, text.format_descriptor(F.col("value")).alias("item")).distinct()
 
 
-def token_features(values: DataFrame, *, max_share: float = 0.5, stop_words: tuple[str, ...] = ()) -> DataFrame:
+def token_features(values: DataFrame, *, max_share: float = 0.5, stop_words: tuple[str, ...] = (), known_tokens: int = KNOWN_TOKENS) -> DataFrame:
     """One token for each shingle of each value: that of greatest inverse frequency, the first of equals.
 
     A token's frequency is the number of the column's values that have it. Stop words and tokens
     in more than max_share of the values weigh nothing, so they stand for a shingle only where it
     has no other; a column all of whose tokens weigh nothing has no features.
+
+    Only counts by column and token are shuffled, not tokens by place. A shingle of one token
+    stands for itself. The others are settled as they are read, by the most frequent tokens
+    (known_tokens of them at most): a single token that is not among those is the rarest; where
+    several are not, these alone meet their frequencies in a join.
     """
-    listed = values.select(*KEY, "value", F.posexplode(text.shingle_list(F.col("value"))).alias("n", "shingle"))
-    listed = listed.select(*KEY, "value", "n", F.posexplode(F.regexp_extract_all("shingle", F.lit(text.SHINGLE_TOKEN), F.lit(0))).alias("pos", "token"))
-    listed = cut(listed.select(*KEY, F.xxhash64("value").alias("v"), "n", "pos", "token"))
-    df = listed.select(*KEY, "token", "v").distinct().groupBy(*KEY, "token").agg(F.count(F.lit(1)).alias("df"))
-    sizes = values.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size"))
+    spark = values.sparkSession
+    sizes = stored(values.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size")), "sizes")
+    s, many = F.col("s"), lambda t: F.size(t) > 1
+    one = lambda t: F.size(t) == 1
+    told = lambda c, n, alone, met: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(n).cast("long").alias("n"), F.lit(alone).alias("alone"), F.lit(met).alias("met")))
+    every, singles, others = (F.array_distinct(F.flatten(x)) for x in (s, F.filter(s, one), F.filter(s, many)))
+    each = F.when(~F.exists(s, many), told(every, 1, True, False)).when(~F.exists(s, one), told(every, 1, False, True))
+    each = each.otherwise(F.concat(told(every, 1, False, False), told(singles, 0, True, False), told(others, 0, False, True)))
+    counts = values.select(*KEY, text.shingle_tokens(F.col("value")).alias("s")).select(*KEY, F.explode(each).alias("x")).select(*KEY, "x.*")
+    counts = counts.groupBy(*KEY, "token").agg(F.sum("n").alias("df"), F.max("alone").alias("alone"), F.max("met").alias("met"))
     weighs = F.col("df") <= F.lit(max_share) * F.col("size")
     if stop_words:
         weighs = weighs & ~F.col("token").isin(*stop_words)
-    known = df.join(sizes, KEY).select(*KEY, "token", F.when(weighs, F.col("df")).alias("df"))
-    some = known.where("df is not null").select(*KEY).distinct()
-    # Tokens without weight come after all others.
-    order = F.struct(F.coalesce("df", F.lit(2**62)), "pos")
-    best = listed.join(known, [*KEY, "token"]).join(some, KEY, "left_semi").groupBy(*KEY, "v", "n").agg(F.min_by("token", order).alias("item"))
-    return best.select(*KEY, "item").distinct()
+    # Tokens without weight come after all others. sizes, some and mixed have a row a column.
+    counts = stored(counts.join(sizes, KEY).select(*KEY, "token", F.when(weighs, F.col("df")).otherwise(F.lit(WEIGHTLESS)).alias("df"), "alone", "met"), "tokens")
+    some = stored(counts.where(F.col("df") < WEIGHTLESS).select(*KEY).distinct(), "weighing")
+    counts = counts.join(some, KEY, "left_semi")
+    met = counts.where("met")
+    mixed = stored(met.select(*KEY).distinct(), "mixed")
+
+    # The least power of two over which there are no more than known_tokens.
+    level = F.floor(F.log2(F.col("df").cast("double")) + 1e-9).cast("int")
+    held, least = 0, 63
+    for power, n in sorted(met.groupBy(level.alias("p")).count().collect(), reverse=True):  # 63 rows at most
+        held += n
+        if held > known_tokens:
+            break
+        least = power
+    else:
+        least = 0
+    known: dict[tuple, dict[str, int]] = {}
+    for t, c, token, df in met.where(level >= least).select(*KEY, "token", "df").collect():  # known_tokens rows at most
+        known.setdefault((t, c), {})[token] = df
+    frequent = spark.sparkContext.broadcast(known)
+
+    rows = values.where(~F.col("value").rlike(text.DIGITS)).join(mixed, KEY, "left_semi").select(*KEY, F.filter(text.shingle_tokens(F.col("value")), many).alias("s")).where(F.size("s") > 0)
+    settled = stored(rows.mapInArrow(lambda batches: _settle(batches, frequent.value), "table_name string, column_name string, item string, rest array<string>").distinct(), "settled")
+    found = [settled.where("item is not null").select(*KEY, "item")]
+    if least:
+        rest = settled.where("rest is not null").withColumn("id", F.monotonically_increasing_id()).select(*KEY, "id", F.posexplode("rest").alias("pos", "token"))
+        found.append(rest.join(met, [*KEY, "token"]).groupBy(*KEY, "id").agg(F.min_by("token", F.struct("df", "pos")).alias("item")).select(*KEY, "item"))
+    alone = counts.where("alone").select(*KEY, F.col("token").alias("item"))
+    both = reduce(DataFrame.unionByName, found, alone.join(mixed, KEY, "left_semi")).distinct()
+    return both.unionByName(alone.join(mixed, KEY, "left_anti"))
+
+
+def _settle(batches: Iterator[pa.RecordBatch], known: dict[tuple, dict[str, int]]) -> Iterator[pa.RecordBatch]:
+    """Rows (table_name, column_name, s: shingles as lists of tokens) -> each one's rarest token, or those of its tokens that are not known where they are several."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            b = whole.slice(at, 500)
+            names = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            number = {k: i for i, k in enumerate(dict.fromkeys(names))}
+            lists = b.column(2)
+            shingles, row = lists.flatten(), np.asarray(pc.list_parent_indices(lists))
+            place, coded = np.asarray(pc.list_parent_indices(shingles)), shingles.flatten().dictionary_encode()
+            words, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+            column = np.array([number[k] for k in names])[row]  # of each shingle
+            pairs, back = np.unique(column[place] * len(words) + code, return_inverse=True)
+            own = [known.get(k, {}) for k in number]
+            df = np.array([own[p // len(words)].get(words[p % len(words)], 0) for p in pairs.tolist()], dtype=np.int64)[back]
+            start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])  # no shingle is without tokens
+            low = np.minimum.reduceat(df, start)
+            best = np.minimum.reduceat(np.where(df == low[place - place[0]], np.arange(len(df)), len(df)), start)
+            names = list(number)
+            out: dict[tuple, None] = {}
+            unknown = np.add.reduceat((df == 0).astype(np.int64), start)
+            end = np.r_[start[1:], len(df)]
+            for p in np.unique(column[place[start]][unknown < 2] * len(words) + code[best][unknown < 2]).tolist():
+                out[(*names[p // len(words)], words[p % len(words)], None)] = None
+            for i in np.flatnonzero(unknown > 1).tolist():
+                tokens = tuple(dict.fromkeys(words[code[j]] for j in range(start[i], end[i]) if not df[j]))
+                out[(*names[column[place[start[i]]]], *((tokens[0], None) if len(tokens) == 1 else (None, tokens)))] = None
+            columns = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.list_(pa.string())), strict=True)], ["table_name", "column_name", "item", "rest"])
 
 
 def feature_jaccard(features: DataFrame) -> DataFrame:
     """(q_table, q_column, c_table, c_column, score): Jaccard similarity of the columns' items; pairs that share one."""
-    return overlaps(cut(features.withColumnRenamed("item", "value"))).select(*PAIR, MEASURES["jaccard"]().alias("score"))
+    return overlaps(stored(features.withColumnRenamed("item", "value"), "features")).select(*PAIR, MEASURES["jaccard"]().alias("score"))
 
 
 def histograms(numbers: DataFrame, bins: int) -> DataFrame:

@@ -410,3 +410,47 @@ def test_embedding_evidence_of_given_vectors(spark):
     got = {(r.q_table, r.c_table): r.score for r in similarity.embedding_similarity(features, words, 0.8, 2).collect()}
     assert got == {("a", "b"): 0.8, ("b", "a"): 0.8}
     assert similarity.embedding_similarity(features.limit(0), words, 0.8, 2).count() == 0
+
+
+def plain_token_features(columns, max_share=0.5, stop=()):
+    import re
+
+    out = set()
+    for key, vs in columns.items():
+        told = {v: [t for s in re.split(r"[^\w\s@&-]+", v.lower()) if (t := re.findall(r"\w{2,}", s))] for v in vs}
+        df = {}
+        for shingles in told.values():
+            for token in {t for s in shingles for t in s}:
+                df[token] = df.get(token, 0) + 1
+        weighing = {t: n for t, n in df.items() if n <= max_share * len(vs) and t not in stop}
+        if weighing:
+            out |= {(*key, min(s, key=lambda t: (weighing.get(t, 2**62), s.index(t)))) for shingles in told.values() for s in shingles}
+    return out
+
+
+@pytest.mark.parametrize("known", [0, 3, 40, 200_000])
+def test_token_features_by_known_and_unknown_tokens(spark, known):
+    """However many frequent tokens settle shingles as they are read, the rest meet in a join."""
+    import random
+
+    r = random.Random(8)
+    word = lambda: f"w{min(int(r.expovariate(0.05)), 90)}"
+    text = lambda: "".join(r.choice([" ", " ", ", ", "; ", "-"]) + word() for _ in range(r.randint(0, 12)))
+    columns = {("a", "c"): {text() for _ in range(700)}, ("b", "c"): {text() for _ in range(40)}, ("c", "c"): {"one two", "one"}, ("d", "c"): {"1", "22", "333", "22 333"}, ("e", "c"): {"only this"}, ("f", "c"): {""}}
+    v = values(spark, {k: sorted(c) for k, c in columns.items()}).repartition(2)
+    assert {tuple(x) for x in similarity.token_features(v, known_tokens=known).collect()} == plain_token_features(columns)
+    found = similarity.token_features(v, known_tokens=known, stop_words=("w3", "w4")).collect()
+    assert len(found) == len(set(found)) and {tuple(x) for x in found} == plain_token_features(columns, stop=("w3", "w4"))
+
+
+def test_token_features_write_less_than_they_read(spark):
+    """Tokens are not kept by place: what stays in the shared folder is smaller than the texts."""
+    import random
+
+    r = random.Random(9)
+    texts = [" ".join(f"word{min(int(r.expovariate(0.02)), 400)}" for _ in range(200)) for _ in range(500)]
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    used = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = used()
+    assert similarity.token_features(values(spark, {("a", "c"): texts})).count() > 0
+    assert used() - before < sum(map(len, texts))
