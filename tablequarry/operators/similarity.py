@@ -123,9 +123,13 @@ def _settle(batches: Iterator[pa.RecordBatch], known: dict[tuple, dict[str, int]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.list_(pa.string())), strict=True)], ["table_name", "column_name", "item", "rest"])
 
 
-def feature_jaccard(features: DataFrame) -> DataFrame:
-    """(q_table, q_column, c_table, c_column, score): Jaccard similarity of the columns' items; pairs that share one."""
-    return overlaps(stored(features.withColumnRenamed("item", "value"), "features")).select(*PAIR, MEASURES["jaccard"]().alias("score"))
+def feature_jaccard(features: DataFrame, *, held: bool = False) -> DataFrame:
+    """(q_table, q_column, c_table, c_column, score): Jaccard similarity of the columns' items; pairs that share one.
+
+    held: the features are read from a stored table, so they need not be stored again.
+    """
+    items = features.withColumnRenamed("item", "value")
+    return overlaps(items if held else stored(items, "features")).select(*PAIR, MEASURES["jaccard"]().alias("score"))
 
 
 def histograms(numbers: DataFrame, bins: int) -> DataFrame:
@@ -145,7 +149,8 @@ def histograms(numbers: DataFrame, bins: int) -> DataFrame:
 def histogram_overlap(numbers: DataFrame, bins: int) -> DataFrame:
     """Similarity of numeric columns: the shared mass of their histograms, each over its own range."""
     h = numbers.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf")))
-    ends = h.groupBy(*KEY).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+    # A row a column: its size being known, Spark sends it to the numbers instead of shuffling these.
+    ends = stored(h.groupBy(*KEY).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")), "ends")
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
     mass = h.join(ends, KEY).groupBy(*KEY, at.alias("bin"), "n").agg(F.count(F.lit(1)).alias("c")).select(F.struct(*KEY).alias("k"), "bin", (F.col("c") / F.col("n")).alias("mass"))
