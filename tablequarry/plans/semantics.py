@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, sets, similarity, tables
+from ..sources.store import stored
 from .catalog import OVERLAPS_SQL, TEXT, top_sql, values, values_sql
 from .queries import EVIDENCE, EVIDENCE_SQL, HYPER_SQL, KB_REL_SQL, KB_SQL, PAIR_SQL, PLACES_SQL, REL_OVERLAP, RELATIONS_SQL, SQL, TOKEN_SQL, evidence, kb_relations, knowledge, places, query, read, relation_pairs, synth_column_semantics
 
@@ -122,7 +123,7 @@ EMBEDDED_SQL = f"""wv AS (SELECT item, [{', '.join(f"('0x' || substr(md5(item),
 
 
 def embedded(spark: SparkSession, root: str) -> DataFrame:
-    features = similarity.token_features(values(spark, root, TEXT))
+    features = stored(similarity.token_features(values(spark, root, TEXT)), "features")
     return similarity.embedding_similarity(features, similarity.hashed_word_vectors(features, DIM), 0.2, DIM)
 
 
