@@ -37,10 +37,11 @@ def lake(spark: SparkSession, root: str, columns: dict[str, list[str]] = COLUMNS
 def values(spark: SparkSession, root: str, columns: dict[str, list[str]] = COLUMNS) -> DataFrame:
     """The lake's distinct values, flattened once a session for all queries, as an index is built beforehand."""
     every = kept(spark, "column-values", [f"{root}/{t}.parquet" for t in COLUMNS], lambda: lake(spark, root).column_values())
-    if columns is COLUMNS:
-        return every
-    pairs = reduce(Column.__or__, ((F.col("table_name") == t) & F.col("column_name").isin(cs) for t, cs in columns.items()))
-    return every.where(pairs)
+    return every if columns is COLUMNS else of_columns(every, columns)
+
+
+def of_columns(df: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    return df.where(reduce(Column.__or__, ((F.col("table_name") == t) & F.col("column_name").isin(cs) for t, cs in columns.items())))
 
 
 def cells_sql(columns: dict[str, list[str]] = COLUMNS) -> str:

@@ -284,10 +284,12 @@ EVIDENCE_SQL = f"""WITH {values_sql()}, {NUMBERS_SQL} {HISTOGRAM_SQL}, {NAME_SQL
     ev AS (SELECT q_table, q_column, c_table, c_column, {', '.join(f"coalesce(max(score) FILTER (kind = '{k}'), 0.0) AS {k}" for k in EVIDENCE)} FROM al GROUP BY ALL)"""
 
 
-def evidence(spark: SparkSession, root: str) -> DataFrame:
+def evidence(spark: SparkSession, root: str, tokens: DataFrame | None = None) -> DataFrame:
+    """The four kinds of evidence. tokens: the lake's token features where they are stored already."""
     v = values(spark, root)
     j = similarity.feature_jaccard
-    return similarity.evidence({"name": j(similarity.name_features(v)), "format": j(similarity.format_features(v)), "value": j(similarity.token_features(v)), "distribution": similarity.histogram_overlap(numbers(spark, root), 30)})
+    value = j(similarity.token_features(v)) if tokens is None else j(tokens, held=True)
+    return similarity.evidence({"name": j(similarity.name_features(v)), "format": j(similarity.format_features(v)), "value": value, "distribution": similarity.histogram_overlap(numbers(spark, root), 30)})
 
 
 @query(f"{EVIDENCE_SQL} {top_sql('round(((name + format) + value + distribution) / 4, 8)', 10, 'ev', 'q_table <> c_table')}")

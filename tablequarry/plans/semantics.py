@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, sets, similarity, tables
-from ..sources.store import stored
-from .catalog import OVERLAPS_SQL, TEXT, top_sql, values, values_sql
+from ..sources.store import cut, stored
+from .catalog import OVERLAPS_SQL, TEXT, of_columns, top_sql, values, values_sql
 from .queries import EVIDENCE, EVIDENCE_SQL, HYPER_SQL, KB_REL_SQL, KB_SQL, PAIR_SQL, PLACES_SQL, REL_OVERLAP, RELATIONS_SQL, SQL, TOKEN_SQL, evidence, kb_relations, knowledge, places, query, read, relation_pairs, synth_column_semantics
 
 # Products beside places: each part's name and type is an entity.
@@ -122,8 +122,9 @@ EMBEDDED_SQL = f"""wv AS (SELECT item, [{', '.join(f"('0x' || substr(md5(item),
     sb AS (SELECT {PAIR_SQL}, round(list_cosine_similarity(a.m, b.m), 6) AS score FROM mv a JOIN mv b ON (a.table_name <> b.table_name OR a.column_name <> b.column_name) WHERE round(list_cosine_similarity(a.m, b.m), 6) >= 0.2)"""
 
 
-def embedded(spark: SparkSession, root: str) -> DataFrame:
-    features = stored(similarity.token_features(values(spark, root, TEXT)), "features")
+def embedded(spark: SparkSession, root: str, tokens: DataFrame | None = None) -> DataFrame:
+    """tokens: the whole lake's token features where they are stored already; a column's do not depend on the others."""
+    features = stored(similarity.token_features(values(spark, root, TEXT)), "features") if tokens is None else of_columns(tokens, TEXT)
     return similarity.embedding_similarity(features, similarity.hashed_word_vectors(features, DIM), 0.2, DIM)
 
 
@@ -140,6 +141,7 @@ FIVE = [*EVIDENCE, "embedding"]
     {top_sql(f"round((((({EVIDENCE[0]} + {EVIDENCE[1]}) + {EVIDENCE[2]}) + {EVIDENCE[3]}) + embedding) / 5, 8)", 10, 'e5', 'q_table <> c_table')}""")
 def d3l_five_column_query(spark, root):
     """The column query over all five kinds of evidence."""
-    four = evidence(spark, root)
+    tokens = stored(similarity.token_features(values(spark, root)), "features")
+    four = cut(evidence(spark, root, tokens))  # read once for each kind
     parts = {k: four.select(*sets.PAIR, F.col(k).alias("score")) for k in EVIDENCE}
-    return similarity.column_query(similarity.evidence(parts | {"embedding": embedded(spark, root)}), FIVE, 10)
+    return similarity.column_query(similarity.evidence(parts | {"embedding": embedded(spark, root, tokens)}), FIVE, 10)
